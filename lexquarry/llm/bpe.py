@@ -35,6 +35,7 @@ class Vocabulary(dict):
         self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.split = regex.compile(pattern).findall
         self.spans = regex.compile(pattern).finditer
+        self.space = regex.compile(r"\s").match
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.tokens[r] = t
@@ -110,7 +111,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
                 row = b.slice(at, 1)
                 text, start, last = row["text"][0].as_py(), row["start"][0].as_py(), row["last"][0].as_py()
                 # a cut piece is encoded alone: no stitch between white space and what follows it
-                ends = [e for e in v.bounds(text)[: None if last else -1] if e == len(text) or text[e].isspace() or not text[e - 1].isspace()]
+                ends = [e for e in v.bounds(text)[: None if last else -1] if e == len(text) or v.space(text[e]) or not v.space(text[e - 1])]
                 head = [start + e for e in ends if e < overlap]
                 tail = [] if last else [start + e for e in ends if e > chunk]
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([head], pa.list_(pa.int64())), pa.array([tail], pa.list_(pa.int64()))], names=[*row.schema.names, "head", "tail"])

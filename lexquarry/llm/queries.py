@@ -4,17 +4,38 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lexquarry.llm import bpe
-from lexquarry.llm.common import table
+from lexquarry.llm import bpe, packing, warc
+from lexquarry.llm.common import scratch, table
 
 
 def op1_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_warc(spark, sf_dir):
+    archive = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), archive)
+    return warc.read(spark, archive).drop("uri")
+
+
+def op10_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql():
-    return {}
+    return {"op2_warc": OP2_SQL}
