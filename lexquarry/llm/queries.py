@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lexquarry.llm import bpe, packing, warc
+from lexquarry.llm import bpe, exact_topk, hnsw, packing, warc
 from lexquarry.llm.common import scratch, table
 
 
@@ -18,6 +18,14 @@ def op2_warc(spark, sf_dir):
     return warc.read(spark, archive).drop("uri")
 
 
+def op5_hnsw(spark, sf_dir):
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_exact_topk(spark, sf_dir):
+    return exact_topk.topk(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -33,9 +41,19 @@ FROM f
 """
 
 
+OP7_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score, q.r, c.r AS cr
+      FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id, cr) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 10
+"""
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql():
-    return {"op2_warc": OP2_SQL}
+    return {"op2_warc": OP2_SQL, "op7_exact_topk": OP7_SQL}
