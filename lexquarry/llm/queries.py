@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lexquarry.llm import bpe, exact_topk, hnsw, packing, warc
+from lexquarry.llm import bpe, exact_topk, hnsw, packing, simhash, warc
 from lexquarry.llm.common import scratch, table
 
 
@@ -26,6 +26,10 @@ def op7_exact_topk(spark, sf_dir):
     return exact_topk.topk(table(spark, sf_dir, "embeddings"))
 
 
+def op9_simhash(spark, sf_dir):
+    return simhash.groups(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
