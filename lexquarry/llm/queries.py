@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lexquarry.llm import bpe, exact_topk, hnsw, packing, simhash, warc
+from lexquarry.llm import bpe, exact_topk, hnsw, packing, repeats, simhash, warc
 from lexquarry.llm.common import scratch, table
 
 
@@ -18,6 +18,10 @@ def op2_warc(spark, sf_dir):
     return warc.read(spark, archive).drop("uri")
 
 
+def op3_repeats(spark, sf_dir):
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op5_hnsw(spark, sf_dir):
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
