@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lexquarry.llm import bpe, exact_topk, hnsw, packing, repeats, simhash, warc
+from lexquarry.llm import bpe, exact_topk, hnsw, langid, packing, repeats, simhash, warc
 from lexquarry.llm.common import scratch, table
 
 
@@ -30,6 +30,11 @@ def op7_exact_topk(spark, sf_dir):
     return exact_topk.topk(table(spark, sf_dir, "embeddings"))
 
 
+def op8_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash.groups(table(spark, sf_dir, "documents"))
 
