@@ -28,24 +28,48 @@ SIZE = 1024
 
 
 class Ids(dict):
-    """Pre-token -> ids as uint32 bytes, by the tokenizers library; other added tokens are kept apart."""
+    """Pre-token -> ids as uint32 bytes, as the tokenizers library gives them; other added tokens are kept apart.
+
+    Where a merge's place in the file is its token's id (less the single bytes), ranks say the same
+    as merges, and a core that works on ranks fills in pre-tokens several times as fast.
+    """
 
     LATIN = 0x24F
 
-    def __init__(self, path: str, pattern: str, limit: int = 400_000):
+    def __init__(self, path: str, pattern: str, limit: int = 800_000):
+        import json
+
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.split = regex.compile(pattern).findall
         self.added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.exotic = regex.compile(rf"[^\x20-\x7e\n\r\t\xa1-\u{self.LATIN:04x}]").search
 
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        pairs = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        alphabet, vocab = ByteLevel.alphabet(), model["vocab"]
+        self.core = None
+        if len(alphabet) == 256 and all(vocab[c] < 256 for c in alphabet) and all(vocab.get(p) == 256 + i for i, p in enumerate(pairs)) and not model.get("dropout"):
+            import tiktoken
+
+            shown = ByteLevel(add_prefix_space=False, use_regex=False)
+            byte = {shown.pre_tokenize_str(chr(b))[0][0]: b for b in range(128)}
+            rest = [c for c in sorted(alphabet) if c not in byte]
+            byte |= {c: ord(c) for c in rest if 0xA1 <= ord(c) <= 0xFF}
+            left = [b for b in range(128, 256) if b not in byte.values()]
+            byte |= dict(zip([c for c in rest if c not in byte], left, strict=True))
+            ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if all(c in byte for c in t)}
+            self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(piece)
+        ids = np.array(self.core.encode_single_piece(piece.encode()), "<u4").tobytes() if self.core else self.whole(piece)
         if len(self) >= self.limit:
             self.clear()
         if len(piece) <= 64:
