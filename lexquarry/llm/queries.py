@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lexquarry.llm import bpe, exact_topk, hnsw, langid, packing, repeats, simhash, warc
+from lexquarry.llm import bpe, exact_topk, hnsw, langid, packing, repeats, simhash, surrogates, warc
 from lexquarry.llm.common import scratch, table
 
 
@@ -22,6 +22,10 @@ def op3_repeats(spark, sf_dir):
     return repeats.report(table(spark, sf_dir, "documents"))
 
 
+def op4_surrogates(spark, sf_dir):
+    return surrogates.report(table(spark, sf_dir, "documents"))
+
+
 def op5_hnsw(spark, sf_dir):
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
