@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from lexquarry.llm import bpe, exact_topk, hnsw, langid, packing, repeats, simhash, surrogates, warc
+from lexquarry.llm import bpe, exact_topk, hnsw, langid, licenses, packing, repeats, simhash, surrogates, warc
 from lexquarry.llm.common import scratch, table
 
 
@@ -30,6 +30,10 @@ def op5_hnsw(spark, sf_dir):
     return hnsw.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op6_licenses(spark, sf_dir):
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_topk(spark, sf_dir):
     return exact_topk.topk(table(spark, sf_dir, "embeddings"))
 
