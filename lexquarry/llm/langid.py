@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HIDDEN, SPAN, CONTEXT = 10, 128, 6
 SAMPLE, STEPS, BATCH, RATE = 400, 300, 256, 0.02
@@ -196,7 +197,7 @@ def fit(docs: DataFrame, most: int = SAMPLE, languages: int = 200, **how) -> Net
     return train([r[2] for r in rows], [r[0] for r in rows], **how)
 
 
-def predict(docs: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, net: Network, keep: list[str] | None = None, names: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
     """doc_id (or the columns of keep), held_out, lang_pred, score of every text, by its bytes alone.
 
     ``und`` with score 0: the text is null or has no letter, or there was nothing to learn from.
@@ -204,20 +205,26 @@ def predict(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Dat
     that repeat each give a row; a null doc_id isn't held out. Other columns are left out.
     """
     keep = keep or ["doc_id"]
-    own = docs.select(*keep, F.col("doc_id").cast("string").alias("_id"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_text"))
+    more = [] if "text" in keep else [F.col("text")]
+    own = docs.select(*(F.col(f"`{c}`") for c in keep), *more, F.col("doc_id").cast("string").alias("_id"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 s = b.slice(at, 512)
-                texts = s["_text"].cast(pa.binary()).to_pylist()
-                has = np.array([t is not None and bool(net.labels) for t in texts])
-                p = pooled(net, [t if ok else b"" for t, ok in zip(texts, has)]) if has.any() else np.zeros((len(texts), max(1, len(net.labels))))
+                has = np.asarray(s["_letters"]) & bool(net.labels)
+                texts = [t if ok else b"" for t, ok in zip(s["text"].cast(pa.binary()).to_pylist(), has)]
+                p = pooled(net, texts) if has.any() else np.zeros((len(texts), 1))
                 best = p.argmax(1)
                 lang = [net.labels[k] if ok else UNKNOWN for k, ok in zip(best, has)]
                 score = np.where(has, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
                 out = [held_out(i) for i in s["_id"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(s[c] for c in keep), pa.array(out), pa.array(lang), pa.array(score)], names=[*keep, "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(s[c] for c in keep), pa.array(out), pa.array(lang), pa.array(score)], names=[*keep, *names])
 
-    kept = ", ".join(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in keep)
-    return own.mapInArrow(run, f"{kept}, held_out boolean, lang_pred string, score double")
+    return own.mapInArrow(run, T.StructType([*(own.schema[c] for c in keep), T.StructField(names[0], T.BooleanType()), T.StructField(names[1], T.StringType()), T.StructField(names[2], T.DoubleType())]))
+
+
+def accepted(docs: DataFrame, least: float = 0.4, **how) -> DataFrame:
+    """The rows of docs in a language the network tells with a probability of ``least`` or more; it learns from docs themselves."""
+    told = predict(docs, fit(docs, **how), docs.columns, ("_held_out", "_lang_pred", "_score"))
+    return told.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)

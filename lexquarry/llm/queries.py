@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 
 from lexquarry.llm import bpe, exact_topk, hnsw, langid, licenses, packing, repeats, simhash, surrogates, warc
@@ -73,8 +74,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank
 
 
 def queries():
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {"op2_warc": OP2_SQL, "op7_exact_topk": OP7_SQL}
+    return {"op2_warc": OP2_SQL, "op7_exact_topk": OP7_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -117,3 +117,18 @@ def groups(docs: DataFrame, width: int = 3, dense: int = DENSE) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = saved(rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("of"), "component_id"), "components")
     return of_docs.join(ids, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 5, dense: int = DENSE) -> DataFrame:
+    """docs without near copies: of each group the row with the smallest doc_id stays, whole.
+
+    Of rows that share that doc_id one stays. A null doc_id stays only where its group has no other.
+    """
+    told = groups(docs, width, dense)
+    stay = told.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    often = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_often"))
+    same = F.col("doc_id").eqNullSafe(F.col("_often"))
+    single = kept.join(often, same, "left_anti")
+    several = kept.join(often, same, "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(several)
