@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lexquarry.llm.common import saved
 
-LEAST, GRAM = 100, 24
+LEAST, GRAM = 100, 40
 SEGMENT = (1 << 20) - 256
 SHARD, CROWD = 2 << 20, 20_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -87,11 +87,11 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def sorted_suffixes(t: np.ndarray, depth: int) -> np.ndarray:
     """Places of t in the order of the ``depth`` or more symbols that begin there (t read as a ring)."""
     n = len(t)
-    ring = np.r_[t, t[: 4 - 1] if n >= 3 else np.resize(t, 3)].astype("uint64")
-    key = ring[:n] << np.uint64(27) | ring[1 : n + 1] << np.uint64(18) | ring[2 : n + 2] << np.uint64(9) | ring[3 : n + 3]
-    done = 4
+    key, done = np.zeros(n, "uint64"), 7  # nine bits a symbol
+    for i in range(done):
+        key = key << np.uint64(9) | np.roll(t, -i)
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         s = key[order]
         new = np.r_[False, s[1:] != s[:-1]]
         if done >= depth or new.sum() == n - 1:
