@@ -1,6 +1,570 @@
-def flagship(spark, sf_dir):
-    raise NotImplementedError
-def queries():
-    return {}
-def oracle_sql():
-    return {}
+"""Named queries over the driver's tables, and the SQL that gives the same rows in DuckDB."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexquarry import config
+from lexquarry.functions import json as js
+from lexquarry.functions import numbers as nm
+from lexquarry.functions import text as tx
+from lexquarry.operators import content, context, extract, index, ocr, search, vocabulary
+from lexquarry.sources import sinks
+from lexquarry.sources import text as source
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def put(f):
+        Q[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.classified(source.lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents; short ones stand for scanned pages."""
+    return source.as_recognised(_pages(spark, sf_dir))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.classified(source.turns(_table(spark, sf_dir, "conversations")))
+
+
+def _postings(spark: SparkSession, sf_dir: str, places: bool = True) -> DataFrame:
+    pages = _recognised(spark, sf_dir)
+    return index.postings(source.words(pages) if places else source.bare_words(pages))
+
+
+def _values(spark: SparkSession, values: str, columns: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+EDGES = r"regexp_replace({}, '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g')"
+LINES = rf"""lines AS (SELECT doc_id, CAST(i AS INTEGER) AS page, {STRIP.format('t')} AS text FROM (
+  SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)))"""
+TURNS = rf"turns AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, {STRIP.format('coalesce(text, ' + chr(39) * 2 + ')')} AS text FROM conversations)"
+WORDS = rf"""{LINES}, pieces AS (SELECT doc_id, page, text, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS nr FROM (SELECT *, regexp_split_to_array(text, '\s') AS l FROM lines WHERE text <> '')),
+words AS (SELECT * FROM (SELECT doc_id, page, text, CASE WHEN length(text) < 30 THEN 'ocr' ELSE 'text' END AS src, word, nr,
+  CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, page ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS x0 FROM pieces) WHERE word <> '')"""
+FORMS = rf"""{WORDS}, forms AS (SELECT *, regexp_replace(clean, '[.,]', '', 'g') AS number FROM (SELECT *, {EDGES.format('n')} AS clean FROM (SELECT *, lower(strip_accents(word)) AS n FROM words) WHERE length(n) >= 2))"""
+KIND = {
+    "base": "[n]",
+    "clean": "list_filter([clean], lambda t: t <> n AND length(t) >= 2)",
+    "part": r"list_filter(regexp_split_to_array(clean, '[-/_.:]+'), lambda t: t <> clean AND length(t) >= 2)",
+    "number": r"list_filter([number], lambda t: regexp_full_match(t, '\p{N}{4,}') AND t <> clean)",
+    "run": "list_filter(regexp_extract_all(clean, '[0-9]{6,12}'), lambda t: t <> clean AND t <> number)",
+}
+POSTINGS = FORMS + ", posted AS (SELECT doc_id, page, text, src, word, x0, nr * 64 + nth AS seq, term FROM (SELECT *, unnest(ks) AS term, generate_subscripts(ks, 1) - 1 AS nth FROM (SELECT *, " + " || ".join(f"({k})" for k in KIND.values()) + " AS ks FROM forms)))"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of two word endings by document, with the first page."""
+    hits = _exact(spark, sf_dir, "(1, 'heit'), (2, 'ment')")
+    return hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"), F.min("page").alias("first_page"))
+
+
+# ---------------------------------------------------------------- text and pages
+@query("SELECT doc_id, md5(lower(strip_accents(coalesce(text, '')))) AS digest FROM documents")
+def normalize_text(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.md5(F.encode(tx.normal(F.col("text")), "UTF-8")).alias("digest"))
+
+
+@query(rf"SELECT item_id, array_to_string(t, '|') AS tokens, CAST(len(t) AS INTEGER) AS n FROM (SELECT item_id, list_filter(regexp_split_to_array({STRIP.format('text')}, '[\s,\-_:\.;/]+'), lambda x: length(x) >= 2) AS t FROM benchmark)")
+def query_tokens(spark, d):
+    tokens = tx.query_tokens(F.col("text"))
+    return _table(spark, d, "benchmark").select("item_id", F.array_join(tokens, "|").alias("tokens"), F.size(tokens).alias("n"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, page, length(text) < 30 AS is_scanned, CAST(length(text) AS INTEGER) AS chars FROM lines")
+def page_classify(spark, d):
+    return _pages(spark, d).select("doc_id", "page", "is_scanned", F.length("text").alias("chars"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*) AS total_pages, count(*) FILTER (length(text) >= 30) AS digital_pages, count(*) FILTER (length(text) < 30) AS ocr_pages, CAST(sum(length(text)) AS BIGINT) AS chars FROM lines GROUP BY doc_id")
+def page_counts(spark, d):
+    return _pages(spark, d).groupBy("doc_id").agg(F.count("*").alias("total_pages"), F.count_if(~F.col("is_scanned")).alias("digital_pages"), F.count_if("is_scanned").alias("ocr_pages"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(f"WITH {LINES} SELECT count(DISTINCT doc_id) AS documents, count(*) AS pages, count(*) FILTER (length(text) >= 30 AND text <> '') AS digital_pages, CAST(sum(length(text)) AS BIGINT) AS chars FROM lines")
+def doc_stats(spark, d):
+    return _pages(spark, d).agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("pages"), F.count_if(~F.col("is_scanned") & (F.col("text") != "")).alias("digital_pages"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, page, CASE WHEN length(text) < 30 THEN 'ocr' ELSE 'text' END AS src, CASE WHEN length(text) < 30 THEN 'Escaneo de Página (OCR)' ELSE 'Texto Digital' END AS label, md5(text) AS digest FROM lines WHERE text <> ''")
+def sources_unpivot(spark, d):
+    return source.sources(_recognised(spark, d)).select("doc_id", "page", "src", "label", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, page, CASE WHEN length(text) < 30 THEN '' ELSE lower(strip_accents(text)) END AS text_normal, CASE WHEN length(text) < 30 THEN lower(strip_accents(text)) ELSE '' END AS ocr_normal FROM lines")
+def pages_normal(spark, d):
+    return source.with_normal_forms(_recognised(spark, d)).select("doc_id", "page", "text_normal", "ocr_normal")
+
+
+@query(f"WITH {LINES} SELECT doc_id, page, md5(text) AS digest, length(text) < 30 AS is_scanned, false AS has_images, 0 AS n_images FROM lines")
+def light_pages(spark, d):
+    return sinks.light(_pages(spark, d)).select("doc_id", "page", F.md5(F.encode("text", "UTF-8")).alias("digest"), "is_scanned", "has_images", F.size("images").alias("n_images"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, true AS success, count(*) AS total_pages, count(*) FILTER (length(text) >= 30) AS digital_pages FROM lines GROUP BY doc_id")
+def json_payload(spark, d):
+    read = F.from_json("payload", "success boolean, total_pages bigint, digital_pages bigint")
+    return sinks.payload(_pages(spark, d)).select("doc_id", read.alias("p")).select("doc_id", "p.*")
+
+
+@query(r"SELECT page_id AS doc_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS digest FROM pages")
+def web_text(spark, d):
+    return source.web(_table(spark, d, "pages")).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+@query(f"WITH {WORDS} SELECT doc_id, page, src, word, x0, CAST(page AS DOUBLE) AS y0, x0 + length(word) AS x1, CAST(page + 1 AS DOUBLE) AS y1 FROM words")
+def word_boxes(spark, d):
+    return source.words(_recognised(spark, d)).select("doc_id", "page", "src", "word", "x0", "y0", "x1", "y1")
+
+
+@query(rf"""WITH {LINES}, kept AS (SELECT doc_id, page, {STRIP.format("regexp_replace(text, '[=|><_~]{2,}', ' ', 'g')")} AS line FROM lines WHERE text <> '')
+SELECT doc_id, page, line FROM kept WHERE NOT (length(regexp_replace(line, '[^\p{{L}}\p{{N}}]', '', 'g')) < 2 AND length(line) > 1)""")
+def clean_lines(spark, d):
+    """Noise taken out of lines, and lines of noise dropped."""
+    lines = source.lines(_table(spark, d, "documents").select("doc_id", "text"))
+    return lines.select("doc_id", F.col("page").cast("int").alias("page"), F.explode(tx.kept_lines(F.col("text"))).alias("line"))
+
+
+# ---------------------------------------------------------------- index
+def _by_kind(kind: str) -> tuple[Callable, str]:
+    def run(spark, d):
+        rows = index.postings(source.bare_words(_recognised(spark, d)), (kind,))
+        return rows.groupBy("term").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+    return run, f"WITH {FORMS} SELECT term, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest({KIND[kind]}) AS term FROM forms) GROUP BY term"
+
+
+for _kind, _name in (("base", "base"), ("clean", "clean"), ("part", "subtokens"), ("number", "numeric"), ("run", "digit_runs")):
+    Q[f"postings_{_name}"], SQL[f"postings_{_name}"] = _by_kind(_kind)
+
+
+@query(f"WITH {POSTINGS} SELECT count(DISTINCT term) AS terms, count(*) AS postings FROM posted")
+def index_stats(spark, d):
+    return index.stats(_postings(spark, d, places=False))
+
+
+@query(f"WITH {POSTINGS} SELECT substr(term, 1, 1) AS first, count(DISTINCT term) AS terms FROM posted GROUP BY 1")
+def vocab_by_first(spark, d):
+    return index.by_first(_postings(spark, d, places=False))
+
+
+@query(f"WITH {POSTINGS} SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS postings FROM posted GROUP BY term")
+def vocabulary_terms(spark, d):
+    return index.vocabulary(_postings(spark, d, places=False))
+
+
+@query(f"WITH {LINES} SELECT term, count(*) AS n FROM (SELECT lower(strip_accents(unnest(regexp_extract_all(text, '[A-Za-zÁ-ÿ0-9-]{{2,}}')))) AS term FROM lines) WHERE length(term) >= 2 GROUP BY term")
+def postings_fallback(spark, d):
+    return index.plain_postings(_recognised(spark, d)).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {POSTINGS} SELECT doc_id, term, CAST(count(*) AS INTEGER) AS n, min(page) AS first_page FROM posted GROUP BY doc_id, term")
+def postings_export(spark, d):
+    return index.exported(_postings(spark, d, places=False)).select("doc_id", "term", F.size("places").alias("n"), F.element_at("places", 1)["page"].alias("first_page"))
+
+
+# ---------------------------------------------------------------- search
+ASKED = "(1, 'heit'), (2, 'ment'), (3, 'Keit, tzge'), (4, 'elle-oi'), (5, '   '), (6, 'x'), (7, 'ución')"
+SNIP = r"""CASE WHEN lo > 0 THEN '...' ELSE '' END || regexp_replace(regexp_replace(substr(text, lo + 1, hi - lo), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') || CASE WHEN hi < length(text) THEN '...' ELSE '' END"""
+TERMS = rf"""asked AS (SELECT query_id, raw, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS nr, ts FROM (SELECT query_id, {STRIP.format('query')} AS raw,
+  list_transform(list_filter(regexp_split_to_array({STRIP.format('query')}, '[\s,\-_:\.;/]+'), lambda x: length(x) >= 2), lambda x: lower(strip_accents(x))) AS ts FROM (VALUES {{asked}}) AS q(query_id, query)))"""
+VOCAB = f"vocab AS (SELECT DISTINCT term AS key, {EDGES.format('term')} AS bare FROM posted)"
+MATCH = {
+    "exact": "SELECT a.*, key, 0 AS stage FROM asked a JOIN vocab ON a.term = key",
+    "prefix": "SELECT a.*, key, 1 AS stage FROM asked a JOIN vocab ON bare <> a.term AND starts_with(bare, a.term)",
+    "substring": "SELECT a.*, key, 2 AS stage FROM asked a JOIN vocab ON length(a.term) >= 3 AND contains(bare, a.term) AND NOT starts_with(bare, a.term)",
+}
+
+
+def _hits_sql(asked: str, stages: tuple[str, ...]) -> str:
+    matched = " UNION ALL ".join(MATCH[s] for s in stages)
+    return rf"""WITH {POSTINGS}, {TERMS.format(asked=asked)}, {VOCAB}, matched AS ({matched}),
+    found AS (SELECT m.query_id, m.raw, m.nr, m.stage, m.key, p.*, strpos(lower(p.text), lower(p.word)) - 1 AS pos FROM matched m JOIN posted p ON p.term = m.key),
+    cut AS (SELECT *, greatest(pos - 70, 0) AS lo, least(pos + length(word) + 70, length(text)) AS hi FROM found),
+    hits AS (SELECT query_id, doc_id, page, src AS source, word AS token_searched, CASE stage WHEN 0 THEN 'exacto' WHEN 1 THEN 'prefijo' ELSE 'subcadena' END AS match_type, {SNIP} AS snippet,
+      substr(text, pos + 1, length(word)) AS matched_term, x0, CAST(page AS DOUBLE) AS y0, x0 + length(word) AS x1, stage, nr, key, seq FROM cut)"""
+
+
+SHOWN = ["query_id", "doc_id", "page", "source", "token_searched", "match_type", "snippet", "matched_term", "x0", "y0", "x1"]
+
+
+def _stage(spark: SparkSession, d: str, asked: str, stage: Callable) -> DataFrame:
+    pages, postings = _recognised(spark, d), _postings(spark, d)
+    terms = search.terms(_values(spark, asked, "query_id, query"))
+    return search.hits_of(stage(terms, search._vocabulary(postings)), postings, source.sources(pages))
+
+
+def _exact(spark: SparkSession, d: str, asked: str) -> DataFrame:
+    return _stage(spark, d, asked, search.exact)
+
+
+@query(_hits_sql(ASKED, ("exact",)) + f" SELECT {', '.join(SHOWN)} FROM hits")
+def search_exact(spark, d):
+    return _exact(spark, d, ASKED).select(*SHOWN)
+
+
+@query(_hits_sql(ASKED, ("prefix",)) + f" SELECT {', '.join(SHOWN)} FROM hits")
+def search_prefix(spark, d):
+    return _stage(spark, d, ASKED, search.prefix).select(*SHOWN)
+
+
+@query(_hits_sql(ASKED, ("substring",)) + f" SELECT {', '.join(SHOWN)} FROM hits")
+def search_substring(spark, d):
+    return _stage(spark, d, ASKED, search.substring).select(*SHOWN)
+
+
+PHRASES = "(1, 'heit keit ung'), (2, 'password mail'), (3, 'one'), (4, 'License Version')"
+PHRASE_SQL = rf"""phrases AS (SELECT DISTINCT query_id, raw, ts FROM asked WHERE len(ts) > 1),
+held AS (SELECT p.*, l.doc_id, l.page, l.text, CASE WHEN length(l.text) < 30 THEN 'ocr' ELSE 'text' END AS source, regexp_split_to_array(raw, '[\s,\-_:\.;/]+')[1] AS anchor FROM lines l JOIN phrases p ON len(list_filter(ts, lambda t: NOT contains(lower(strip_accents(l.text)), t))) = 0),
+placed AS (SELECT *, CASE WHEN strpos(lower(text), lower(anchor)) > 0 THEN strpos(lower(text), lower(anchor)) - 1 ELSE strpos(lower(strip_accents(text)), lower(strip_accents(anchor))) - 1 END AS pos, strpos(lower(text), lower(anchor)) > 0 AS as_is FROM held),
+spans AS (SELECT *, greatest(pos - 70, 0) AS lo, least(pos + length(anchor) + 70, length(text)) AS hi FROM placed),
+phrase_hits AS (SELECT query_id, doc_id, page, source, raw AS token_searched, 'frase' AS match_type, {SNIP} AS snippet, CASE WHEN as_is THEN substr(text, pos + 1, length(anchor)) ELSE anchor END AS matched_term FROM spans)"""
+
+
+@query(f"WITH {LINES}, {TERMS.format(asked=PHRASES)}, {PHRASE_SQL} SELECT * FROM phrase_hits")
+def search_phrase(spark, d):
+    hits = search.phrase(_values(spark, PHRASES, "query_id, query"), source.sources(_recognised(spark, d)))
+    return hits.select("query_id", "doc_id", "page", "source", "token_searched", "match_type", "snippet", "matched_term")
+
+
+MIXED = "(1, 'heit'), (2, 'ment'), (3, 'keit tzge'), (4, 'Elle-oi'), (5, ''), (6, 'ución')"
+ALL_SQL = _hits_sql(MIXED, ("exact", "prefix", "substring")) + rf""", {PHRASE_SQL},
+every AS (SELECT query_id, doc_id, page, source, token_searched, match_type, snippet, matched_term, x0, y0, stage, nr, key, seq FROM hits
+  UNION ALL SELECT query_id, doc_id, page, source, token_searched, match_type, snippet, matched_term, NULL, NULL, 4, 0, '', 0 FROM phrase_hits),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, page, source, matched_term, x0, y0, substr(snippet, 1, 30) ORDER BY stage, nr, key, seq) AS nth FROM every) WHERE nth = 1),
+placed_hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, doc_id ORDER BY page, CASE match_type WHEN 'exacto' THEN 0 WHEN 'prefijo' THEN 1 WHEN 'subcadena' THEN 2 WHEN 'frase' THEN 3 ELSE 4 END, source, stage, nr, key, seq) AS INTEGER) AS position FROM one)"""
+
+
+def _all_hits(spark: SparkSession, d: str, asked: str = MIXED, with_fuzzy: bool = False) -> DataFrame:
+    # the index is made once and asked several times; a stored one would be read here
+    return search.search(_recognised(spark, d), _postings(spark, d).persist(), _values(spark, asked, "query_id, query"), with_fuzzy)
+
+
+@query(ALL_SQL + " SELECT query_id, doc_id, page, source, token_searched, match_type, snippet, matched_term, x0, y0, position FROM placed_hits")
+def search_ranked(spark, d):
+    """Stages 1 to 3 and phrases, without repeats, in order."""
+    return _all_hits(spark, d).select("query_id", "doc_id", "page", "source", "token_searched", "match_type", "snippet", "matched_term", "x0", "y0", "position")
+
+
+@query(ALL_SQL + rf""" SELECT q.query_id, q.query, coalesce(array_to_string(CASE WHEN {STRIP.format('query')} = '' THEN [] ELSE list_filter(regexp_split_to_array({STRIP.format('query')}, '[\s,\-_:\.;/]+'), lambda x: length(x) >= 2) END, '|'), '') AS tokens,
+  coalesce(n, 0) AS total_matches, coalesce(p, 0) AS matched_pages FROM (VALUES {MIXED}) AS q(query_id, query) LEFT JOIN (SELECT query_id, count(*) AS n, count(DISTINCT (doc_id, page)) AS p FROM placed_hits GROUP BY query_id) h ON h.query_id = q.query_id""")
+def search_summary(spark, d):
+    rows = search.summary(_values(spark, MIXED, "query_id, query"), _all_hits(spark, d))
+    return rows.withColumn("tokens", F.array_join("tokens", "|"))
+
+
+@query(ALL_SQL + " SELECT query_id, doc_id, array_to_string(list_sort(list(DISTINCT page)), ',') AS pages, count(*) AS total_matches FROM placed_hits GROUP BY query_id, doc_id")
+def matched_pages(spark, d):
+    return search.matched_pages(_all_hits(spark, d)).withColumn("pages", F.array_join("pages", ","))
+
+
+@query(ALL_SQL + " SELECT doc_id, page, length(text) < 30 AS is_scanned FROM lines WHERE (doc_id, page) IN (SELECT (doc_id, page) FROM placed_hits WHERE query_id = 1)")
+def pages_with_matches(spark, d):
+    hits = _all_hits(spark, d).filter("query_id = 1")
+    return sinks.filtered_pages(_recognised(spark, d), "matches", hits).select("doc_id", "page", "is_scanned")
+
+
+@query(ALL_SQL + " SELECT DISTINCT query_id, doc_id, page, x0, y0 FROM placed_hits WHERE x0 IS NOT NULL")
+def highlight_rects(spark, d):
+    return search.highlight_rects(_all_hits(spark, d)).select("query_id", "doc_id", "page", "x0", "y0").distinct()
+
+
+NEAR = "(1, 'endlich verstand'), (2, 'thatting'), (3, 'ermentiel')"
+
+
+@query(f"""WITH {POSTINGS}, {TERMS.format(asked=NEAR)}, v AS (SELECT DISTINCT term AS key FROM posted WHERE regexp_full_match(term, '[ -~]+'))
+SELECT DISTINCT a.term, key, CAST(levenshtein(a.term, key) AS INTEGER) AS edits FROM asked a JOIN v ON substr(a.term, 1, 1) = substr(key, 1, 1) AND a.term <> key
+WHERE length(a.term) >= 4 AND 2 * least(length(a.term), length(key)) >= 0.82 * (length(a.term) + length(key)) AND levenshtein(a.term, key) <= floor(0.18 * (length(a.term) + length(key)) + 1e-9)""")
+def fuzzy_candidates(spark, d):
+    """What the native bounds leave for the similarity itself."""
+    words = _postings(spark, d, places=False).select(F.col("term").alias("key")).distinct().filter(F.col("key").rlike("^[ -~]+$"))
+    asked = search.terms(_values(spark, NEAR, "query_id, query")).filter(F.length("term") >= config.FUZZY_LENGTH).select("term").distinct()
+    met = asked.join(words, (F.substring("term", 1, 1) == F.substring("key", 1, 1)) & (F.col("term") != F.col("key")) & tx.may_be_similar(F.col("term"), F.col("key")))
+    return met.select("term", "key", F.levenshtein("term", "key").alias("edits"))
+
+
+@query()
+def search_fuzzy(spark, d):
+    return _all_hits(spark, d, NEAR, with_fuzzy=True).filter(F.startswith("match_type", F.lit("difuso")))
+
+
+@query()
+def search_batch(spark, d):
+    """The first words of every benchmark item as a phrase query, all stages."""
+    items = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("query"))
+    return search.summary(items, search.search(_turns(spark, d), index.postings(source.words(_turns(spark, d))), items)).drop("tokens")
+
+
+@query(rf"SELECT query_id, array_to_string(CASE WHEN len(t) > 1 AND NOT list_contains(t, raw) THEN list_concat([raw], u) ELSE u END, '|') AS terms FROM (SELECT query_id, raw, t, list_filter(t, lambda x, i: list_position(t, x) = i) AS u FROM (SELECT query_id, {STRIP.format('query')} AS raw, list_filter(regexp_split_to_array({STRIP.format('query')}, '[\s,\-_:\.;/]+'), lambda x: length(x) >= 2) AS t FROM (VALUES (1, 'uno dos uno'), (2, 'solo'), (3, ' a b '), (4, 'NIT 900.123')) AS q(query_id, query)))")
+def highlight_terms(spark, d):
+    rows = _values(spark, "(1, 'uno dos uno'), (2, 'solo'), (3, ' a b '), (4, 'NIT 900.123')", "query_id, query")
+    return search.highlight_terms(rows).withColumn("terms", F.array_join("terms", "|"))
+
+
+@query(r"SELECT item_id, regexp_replace(text, '(?i)(the)', '<mark>\1</mark>', 'g') AS shown FROM benchmark")
+def snippet_highlight(spark, d):
+    return _table(spark, d, "benchmark").select("item_id", tx.highlighted(F.col("text"), F.lit("the")).alias("shown"))
+
+
+# ---------------------------------------------------------------- context
+FIELDS = ["the ring", "ment", "tion of", "schreiben heit"]
+SCORE = " + ".join([f"CASE WHEN contains(n, '{f}') THEN 5 ELSE 0 END" for f in FIELDS] + [f"CASE WHEN contains(n, '{w}') THEN 1 ELSE 0 END" for f in FIELDS for w in f.split() if len(w) > 3])
+SCORES = f"{TURNS}, scored AS (SELECT doc_id, page, text, CAST({SCORE} AS INTEGER) AS score, count(*) OVER (PARTITION BY doc_id) AS pages FROM (SELECT *, lower(strip_accents(text)) AS n FROM turns))"
+
+
+@query(f"WITH {SCORES} SELECT doc_id, page, score FROM scored")
+def page_scores(spark, d):
+    return context.page_scores(_turns(spark, d), FIELDS)
+
+
+@query(f"WITH {TURNS}, c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS pages FROM turns) SELECT doc_id, md5(substr(string_agg('--- PÁGINA ' || page || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY page), 1, 3500)) AS context, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages_used FROM c WHERE pages <= 3 AND text <> '' GROUP BY doc_id")
+def context_small(spark, d):
+    rows = context.small_contexts(_turns(spark, d)).filter(F.size("pages_used") > 0)
+    return rows.select("doc_id", F.md5(F.encode("context", "UTF-8")).alias("context"), F.array_join("pages_used", ",").alias("pages_used"))
+
+
+@query(f"""WITH {SCORES}, best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, page) AS nth FROM scored WHERE pages > 3),
+chunks AS (SELECT doc_id, page, '--- PÁGINA ' || page || ' ---' || chr(10) || text || chr(10) AS chunk FROM best WHERE (nth <= 4 OR page = 1) AND text <> ''),
+cut AS (SELECT *, coalesce(sum(length(chunk)) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chunks)
+SELECT doc_id, md5(substr(string_agg(substr(chunk, 1, CAST(1200 - before AS BIGINT)), chr(10) ORDER BY page), 1, 1200)) AS context, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS pages_used FROM cut WHERE before < 1200 GROUP BY doc_id""")
+def context_pruned(spark, d):
+    rows = context.pruned_contexts(_turns(spark, d), FIELDS, 1200)
+    return rows.select("doc_id", F.md5(F.encode("context", "UTF-8")).alias("context"), F.array_join("pages_used", ",").alias("pages_used"))
+
+
+@query(ALL_SQL + """, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, page ORDER BY position) AS of_page FROM placed_hits),
+m AS (SELECT *, sum(CASE WHEN of_page = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, doc_id ORDER BY position) AS seen FROM n),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY position) AS place FROM m WHERE of_page = 1 OR seen < 3)
+SELECT query_id, doc_id, md5(substr(string_agg('[Página ' || page || ' | ' || CASE source WHEN 'text' THEN 'Texto Digital' ELSE 'Escaneo de Página (OCR)' END || '] ' || snippet, chr(10) ORDER BY place), 1, 2500)) AS evidence, string_agg(CAST(page AS VARCHAR), ',' ORDER BY place) AS pages_used FROM t WHERE place <= 5 GROUP BY query_id, doc_id""")
+def evidence_select(spark, d):
+    rows = context.evidence(_all_hits(spark, d))
+    return rows.select("query_id", "doc_id", F.md5(F.encode("evidence", "UTF-8")).alias("evidence"), F.array_join("pages_used", ",").alias("pages_used"))
+
+
+@query()
+def extract_values(spark, d):
+    return extract.extract_values(_turns(spark, d), FIELDS, extract.EchoModel()).withColumn("values", F.to_json("values"))
+
+
+@query()
+def ask_questions(spark, d):
+    pages = _turns(spark, d)
+    asked = _values(spark, "(1, 'password mail'), (2, 'zzzzqqq'), (3, ' ')", "query_id, query")
+    return extract.ask(pages, index.postings(source.words(pages)), asked, extract.EchoModel())
+
+
+# ---------------------------------------------------------------- vocabulary
+def _known_sql() -> str:
+    words = ", ".join(f"('{w}', {i}, '{vocabulary.form_of(w)}', {str(w in vocabulary._forms()).lower()})" for i, w in enumerate(vocabulary.WORDS))
+    wrong = ", ".join(f"('{b}', '{vocabulary.form_of(g)}')" for g, several in vocabulary.CONFUSIONS.items() for b in several.split())
+    return f"k AS (SELECT * FROM (VALUES {words}) AS t(word, ord, form, has_form)), wrong AS (SELECT * FROM (VALUES {wrong}) AS t(bad, form))"
+
+
+def _correct_sql(tokens: str) -> str:
+    cut = "substr({0}, 1, CAST(i - 1 AS BIGINT)) || substr({0}, CAST(i + 1 AS BIGINT))"
+    return rf"""WITH {_known_sql()}, tok AS ({tokens}), o AS (SELECT token, lower(strip_accents(token)) AS clean FROM tok WHERE length(token) >= 4 AND NOT regexp_matches(token, '\p{{Nd}}')),
+a AS (SELECT o.*, w.form AS f1, k.word AS known, CASE WHEN k.has_form THEN k.form END AS f2 FROM o LEFT JOIN wrong w ON w.bad = clean LEFT JOIN k ON k.word = clean),
+rest AS (SELECT token, clean FROM a WHERE f1 IS NULL AND known IS NULL),
+h AS (SELECT token, arg_min(form, ord) AS f3 FROM rest JOIN k ON length(word) = length(clean) AND len(list_filter(range(1, length(word) + 1), lambda i: substr(word, i, 1) <> substr(clean, i, 1))) = 1 GROUP BY token),
+short AS (SELECT s, arg_min(word, ord * 100 + i) AS word, arg_min(form, ord * 100 + i) AS form FROM (SELECT word, form, ord, i, {cut.format('word')} AS s FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM k)) GROUP BY s),
+g AS (SELECT token, arg_min(form, i) AS f4 FROM (SELECT token, clean, i, {cut.format('clean')} AS s FROM (SELECT *, unnest(range(1, length(clean) + 1)) AS i FROM rest)) r JOIN short USING (s) WHERE abs(length(word) - length(clean)) <= 1 GROUP BY token),
+z AS (SELECT a.token, CASE WHEN f1 IS NOT NULL THEN 1 WHEN known IS NOT NULL THEN CASE WHEN f2 IS NOT NULL THEN 2 ELSE 0 END WHEN f3 IS NOT NULL THEN 3 WHEN f4 IS NOT NULL THEN 4 ELSE 0 END AS step, CASE WHEN known IS NOT NULL AND f1 IS NULL THEN f2 ELSE coalesce(f1, f3, f4) END AS form FROM a LEFT JOIN h USING (token) LEFT JOIN g USING (token))
+SELECT token, CASE WHEN step = 0 THEN token WHEN token = upper(token) AND token <> lower(token) THEN upper(form) WHEN substr(token, 1, 1) = upper(substr(token, 1, 1)) AND substr(token, 1, 1) <> lower(substr(token, 1, 1)) THEN form ELSE lower(form) END AS corrected, step FROM z
+UNION ALL SELECT token, token, 0 FROM tok WHERE token NOT IN (SELECT token FROM o)"""
+
+
+SAMPLES = "'facha', 'Gestlon', 'PACLENTE', 'losartan', 'Losartan', 'jumio', 'fehca', 'pacente', 'hola', 'dios', 'fecha', 'FECHA', 'abc', 'CC-10', 'numer0', 'semedica', 'Comarcal', 'electronlco', 'miercoles', 'total', 'saldo', 'saluo', 'xyzw', 'diagnosttco', 'ENERO'"
+
+
+@query(_correct_sql(f"SELECT unnest([{SAMPLES}]) AS token"))
+def vocab_samples(spark, d):
+    return vocabulary.corrections(spark.sql(f"SELECT explode(array({SAMPLES})) AS token"))
+
+
+@query(_correct_sql(rf"SELECT DISTINCT word AS token FROM (SELECT unnest(regexp_extract_all(text, '\p{{L}}+')) AS word FROM documents) WHERE regexp_full_match(word, '[A-Za-z]{{4,9}}')"))
+def vocab_corrections(spark, d):
+    """Corrections of every plain word of the documents."""
+    words = _table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("token"))
+    return vocabulary.corrections(words.filter(F.col("token").rlike("^[A-Za-z]{4,9}$")))
+
+
+@query()
+def clean_blocks(spark, d):
+    """Turns of conversations cleaned as recognised text."""
+    rows = _table(spark, d, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
+    return vocabulary.cleaned(rows)
+
+
+# ---------------------------------------------------------------- JSON and exports
+RAWS = """(1, '{"answer": "42", "unit": "kg", "page": 3, "evidence": "x", "confidence": 0.87654}'), (2, '```json
+{"answer": "a b", "confidence": 1}
+```'), (3, 'Claro: {"answer": null, "confidence": 0.9} fin'), (4, 'nada'), (5, '[1, 2]'), (6, '{"answer": "x", "confidence": "alta"}')"""
+JSON_SQL = rf"""raws AS (SELECT * FROM (VALUES {RAWS}) AS t(id, raw)), tries AS (SELECT id, raw, CASE WHEN starts_with(trim(raw), '```') THEN regexp_extract(raw, '(?s)^```[^\n]*\n(.*)```', 1) ELSE raw END AS body FROM raws),
+s AS (SELECT id, CASE WHEN json_valid(raw) AND json_type(CAST(raw AS JSON)) = 'OBJECT' THEN raw WHEN json_valid(body) AND json_type(CAST(body AS JSON)) = 'OBJECT' THEN body WHEN json_valid(regexp_extract(body, '(?s)\{{.*\}}')) AND regexp_extract(body, '(?s)\{{.*\}}') <> '' THEN regexp_extract(body, '(?s)\{{.*\}}') END AS j FROM tries)"""
+
+
+@query(f"WITH {JSON_SQL} SELECT id, j IS NOT NULL AS is_object, json_extract_string(j, '$.answer') AS answer FROM s")
+def json_salvage(spark, d):
+    rows = _values(spark, RAWS.replace("\n", "\\n"), "id, raw").withColumn("j", js.salvaged(F.col("raw")))
+    return rows.select("id", F.col("j").isNotNull().alias("is_object"), F.get_json_object("j", "$.answer").alias("answer"))
+
+
+@query(f"WITH {JSON_SQL} SELECT id, json_extract_string(j, '$.answer') AS answer, json_extract_string(j, '$.unit') AS unit, CAST(json_extract_string(j, '$.page') AS INTEGER) AS page, json_extract_string(j, '$.evidence') AS evidence, CASE WHEN json_extract_string(j, '$.answer') IS NULL THEN 0.0 ELSE coalesce(round(TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE), 3), 0.0) END AS confidence FROM s")
+def answer_guard(spark, d):
+    return _values(spark, RAWS.replace("\n", "\\n"), "id, raw").select("id", js.guarded(F.col("raw")).alias("a")).select("id", "a.*")
+
+
+@query("SELECT * FROM (VALUES (1, 2), (2, 0), (3, 0), (4, 1)) AS t(id, n)")
+def rects_parse(spark, d):
+    rows = _values(spark, "(1, '[[1,2,3,4],[5,6,7,8.5]]'), (2, 'x'), (3, '[[1,2,3]]'), (4, '[[1,2,3,4],[1]]')", "id, raw")
+    return rows.select("id", F.size(js.boxes(F.col("raw"))).alias("n"))
+
+
+PAIRS = "(1, 'Total', '1\"200'), (1, 'Fecha', 'No encontrado'), (2, 'NIT', ''), (2, 'Valor', 'Error de lectura'), (3, 'Nombre', 'Ana')"
+
+
+@query(f"SELECT doc_id, field, value, coalesce(value <> '' AND value <> 'No encontrado' AND NOT contains(value, 'Error'), false) AS found FROM (VALUES {PAIRS}) AS t(doc_id, field, value)")
+def values_explode(spark, d):
+    maps = _values(spark, PAIRS.replace('"', '\\"'), "doc_id, field, value").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("values"))
+    return sinks.value_rows(maps)
+
+
+@query(f"""SELECT doc_id, '"' || field || '","' || replace(value, '"', '""') || '"' AS line FROM (VALUES {PAIRS}) AS t(doc_id, field, value)""")
+def csv_export(spark, d):
+    maps = _values(spark, PAIRS.replace('"', '\\"'), "doc_id, field, value").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("values"))
+    return sinks.csv_lines(maps)
+
+
+@query("SELECT unnest(['Fecha', 'Total', 'IVA']) AS field")
+def fields_edit(spark, d):
+    one = lambda *x: spark.createDataFrame([(v,) for v in x], "field string")
+    return sinks.edited_fields(one("NIT", "Fecha", "Total"), one("Total", "IVA"), one("NIT"))
+
+
+# ---------------------------------------------------------------- geometry and recognition
+BOXES = "(1, 100, 250, 900, 400, 50.0, 100.0, 545.0, 400.0), (2, 0, 37, 640, 480, 0.0, 0.0, 595.0, 842.0), (3, 5, 5, 10, 10, 7.0, 7.0, 7.0, 20.0), (4, 33, 44, 0, 10, 1.0, 1.0, 2.0, 2.0)"
+
+
+@query(f"SELECT id, px / CAST(150.0 / 72.0 AS DOUBLE) AS x, py / CAST(150.0 / 72.0 AS DOUBLE) AS y FROM (VALUES {BOXES}) AS t(id, px, py, w, h, x0, y0, x1, y1)")
+def box_to_points_scan(spark, d):
+    zoom = F.lit(config.RENDER_DPI / 72.0)
+    return _values(spark, BOXES, "id, px, py, w, h, x0, y0, x1, y1").select("id", nm.scan_to_points(F.col("px"), zoom).alias("x"), nm.scan_to_points(F.col("py"), zoom).alias("y"))
+
+
+@query(f"SELECT id, CAST(CASE WHEN x1 <> x0 AND w <> 0 THEN round_even(x0 + px / CAST(w AS DOUBLE) * (x1 - x0), 2) END AS DOUBLE) AS x, CAST(CASE WHEN y1 <> y0 AND h <> 0 THEN round_even(y0 + py / CAST(h AS DOUBLE) * (y1 - y0), 2) END AS DOUBLE) AS y FROM (SELECT id, px, py, w, h, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM (VALUES {BOXES}) AS t(id, px, py, w, h, x0, y0, x1, y1))")
+def box_to_points_image(spark, d):
+    rows = _values(spark, BOXES, "id, px, py, w, h, x0, y0, x1, y1")
+    place = lambda a, b, p, s: nm.image_to_points(F.col(a).cast("double"), F.col(b).cast("double"), F.col(p), F.col(s))
+    return rows.select("id", place("x0", "x1", "px", "w").alias("x"), place("y0", "y1", "py", "h").alias("y"))
+
+
+SIZES = "(1, 800, 600), (2, 4000, 3000), (3, 300, 150), (4, 900, 2500), (5, 40, 500)"
+
+
+@query(f"SELECT id, CASE WHEN greatest(w, h) > 2000 AND w >= 1000 THEN 1800.0 / greatest(w, h) WHEN greatest(w, h) < 600 AND least(w, h) > 50 THEN 1000.0 / greatest(w, h) ELSE 1.0 END AS ratio, greatest(2, CAST(floor(w * 0.008) AS INTEGER)) AS border, CASE WHEN least(CAST(floor(h * 0.16) AS INTEGER), 380) >= 60 THEN least(CAST(floor(h * 0.16) AS INTEGER), 380) END AS header FROM (VALUES {SIZES}) AS t(id, w, h)")
+def image_preparation(spark, d):
+    rows = _values(spark, SIZES, "id, w, h")
+    return rows.select("id", nm.resize_ratio(F.col("w"), F.col("h")).alias("ratio"), nm.border(F.col("w")).alias("border"), nm.header_band(F.col("h"))["height"].alias("header"))
+
+
+@query("SELECT id, CAST(15 + floor(65 * a / b) AS INTEGER) AS progress, least(100, greatest(0, coalesce(c, 0))) AS clamped, CAST(floor(e * 100 + 0.5) AS INTEGER) AS percent FROM (SELECT id, a, CAST(b AS DOUBLE) AS b, c, CAST(e AS DOUBLE) AS e FROM (VALUES (1, 1, 4, 120, 0.876), (2, 3, 3, -5, 0.5), (3, 0, 7, NULL, 0.0)) AS t(id, a, b, c, e))")
+def progress_figures(spark, d):
+    rows = _values(spark, "(1, 1, 4, 120, 0.876), (2, 3, 3, -5, 0.5), (3, 0, 7, NULL, 0.0)", "id, a, b, c, e")
+    return rows.select("id", nm.progress(F.col("a"), F.col("b")).alias("progress"), nm.clamped(F.col("c")).alias("clamped"), nm.percent(F.col("e").cast("double")).alias("percent"))
+
+
+@query(f"WITH {LINES}, w AS (SELECT doc_id, page, unnest(l) AS word, generate_subscripts(l, 1) AS nr FROM (SELECT *, regexp_split_to_array(text, '\\s+') AS l FROM lines WHERE text <> '')), l AS (SELECT doc_id, page, string_agg(word, ' ' ORDER BY nr) AS t FROM w GROUP BY ALL) SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(string_agg(t, chr(10) ORDER BY page)) AS digest FROM l GROUP BY doc_id")
+def ocr_lines(spark, d):
+    """Text put together again from words by (block, paragraph, line)."""
+    words = source.words(_pages(spark, d)).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("x").alias("item_id"), F.col("word").alias("text"), F.lit(1).alias("block"), F.lit(1).alias("par"), F.col("page").alias("line"), F.col("seq").alias("at"))
+    return ocr.lines(words).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+PLACED = "(1, 1, true, 'p1_img1', 0.3), (1, 1, true, 'p1_img2', 0.8), (1, 2, true, 'p2_img1', 0.2), (1, 3, false, 'p3_img1', 0.9), (1, 3, false, 'p3_img2', 0.1), (2, 1, true, 'p1_img1', 0.5), (2, 1, true, 'p1_img2', 0.5), (2, 2, true, NULL, NULL)"
+
+
+@query(f"WITH p AS (SELECT doc_id, page, scanned, id, CAST(cover AS DOUBLE) AS cover, row_number() OVER (PARTITION BY doc_id, page ORDER BY cover DESC NULLS LAST, id) AS nth FROM (VALUES {PLACED}) AS t(doc_id, page, scanned, id, cover)), b AS (SELECT *, max(cover) OVER (PARTITION BY doc_id, page) AS top FROM p) SELECT doc_id, page, CASE WHEN scanned AND coalesce(top, 0) < 0.5 THEN 'p' || page || '_full_scan' ELSE id END AS item_id, CASE WHEN scanned AND coalesce(top, 0) < 0.5 THEN 'scan' ELSE 'image' END AS kind FROM b WHERE CASE WHEN scanned THEN nth = 1 ELSE id IS NOT NULL END")
+def ocr_routing(spark, d):
+    rows = _values(spark, PLACED, "doc_id, page, is_scanned, id, cover").withColumn("cover", F.col("cover").cast("double"))
+    pages = rows.groupBy("doc_id", "page", "is_scanned").agg(F.array_sort(F.filter(F.collect_list(F.struct("id", "cover")), lambda p: p["id"].isNotNull())).alias("placements"))
+    return ocr.routed(pages)
+
+
+@query(rf"WITH w AS (SELECT item_id, list_slice(regexp_split_to_array(text, '\s+'), 1, 12) AS l FROM benchmark) SELECT item_id, array_to_string(list_filter(l, lambda x: length(x) >= 3 AND regexp_matches(x, '[\p{{L}}\p{{N}}]') AND NOT contains('the and of ring', lower(x))), ' ') AS header FROM w")
+def header_filter(spark, d):
+    words = F.slice(F.split("text", r"\s+"), 1, 12)
+    return _table(spark, d, "benchmark").select("item_id", F.array_join(ocr.header_words(words, F.lit("the and of ring")), " ").alias("header"))
+
+
+# ---------------------------------------------------------------- content
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS content_sha256 FROM documents")
+def content_hash(spark, d):
+    return content.hashed(_table(spark, d, "documents"))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS content_sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def dedup_documents(spark, d):
+    return content.distinct_documents(_table(spark, d, "documents"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE source = 'src0')")
+def cache_unseen(spark, d):
+    rows = _table(spark, d, "documents").withColumns({"content_sha256": content.content_hash(F.coalesce("text", F.lit(""))), "options": F.lit("dpi=150")})
+    return content.unseen(rows, rows.filter("source = 'src0'")).select("doc_id", "source")
+
+
+@query("SELECT sha256(coalesce(text, '')) AS content_sha256, max(doc_id) AS last_used FROM documents GROUP BY 1 ORDER BY last_used DESC, 1 LIMIT 3")
+def cache_retained(spark, d):
+    used = content.hashed(_table(spark, d, "documents")).groupBy("content_sha256").agg(F.max("doc_id").alias("last_used"))
+    return content.retained(used)
+
+
+@query(r"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '[^.](\.[^.]*)$', 1)) AS ext FROM pages")
+def file_names(spark, d):
+    return _table(spark, d, "pages").select("page_id", tx.basename(F.col("url")).alias("name"), tx.extension(F.col("url")).alias("ext"))
+
+
+@query()
+def stream_index(spark, d):
+    """An index built by a stream over a folder, as terms and postings."""
+    import tempfile
+    import uuid
+
+    from lexquarry.streaming import incremental
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lexquarry-")
+    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    _table(spark, d, "documents").select("doc_id", "text").write.parquet(f"{folder}/in")
+    incremental.watch(spark, f"{folder}/in", f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
+    return index.stats(spark.read.parquet(f"{folder}/index/postings"))
