@@ -93,6 +93,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
             for at in range(0, b.num_rows, 256):
                 s = b.slice(at, 256)
                 yield pa.RecordBatch.from_pydict(done(v, s.column(0), [v.encode(t) for t in s.column(1).to_pylist()]))
+        v.clear()  # the worker goes on to other tasks
 
     out = docs.filter(F.length("text") <= chunk).mapInArrow(short, f"doc_id {doc_type}, {kind}")
 

@@ -36,7 +36,7 @@ class Ids(dict):
 
     LATIN = 0x24F
 
-    def __init__(self, path: str, pattern: str, limit: int = 800_000):
+    def __init__(self, path: str, pattern: str, limit: int = 600_000):
         import json
 
         import regex
@@ -108,6 +108,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, end: int, size: int) -> Dat
                         out.append((piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([s.column(0).take(pa.array(take, pa.int32())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.clear()  # the worker goes on to other tasks
 
     return docs.mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 

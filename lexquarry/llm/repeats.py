@@ -28,7 +28,7 @@ from lexquarry.llm.common import saved
 
 LEAST, GRAM = 100, 40
 SEGMENT = (1 << 20) - 256
-SHARD, CROWD = 2 << 20, 20_000
+SHARD, CROWD = 1 << 20, 10_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = -(2**63)
 
@@ -252,17 +252,17 @@ def ranges(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard: int = S
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with d (doc_id, null the smallest) and k (which tells apart texts that share one)."""
+    """d (doc_id, null the smallest), k (which tells apart texts that share one), text, and all columns as row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)), "k": F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF))})
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("d"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF)).alias("k"), "text", rest.alias("rest"))
 
 
-def _with_ranges(docs: DataFrame, least: int, **how) -> DataFrame:
-    """docs (d, k and other columns) with ranges: an array of low << 31 | high, null if there are none."""
-    own = docs.select("d", "k", F.coalesce("text", F.lit("")).alias("text"))
-    found = ranges(own, least, **how)
+def _with_ranges(keyed: DataFrame, least: int, **how) -> DataFrame:
+    """text, rest and ranges: an array of low << 31 | high, null if there are none."""
+    found = ranges(keyed.select("d", "k", F.coalesce("text", F.lit("")).alias("text")), least, **how)
     by_doc = found.groupBy("d", "k").agg(F.collect_list(F.shiftleft("low", 31).bitwiseOR(F.col("high"))).alias("ranges"))  # of one document
-    return docs.join(by_doc.withColumnsRenamed({"d": "d_", "k": "k_"}), (F.col("d") == F.col("d_")) & (F.col("k") == F.col("k_")), "left").drop("d_", "k_", "d", "k")
+    return keyed.join(by_doc.withColumnsRenamed({"d": "d_", "k": "k_"}), (F.col("d") == F.col("d_")) & (F.col("k") == F.col("k_")), "left").select("text", "rest", "ranges")
 
 
 def _kept(text: bytes, packed: list[int] | None) -> tuple[bytes, int]:
@@ -292,7 +292,7 @@ def report(docs: DataFrame, least: int = LEAST, **how) -> DataFrame:
                 kept, spans = _kept(text, packed)
                 out.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
             n, gone, spans, sha = zip(*out)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([b["rest"].field("doc_id"), *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(sha)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -300,11 +300,10 @@ def report(docs: DataFrame, least: int = LEAST, **how) -> DataFrame:
 def removed(docs: DataFrame, least: int = LEAST, **how) -> DataFrame:
     """docs with the repeats cut out of text; a character that a cut splits goes. Null texts stay null."""
     joined = _with_ranges(_keyed(docs), least, **how)
-    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         for b in batches:
             texts = [t if t is None else _kept(t, r)[0].decode("utf-8", "ignore") for t, r in zip(b["text"].cast(pa.binary()).to_pylist(), b["ranges"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in rest), pa.array(texts, pa.string())], names=[*rest, "text"])
+            yield pa.RecordBatch.from_arrays([b["rest"], pa.array(texts, pa.string())], names=["rest", "text"])
 
-    return joined.mapInArrow(run, joined.select(*rest, "text").schema).select(*docs.columns)
+    return joined.mapInArrow(run, joined.select("rest", "text").schema).select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))

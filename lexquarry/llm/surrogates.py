@@ -119,9 +119,12 @@ def _pick(words: list[str], hexes: Column, at: int) -> Column:
     return F.get(_lits(words), F.conv(F.substring(hexes, at, 6), 16, 10).cast("long").cast("int") % len(words))
 
 
-def drawn(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The surrogate of a part at an attempt, in canonical form."""
-    hexes = _stream(key, F.regexp_replace(kind, ":.*", ""), canon, attempt.cast("string"))
+def drawn(rows: DataFrame, key: str) -> DataFrame:
+    """rows (kind, canon, attempt) with the surrogate of each part at that attempt, in canonical form."""
+    return rows.withColumn("_hex", _stream(key, F.regexp_replace("kind", ":.*", ""), F.col("canon"), F.col("attempt").cast("string"))).withColumn("surrogate", _drawn(F.col("kind"), F.col("canon"), F.col("attempt"), F.col("_hex"))).drop("_hex")
+
+
+def _drawn(kind: Column, canon: Column, attempt: Column, hexes: Column) -> Column:
     digits = F.translate(hexes, "abcdef", "012345")
     dot = F.length(canon) - F.length(F.substring_index(canon, ".", -1))
     email = F.concat(_shaped(F.substring(canon, F.lit(1), dot - 1), hexes), F.substring(canon, dot, F.length(canon)))
@@ -166,13 +169,13 @@ def rendered(raw: Column, kind: Column, surrogate: Column) -> Column:
 def table(parts: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """kind, canon, surrogate for the distinct parts: no two of a class share one, none is a part itself."""
     of_class = F.regexp_replace("kind", ":.*", "")
-    rows = saved(parts.groupBy("kind", "canon").count().select("kind", "canon", of_class.alias("class"), F.lit(0).alias("attempt")).withColumn("surrogate", drawn(key, F.col("kind"), F.col("canon"), F.col("attempt"))), "surrogates")
+    rows = saved(drawn(parts.groupBy("kind", "canon").count().select("kind", "canon", of_class.alias("class"), F.lit(0).alias("attempt")), key), "surrogates")
     for _ in range(rounds):
         taken = rows.select(F.col("class").alias("c"), F.col("canon").alias("s")).distinct()
         twice = Window.partitionBy("class", "surrogate").orderBy("attempt", "canon", "kind")
         judged = rows.withColumn("place", F.row_number().over(twice)).join(taken, (F.col("class") == F.col("c")) & (F.col("surrogate") == F.col("s")), "left").withColumn("again", (F.col("place") > 1) | F.col("s").isNotNull())
-        judged = judged.select("kind", "canon", "class", F.col("attempt") + F.when(F.col("again"), 1).otherwise(0), "surrogate", "again").toDF("kind", "canon", "class", "attempt", "surrogate", "again")
-        new = saved(judged.select("kind", "canon", "class", "attempt", "again", F.when(F.col("again"), drawn(key, F.col("kind"), F.col("canon"), F.col("attempt"))).otherwise(F.col("surrogate")).alias("surrogate")), "surrogates")
+        tried = drawn(judged.select("kind", "canon", "class", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"), "again", F.col("surrogate").alias("old")), key)
+        new = saved(tried.select("kind", "canon", "class", "attempt", "again", F.when(F.col("again"), F.col("surrogate")).otherwise(F.col("old")).alias("surrogate")), "surrogates")
         dropped(rows.sparkSession, rows)
         rows = new.drop("again")
         if not new.filter("again").limit(1).count():
