@@ -37,27 +37,32 @@ def words_of(text: bytes, part: int = PART) -> Iterator[list[bytes]]:
         at = end
 
 
-def fingerprint(text: str, width: int = 3, part: int = PART) -> int:
+def shingles_of(text: str, width: int, part: int = PART) -> Iterator[np.ndarray]:
+    """XXH64 of the text's shingles, repeats included, part by part; fewer words than a shingle has make one."""
     from xxhash import xxh64_intdigest
 
-    ones, total, held = np.zeros(64, "int64"), 0, []
-
-    def count(shingles: list[int]) -> None:
-        nonlocal total
-        bits = np.unpackbits(np.array(shingles, "<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little")
-        ones[:] += bits.sum(0, dtype="int64")
-        total += len(shingles)
-
+    held, some = [], False
     for words in words_of(text.encode().lower(), part):
         held += words
         if len(held) >= width:
             line = b" ".join(held)
             ends = np.cumsum([len(w) + 1 for w in held]) - 1
             starts = [0, *(ends + 1).tolist()]
-            count([xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())])
-            held = held[1 - width :]
-    if not total and held:
-        count([xxh64_intdigest(b" ".join(held), SEED)])
+            yield np.array([xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], "<u8")
+            held, some = held[1 - width :] if width > 1 else [], True
+    if held and not some:
+        yield np.array([xxh64_intdigest(b" ".join(held), SEED)], "<u8")
+
+
+def fingerprint(text: str, width: int = 3, part: int = PART) -> int:
+    return _majority(shingles_of(text, width, part))
+
+
+def _majority(parts: Iterator[np.ndarray]) -> int:
+    ones, total = np.zeros(64, "int64"), 0
+    for h in parts:
+        ones += np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="int64")
+        total += len(h)
     return sum(1 << i for i in np.flatnonzero(2 * ones > total).tolist())
 
 
@@ -119,12 +124,109 @@ def groups(docs: DataFrame, width: int = 3, dense: int = DENSE) -> DataFrame:
     return of_docs.join(ids, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, width: int = 5, dense: int = DENSE) -> DataFrame:
+BANDS, ROWS, SMALL = 10, 4, 12
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, fp, node (a hash of all words), keys: a hash of each band of minima over the shingles."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    factors = np.random.default_rng(17).integers(1, 2**63, BANDS * ROWS, dtype="uint64") * np.uint64(2) + np.uint64(1)
+    mix = factors[:ROWS]
+
+    def run(batches):
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                parts = list(shingles_of(text, width))
+                least = np.full(BANDS * ROWS, ~np.uint64(0))
+                for h in parts:
+                    h = h ^ (h >> np.uint64(29))
+                    for at in range(0, len(h), 2048):
+                        np.minimum(least, (h[at : at + 2048, None] * factors).min(0), out=least)
+                keys = (least.reshape(BANDS, ROWS) * mix).sum(1, dtype="uint64") + np.arange(BANDS, dtype="uint64")
+                words = [w for part in words_of(text.encode().lower()) for w in part]
+                out.append((_majority(iter(parts)), xxh64_intdigest(b" ".join(words), 7), keys.view("int64") if parts else keys[:0].view("int64")))
+            fps, nodes, keys = zip(*out)
+            signed = lambda x: pa.array(np.array(x, "uint64").view("int64"))
+            yield pa.RecordBatch.from_arrays([b.column(0), signed(fps), signed(nodes), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "fp", "node", "keys"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, node long, keys array<long>")
+
+
+def similar(docs: DataFrame, told: DataFrame, width: int, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of ``least`` or more, verified exactly.
+
+    Candidates share a band. Up to SMALL nodes in a band are paired up; more are each paired with one of them,
+    another one in every band, so that a large group of copies makes as many pairs as it has members.
+    """
+    nodes = told.groupBy("node").agg(F.first("keys").alias("keys"))
+    banded = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    sums = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("lead")).filter("n > 1").select(F.col("band").alias("b_"), F.col("key").alias("k_"), "n", F.col("lead.node").alias("lead"))
+    met = banded.join(sums, (F.col("band") == F.col("b_")) & (F.col("key") == F.col("k_"))).select("node", "band", "key", "n", "lead")
+    few = met.filter(F.col("n") <= SMALL)
+    paired = few.join(few.select(F.col("band").alias("b_"), F.col("key").alias("k_"), F.col("node").alias("other")), (F.col("band") == F.col("b_")) & (F.col("key") == F.col("k_")) & (F.col("node") < F.col("other"))).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    led = met.filter((F.col("n") > SMALL) & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+    pairs = saved(paired.unionByName(led).distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # one text for each node
+    chosen = told.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d")).select("node", F.col("d.doc_id").alias("of"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("of")))
+
+    def sets(batches):
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            for i in range(b.num_rows):
+                text = b["text"][i].as_py()
+                words = [w for part in words_of(text.encode().lower()) for w in part]
+                node = np.array([xxh64_intdigest(b" ".join(words), 7)], "uint64").view("int64")
+                if node[0] == b["node"][i].as_py():  # of rows that share a doc_id the right one
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([np.unique(np.concatenate(list(shingles_of(text, width)))).tobytes()], pa.binary())], names=["node", "set"])
+
+    held = saved(texts.select("node", "text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "sets")
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+
+    def compare(batches):
+        for b in batches:
+            a_s, b_s, keep = b["a"], b["b"], []
+            for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist()):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(same >= least * (len(x) + len(y) - same))
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([a_s.filter(keep), b_s.filter(keep)], names=["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, dense: int = DENSE) -> DataFrame:
+    """doc_id, component_id: groups by fingerprints of ``width`` words, joined further by verified similarity.
+
+    Two bits of 64 are less than texts at a similarity of 0.8 differ in (4 to 14, mostly), so links of
+    fingerprints alone would miss them: see similar(). Nulls, repeats and ties are as in groups().
+    """
+    told = saved(sketches(docs, width), "sketches")
+    fps = told.select("fp").distinct()
+    roots = components(links(fps, dense))
+    rooted = saved(told.select("fp", "node").distinct().join(roots.withColumnRenamed("node", "f"), F.col("fp") == F.col("f"), "left").select("node", "fp", F.coalesce("root", "fp").alias("root")), "roots")
+    place = rooted.groupBy("node").agg(F.min("root").alias("root"))
+    pairs = similar(docs, told, width, least)
+    edges = pairs.join(place.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(place.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    joined = components(edges)
+    final = saved(rooted.select("node", "fp", "root").join(joined.withColumnsRenamed({"node": "j", "root": "top"}), F.col("root") == F.col("j"), "left").select("fp", F.coalesce("top", "root").alias("top")).distinct(), "groups")
+    members = told.select("doc_id", F.col("fp").alias("of")).join(final, F.col("of") == F.col("fp")).select("doc_id", "top")
+    least_id = members.groupBy("top").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("top", "t")
+    return members.join(least_id, F.col("top") == F.col("t")).select("doc_id", "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 5, least: float = 0.8, dense: int = DENSE) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays, whole.
 
     Of rows that share that doc_id one stays. A null doc_id stays only where its group has no other.
     """
-    told = groups(docs, width, dense)
+    told = near_groups(docs, width, least, dense)
     stay = told.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
     kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
     often = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_often"))

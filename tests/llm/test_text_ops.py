@@ -84,7 +84,8 @@ def test_repeats_against_brute_force(spark, least, how):
 
 
 def test_repeats_cut_out_whole_characters(spark):
-    shared = "".join(random.Random(1).choice("éüßñ") for _ in range(60))
+    r = random.Random(1)
+    shared = "".join(r.choice("éüßñ") for _ in range(60))
     docs = clashing(spark, [(1, "a" + shared), (2, "b" + shared + "c"), (3, None)])
     got = {r.doc_id: r.text for r in repeats.removed(docs).collect()}
     assert got == {1: "a" + shared, 2: "bc", 3: None}
@@ -310,6 +311,31 @@ def test_one_of_each_group_stays(spark):
     assert simhash.groups(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("small", [simhash.SMALL, 1])
+def test_similar_texts_go(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    r = random.Random(8)
+    vocabulary = ["w%d" % i for i in range(3000)]
+    rows, want = [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (904, "a c")], {900, 902, 904}
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    for g in range(25):
+        words = [r.choice(vocabulary) for _ in range(200)]
+        first = " ".join(words)
+        rows.append((g * 10, first))
+        want.add(g * 10)
+        for j in range(1, 4):
+            other = list(words)
+            for _ in range(r.choice([1, 2, 3, 4, 12, 25])):
+                other[r.randrange(200)] = r.choice(vocabulary)
+            other = " ".join(other)
+            own = [t for d, t in rows if d >= g * 10 and d < g * 10 + 10]
+            if max(len(sets(other) & sets(t)) / len(sets(other) | sets(t)) for t in own) < 0.8:
+                want.add(g * 10 + j)
+            rows.append((g * 10 + j, other))
+    got = {x.doc_id for x in simhash.representatives(clashing(spark, rows)).collect()}
+    assert got == want and len(rows) - len(want) > 25
+
+
 # ---------------------------------------------------------------- 10: packing
 def test_packing_against_the_library(spark):
     from tokenizers import Tokenizer
