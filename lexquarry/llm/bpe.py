@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexquarry.llm.common import bounded
+
 CHUNK, OVERLAP = 32_768, 1_024
 CACHE = 400_000
 
@@ -80,7 +82,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     null or repeats, each give a row. Other columns are left out. An empty table gives none.
     """
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def done(v: Vocabulary, doc_ids, blobs: list[bytes]) -> dict:

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,14 +22,30 @@ def shared_dir(spark: SparkSession) -> str:
     return set_.rstrip("/")
 
 
+ROWS = 1024
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df; Python gets its rows in batches of at most ROWS from now on (texts and pages are large; the default is 10,000)."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH)) <= ROWS:
+        conf.set(BATCH, ROWS)
+    return df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it again with the same schema."""
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cuts the lineage: writes df to the shared folder and reads it again with the same schema.
+
+    rows: about how many there are, where that is known: small tables make few files.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    few = df if rows is None else df.coalesce(1 + rows // 250_000)
+    few.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -41,14 +55,3 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
     for d in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(d)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, barrier: bool = False) -> DataFrame:
-    """mapInArrow with one call per batch; a call may give None."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (out := rows(b)) is not None:
-                yield out
-
-    return df.mapInArrow(run, schema, barrier)

@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = _star(both).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         low = _star(large.distinct())  # every edge points down
         small = low.select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("low").alias("b"))).distinct()
-        after_edges = saved(small, "edges")
+        after_edges = saved(small, "edges", 2 * before[0])
         after = state(after_edges)
         dropped(spark, edges)
         edges = after_edges

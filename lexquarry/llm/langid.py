@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexquarry.llm.common import bounded
+
 HIDDEN, SPAN, CONTEXT = 10, 128, 6
 SAMPLE, STEPS, BATCH, RATE = 400, 300, 256, 0.02
 UNKNOWN = "und"
@@ -180,20 +182,24 @@ def learnable(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("lang").isNotNull() & (F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1)) % 5 != 0))
 
 
-def sample(docs: DataFrame, most: int = SAMPLE, chars: int = 2000) -> DataFrame:
-    """For training: at most ``most`` documents of each language that aren't held out, by the hash of their ids.
+def sample(docs: DataFrame, counts: dict[str, int], most: int = SAMPLE, chars: int = 2000) -> DataFrame:
+    """For training: at most ``most`` learnable documents of each language of counts, those with the smallest hashes.
 
     Learning reads the beginning of each, ``chars`` characters of it: both bounds are what the model is fitted on, no
-    bound on what it labels.
+    bound on what it labels. A language of many documents is thinned out by the hash first, to about
+    eight times what is taken, so that its rows don't meet in one task.
     """
-    rows = learnable(docs).filter(F.col("text").rlike(r"\p{L}")).select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    rows = learnable(docs).filter(F.col("text").rlike(r"\p{L}") & F.col("lang").isin(list(counts))).withColumn("h", F.xxhash64("doc_id", "text"))
+    bound = {k: min(2**63 - 1, 8 * most * 2**64 // n - 2**63) for k, n in counts.items()}
+    high = F.create_map(*(F.lit(x) for pair in bound.items() for x in pair))
+    rows = rows.filter(F.col("h") <= high[F.col("lang")]).select("lang", F.substring("text", 1, chars).alias("text"), "h")
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= most)
 
 
 def fit(docs: DataFrame, most: int = SAMPLE, languages: int = 200, **how) -> Network:
     """A network learned from a bounded sample: at most ``most`` documents of each of the ``languages`` commonest languages."""
-    known = [r["lang"] for r in learnable(docs).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    rows = sorted((r["lang"], r["h"], r["text"]) for r in sample(docs.filter(F.col("lang").isin(known)), most).collect()) if known else []
+    counts = {r["lang"]: r["n"] for r in learnable(docs).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    rows = sorted((r["lang"], r["h"], r["text"]) for r in sample(docs, counts, most).collect()) if counts else []
     return train([r[2] for r in rows], [r[0] for r in rows], **how)
 
 
@@ -206,7 +212,7 @@ def predict(docs: DataFrame, net: Network, keep: list[str] | None = None, names:
     """
     keep = keep or ["doc_id"]
     more = [] if "text" in keep else [F.col("text")]
-    own = docs.select(*(F.col(f"`{c}`") for c in keep), *more, F.col("doc_id").cast("string").alias("_id"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    own = bounded(docs).select(*(F.col(f"`{c}`") for c in keep), *more, F.col("doc_id").cast("string").alias("_id"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
 
     def run(batches):
         for b in batches:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexquarry.llm.common import bounded
+
 # Short public wordings of licences; <...> stands for anything of a few words.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'],
@@ -138,7 +140,7 @@ def scan(docs: DataFrame) -> DataFrame:
     columns are left out. Texts without a word of licensing aren't sent to Python.
     """
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", F.when(F.col("text").rlike(CANDIDATE), F.col("text")).alias("text"))
+    docs = bounded(docs).select("doc_id", F.when(F.col("text").rlike(CANDIDATE), F.col("text")).alias("text"))
 
     def run(batches):
         memo: dict[str, tuple | None] = {}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import saved
+from lexquarry.llm.common import bounded, saved
 
 SIZE = 1024
 
@@ -90,7 +90,7 @@ def ids_of(path: str, pattern: str) -> Ids:
 
 def pieces(docs: DataFrame, path: str, pattern: str, end: int, size: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: a document's ids, ``end`` after them, cut into ``size`` from the back."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     last = np.array([end], "<u4").tobytes()
 
     def rows(batches):

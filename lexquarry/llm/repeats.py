@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import saved
+from lexquarry.llm.common import bounded, saved
 
 LEAST, GRAM = 100, 40
 SEGMENT = (1 << 20) - 256
 SHARD, CROWD = 1 << 20, 10_000
+PHRASES = 300_000  # held in memory by a task, and summed up before they are dealt out
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = -(2**63)
 
@@ -160,35 +161,46 @@ def _ranges(starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """Phrases and, with whole = 0, ranges that repeat within a batch: h, whole, d, k, begin, many."""
+    """Phrases and, with whole = 0, ranges that repeat near by in a task: h, whole, d, at (k << 31 | begin), many."""
+
+    def summed(d: np.ndarray, k: np.ndarray, rows: list[tuple]) -> pa.RecordBatch | None:
+        h, whole, doc, begin, many = (np.concatenate(c) for c in zip(*rows))
+        if not len(h):
+            return None
+        both = h ^ _mixed(whole)
+        # the first of each phrase stands for it; the rest are repeats, whatever else there is
+        order = np.lexsort((begin, k[doc], d[doc], both))
+        new = np.r_[True, both[order][1:] != both[order][:-1]]
+        head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        same = (d[doc[order]] == d[doc[head]]) & (k[doc[order]] == k[doc[head]]) & (begin[order] == begin[head])
+        keep, rest = order[new], np.sort(order[~new & ~same])
+        found = []
+        for at in np.split(rest, np.flatnonzero(np.diff(doc[rest])) + 1) if len(rest) else []:
+            low, high = merged(begin[at], begin[at] + many[at] + least - 1)
+            found.append((np.full(len(low), doc[at[0]]), low, high - low))
+        more = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, "int64")] * 3
+        of = np.r_[doc[keep], more[0]]
+        spread = _mixed(more[1].astype("uint64") + np.uint64(1) + d[more[0]].view("uint64"))  # ranges go anywhere
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[h[keep], spread].view("int64")), pa.array(np.r_[whole[keep].view("int64"), np.zeros(len(more[0]), "int64")]), pa.array(d[of]), pa.array(k[of] << 31 | np.r_[begin[keep], more[1]]), pa.array(np.r_[many[keep], more[2]].astype("int32"))],
+            names=["h", "whole", "d", "at", "many"],
+        )
 
     def run(batches):
+        d, k, rows, held = [], [], [], 0
         for b in batches:
-            d, k = (b.column(i).to_numpy() for i in (0, 1))
-            rows = []
             for i, text in enumerate(b.column(2).cast(pa.binary())):
                 h, whole, begin, many = phrases(np.frombuffer(text.as_buffer(), "u1"), least, gram)
-                rows.append((h, whole, np.full(len(h), i), begin, many))
-            h, whole, doc, begin, many = (np.concatenate(c) for c in zip(*rows))
-            if not len(h):
-                continue
-            both = h ^ _mixed(whole)
-            # the first of each phrase in the batch stands for it; the rest are repeats, whatever else there is
-            order = np.lexsort((begin, k[doc], d[doc], both))
-            new = np.r_[True, both[order][1:] != both[order][:-1]]
-            head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-            same = (d[doc[order]] == d[doc[head]]) & (k[doc[order]] == k[doc[head]]) & (begin[order] == begin[head])
-            keep, rest = order[new], np.sort(order[~new & ~same])
-            ranges = []
-            for at in np.split(rest, np.flatnonzero(np.diff(doc[rest])) + 1) if len(rest) else []:
-                low, high = merged(begin[at], begin[at] + many[at] + least - 1)
-                ranges.append((np.full(len(low), doc[at[0]]), low, high - low))
-            more = [np.concatenate(c) for c in zip(*ranges)] if ranges else [np.zeros(0, "int64")] * 3
-            of = np.r_[doc[keep], more[0]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[h[keep].view("int64"), _mixed(more[1].astype("uint64") + np.uint64(1) + d[more[0]].view("uint64")).view("int64")]), pa.array(np.r_[whole[keep].view("int64"), np.zeros(len(more[0]), "int64")]), pa.array(d[of]), pa.array(k[of] << 31 | np.r_[begin[keep], more[1]]), pa.array(np.r_[many[keep], more[2]].astype("int32"))],
-                names=["h", "whole", "d", "at", "many"],
-            )
+                rows.append((h, whole, np.full(len(h), len(d)), begin, many))
+                d.append(b.column(0)[i].as_py())
+                k.append(b.column(1)[i].as_py())
+                held += len(h)
+                if held >= PHRASES:
+                    if (out := summed(np.array(d), np.array(k), rows)) is not None:
+                        yield out
+                    d, k, rows, held = [], [], [], 0
+        if rows and (out := summed(np.array(d), np.array(k), rows)) is not None:
+            yield out
 
     return docs.select("d", "k", "text").mapInArrow(run, "h long, whole long, d long, at long, many int")
 
@@ -215,8 +227,9 @@ def ranges(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard: int = S
     found = _found(docs, least, gram)
     me = F.struct("d", "at")
     by_phrase, by_hash = Window.partitionBy("h", "whole"), Window.partitionBy("h")
-    # phrases are summed up in their batches before: a key has a row for each batch at most
-    told = found.repartition("h").withColumns({"first": F.min(me).over(by_phrase)}).withColumns({"a": F.min("whole").over(by_hash), "b": F.max("whole").over(by_hash)})
+    # phrases are summed up in their tasks before: of a key there is one row for some thousand documents
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are short, and sorted in memory
+    told = found.repartition(parts, "h").withColumns({"first": F.min(me).over(by_phrase)}).withColumns({"a": F.min("whole").over(by_hash), "b": F.max("whole").over(by_hash)})
     place = {"k": F.shiftright("at", 31), "begin": F.col("at").bitwiseAND(F.lit((1 << 31) - 1))}
     told = told.select("h", "d", *(v.alias(k) for k, v in place.items()), "many", F.when(F.col("whole") == 0, 0).when(me > F.col("first"), 1).when(F.col("a") != F.col("b"), 2).alias("what"))
     told = saved(told.filter("what IS NOT NULL"), "phrases")
@@ -255,7 +268,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """d (doc_id, null the smallest), k (which tells apart texts that share one), text, and all columns as row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("d"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF)).alias("k"), "text", rest.alias("rest"))
+    return bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("d"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF)).alias("k"), "text", rest.alias("rest"))
 
 
 def _with_ranges(keyed: DataFrame, least: int, **how) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import saved
+from lexquarry.llm.common import bounded, saved
 from lexquarry.llm.components import components
 
 SEED, DENSE = 42, 64
@@ -68,7 +68,7 @@ def _majority(parts: Iterator[np.ndarray]) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) of every text."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
         for b in batches:
@@ -129,7 +129,7 @@ BANDS, ROWS, SMALL = 10, 4, 12
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, fp, node (a hash of all words), keys: a hash of each band of minima over the shingles."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     factors = np.random.default_rng(17).integers(1, 2**63, BANDS * ROWS, dtype="uint64") * np.uint64(2) + np.uint64(1)
     mix = factors[:ROWS]
 

@@ -170,12 +170,13 @@ def table(parts: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """kind, canon, surrogate for the distinct parts: no two of a class share one, none is a part itself."""
     of_class = F.regexp_replace("kind", ":.*", "")
     rows = saved(drawn(parts.groupBy("kind", "canon").count().select("kind", "canon", of_class.alias("class"), F.lit(0).alias("attempt")), key), "surrogates")
+    many = rows.count()
     for _ in range(rounds):
         taken = rows.select(F.col("class").alias("c"), F.col("canon").alias("s")).distinct()
         twice = Window.partitionBy("class", "surrogate").orderBy("attempt", "canon", "kind")
         judged = rows.withColumn("place", F.row_number().over(twice)).join(taken, (F.col("class") == F.col("c")) & (F.col("surrogate") == F.col("s")), "left").withColumn("again", (F.col("place") > 1) | F.col("s").isNotNull())
         tried = drawn(judged.select("kind", "canon", "class", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"), "again", F.col("surrogate").alias("old")), key)
-        new = saved(tried.select("kind", "canon", "class", "attempt", "again", F.when(F.col("again"), F.col("surrogate")).otherwise(F.col("old")).alias("surrogate")), "surrogates")
+        new = saved(tried.select("kind", "canon", "class", "attempt", "again", F.when(F.col("again"), F.col("surrogate")).otherwise(F.col("old")).alias("surrogate")), "surrogates", many)
         dropped(rows.sparkSession, rows)
         rows = new.drop("again")
         if not new.filter("again").limit(1).count():

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexquarry.llm.common import bounded
+
 LEAST = 100
 CRLF = "\r\n"
 SHAPE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string"
@@ -30,7 +32,7 @@ def _urn(page_id: Column) -> Column:
 def digested(pages: DataFrame) -> DataFrame:
     """page_id, url, payload (UTF-8; null: empty), n, digest."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    return pages.select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumns({"n": F.length("payload").cast("long"), "digest": F.sha2("payload", 256)})
+    return bounded(pages).select("page_id", F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumns({"n": F.length("payload").cast("long"), "digest": F.sha2("payload", 256)})
 
 
 def headers(pages: DataFrame, date: str, least: int = LEAST) -> DataFrame:
