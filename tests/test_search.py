@@ -12,7 +12,7 @@ from lexquarry.sources import text as source
 
 
 def digital(spark, n=3, doc=1):
-    rows = [(doc, i, f"Página {i}\nNIT 900.123.456-7 FACTURA ANDREH\nReporte financiero trimestral NIT de auditoría {i - 1}.") for i in range(1, n + 1)]
+    rows = [(doc, i, f"Página {i}\nNIT 900.123.456-7 FACTURA REMITENTE\nReporte financiero trimestral NIT de auditoría {i - 1}.") for i in range(1, n + 1)]
     return source.classified(spark.createDataFrame(rows, "doc_id long, page int, text string"))
 
 
