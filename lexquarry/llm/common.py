@@ -38,14 +38,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def saved(df: DataFrame, name: str, rows: int | None = None, few: str = "") -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it again with the same schema.
 
-    rows: about how many there are, where that is known: small tables make few files.
+    rows: about how many there are, where that is known: small tables make few files. few: for
+    tables much smaller than what they are made of, an eighth of the usual files, by coalesce
+    (after a shuffle) or repartition (after a scan, whose tasks stay as they are).
     """
     path = scratch(df.sparkSession, name)
-    few = df if rows is None else df.coalesce(1 + rows // 250_000)
-    few.write.option("compression", "zstd").parquet(path)
+    eighth = 1 + int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8
+    if rows is not None:
+        df = df.coalesce(1 + rows // 250_000)
+    elif few:
+        df = df.repartition(eighth) if few == "repartition" else df.coalesce(eighth)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

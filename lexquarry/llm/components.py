@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     to the shared folder, so a lost executor costs one round.
     """
     spark = edges.sparkSession
-    edges = saved(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = saved(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", few="coalesce")
     state = lambda e: e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).first()
     before = state(edges)
     while before[0]:

@@ -158,7 +158,7 @@ def pack(docs: DataFrame, path: str, pattern: str, end: int = 2, size: int = SIZ
     piece of a long document is the shorter one.
     """
     spark = docs.sparkSession
-    cut = saved(pieces(docs, path, pattern, end, size), "pieces")
+    cut = saved(pieces(docs, path, pattern, end, size), "pieces", few="repartition")
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))

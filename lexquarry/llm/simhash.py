@@ -115,12 +115,12 @@ def groups(docs: DataFrame, width: int = 3, dense: int = DENSE) -> DataFrame:
     Rows that repeat each give a row. A null doc_id counts for component_id only where its group
     has no other. Other columns are left out. An empty table gives no rows.
     """
-    of_docs = saved(fingerprints(docs, width), "fingerprints")
-    fps = saved(of_docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    of_docs = saved(fingerprints(docs, width), "fingerprints", few="repartition")
+    fps = saved(of_docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", few="coalesce")
     roots = components(links(fps.select("fp"), dense))
     rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = saved(rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("of"), "component_id"), "components")
+    ids = saved(rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("of"), "component_id"), "components", few="coalesce")
     return of_docs.join(ids, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -168,7 +168,7 @@ def similar(docs: DataFrame, told: DataFrame, width: int, least: float) -> DataF
     few = met.filter(F.col("n") <= SMALL)
     paired = few.join(few.select(F.col("band").alias("b_"), F.col("key").alias("k_"), F.col("node").alias("other")), (F.col("band") == F.col("b_")) & (F.col("key") == F.col("k_")) & (F.col("node") < F.col("other"))).select(F.col("node").alias("a"), F.col("other").alias("b"))
     led = met.filter((F.col("n") > SMALL) & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-    pairs = saved(paired.unionByName(led).distinct(), "candidates")
+    pairs = saved(paired.unionByName(led).distinct(), "candidates", few="coalesce")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # one text for each node
     chosen = told.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d")).select("node", F.col("d.doc_id").alias("of"))
@@ -207,15 +207,15 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, dense: int
     Two bits of 64 are less than texts at a similarity of 0.8 differ in (4 to 14, mostly), so links of
     fingerprints alone would miss them: see similar(). Nulls, repeats and ties are as in groups().
     """
-    told = saved(sketches(docs, width), "sketches")
+    told = saved(sketches(docs, width), "sketches", few="repartition")
     fps = told.select("fp").distinct()
     roots = components(links(fps, dense))
-    rooted = saved(told.select("fp", "node").distinct().join(roots.withColumnRenamed("node", "f"), F.col("fp") == F.col("f"), "left").select("node", "fp", F.coalesce("root", "fp").alias("root")), "roots")
+    rooted = saved(told.select("fp", "node").distinct().join(roots.withColumnRenamed("node", "f"), F.col("fp") == F.col("f"), "left").select("node", "fp", F.coalesce("root", "fp").alias("root")), "roots", few="coalesce")
     place = rooted.groupBy("node").agg(F.min("root").alias("root"))
     pairs = similar(docs, told, width, least)
     edges = pairs.join(place.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(place.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     joined = components(edges)
-    final = saved(rooted.select("node", "fp", "root").join(joined.withColumnsRenamed({"node": "j", "root": "top"}), F.col("root") == F.col("j"), "left").select("fp", F.coalesce("top", "root").alias("top")).distinct(), "groups")
+    final = saved(rooted.select("node", "fp", "root").join(joined.withColumnsRenamed({"node": "j", "root": "top"}), F.col("root") == F.col("j"), "left").select("fp", F.coalesce("top", "root").alias("top")).distinct(), "groups", few="coalesce")
     members = told.select("doc_id", F.col("fp").alias("of")).join(final, F.col("of") == F.col("fp")).select("doc_id", "top")
     least_id = members.groupBy("top").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("top", "t")
     return members.join(least_id, F.col("top") == F.col("t")).select("doc_id", "component_id")

@@ -169,7 +169,7 @@ def rendered(raw: Column, kind: Column, surrogate: Column) -> Column:
 def table(parts: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """kind, canon, surrogate for the distinct parts: no two of a class share one, none is a part itself."""
     of_class = F.regexp_replace("kind", ":.*", "")
-    rows = saved(drawn(parts.groupBy("kind", "canon").count().select("kind", "canon", of_class.alias("class"), F.lit(0).alias("attempt")), key), "surrogates")
+    rows = saved(drawn(parts.groupBy("kind", "canon").count().select("kind", "canon", of_class.alias("class"), F.lit(0).alias("attempt")), key), "surrogates", few="coalesce")
     many = rows.count()
     for _ in range(rounds):
         taken = rows.select(F.col("class").alias("c"), F.col("canon").alias("s")).distinct()
@@ -197,7 +197,7 @@ def replaced(docs: DataFrame, key: str = "example key") -> DataFrame:
     body = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.col("text").alias("_text"))
     clean = body.filter(F.col("_text").isNull() | ~F.col("_text").rlike(ENTITY)).select("_doc.*", F.lit(0).cast("long").alias("_n_entities"), F.lit("").alias("_kinds"))
     found = body.filter(F.col("_text").rlike(ENTITY)).select("_doc", F.split("_text", ENTITY, -1).alias("_between"), F.regexp_extract_all("_text", F.lit(ENTITY), 0).alias("_entities"))
-    found = saved(found.select(F.monotonically_increasing_id().alias("_row"), "_doc", "_between", F.transform("_entities", _parts).alias("_of")), "entities")
+    found = saved(found.select(F.monotonically_increasing_id().alias("_row"), "_doc", "_between", F.transform("_entities", _parts).alias("_of")), "entities", few="repartition")
     flat = found.select("_row", F.posexplode(F.flatten("_of")).alias("_at", "_part")).select("_row", "_at", "_part.raw", "_part.kind", "_part.canon").filter("kind IS NOT NULL")
     drawn_ = table(flat.select("kind", "canon"), key).withColumnsRenamed({"kind": "_k", "canon": "_c"})
     told = flat.join(drawn_, (F.col("kind") == F.col("_k")) & (F.col("canon") == F.col("_c"))).select("_row", "_at", rendered(F.col("raw"), F.col("kind"), F.col("surrogate")).alias("_new"))
