@@ -11,12 +11,14 @@ that look into such a cell are linked through these 65 words instead, to the sma
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.llm.common import bounded, saved
@@ -124,55 +126,74 @@ def groups(docs: DataFrame, width: int = 3, dense: int = DENSE) -> DataFrame:
     return of_docs.join(ids, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-BANDS, ROWS, SMALL = 10, 4, 12
+SMALL, BLOCK, HELD = 12, 512, 1 << 25  # nodes of a key that are paired up; nodes and bytes of shingles of a sub-block
+THIN, OFTEN, FREQUENT = 16, 4, 200_000
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp, node (a hash of all words), keys: a hash of each band of minima over the shingles."""
-    docs = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    factors = np.random.default_rng(17).integers(1, 2**63, BANDS * ROWS, dtype="uint64") * np.uint64(2) + np.uint64(1)
-    mix = factors[:ROWS]
+def text_key(text: Column) -> Column:
+    """Tells apart the texts of rows that share a doc_id or have none."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in many texts, and in how many, told from a sample.
+
+    They only come last in the order in which shingles are looked at; no result depends on them.
+    """
+
+    def run(batches):
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for h in shingles_of(text, width):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view("int64"))], names=["h"])
+
+    texts = bounded(docs).select(F.coalesce("text", F.lit("")).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(THIN)) == 0)
+    rows = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    told = np.array([(r.h, r.n) for r in rows], "int64").reshape(-1, 2)
+    known = told[:, 0].astype("uint64")
+    order = np.argsort(known)
+    return known[order], told[order, 1]
+
+
+def prefix(own: np.ndarray, least: float, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a text's distinct shingles, rare ones first: two texts of similarity ``least`` share one of them.
+
+    At a Jaccard similarity of t both share at least t of either's n shingles, so n - ceil(t n) + 1 are enough.
+    """
+    known, count = often
+    n = np.zeros(len(own), "int64")
+    if len(known):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        n = np.where(known[at] == own, count[at], 0)
+    return own[np.lexsort((own, n))][: len(own) - math.ceil(least * len(own) - 1e-6) + 1]
+
+
+def sketches(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """doc_id, k (text_key), fp, node (a hash of all words), n (how many distinct shingles) and keys (their prefix)."""
+    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
+    docs = bounded(docs).select("doc_id", text_key(F.col("text")).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for b in batches:
             out = []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 parts = list(shingles_of(text, width))
-                least = np.full(BANDS * ROWS, ~np.uint64(0))
-                for h in parts:
-                    h = h ^ (h >> np.uint64(29))
-                    for at in range(0, len(h), 2048):
-                        np.minimum(least, (h[at : at + 2048, None] * factors).min(0), out=least)
-                keys = (least.reshape(BANDS, ROWS) * mix).sum(1, dtype="uint64") + np.arange(BANDS, dtype="uint64")
+                own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, "uint64")
                 words = [w for part in words_of(text.encode().lower()) for w in part]
-                out.append((_majority(iter(parts)), xxh64_intdigest(b" ".join(words), 7), keys.view("int64") if parts else keys[:0].view("int64")))
-            fps, nodes, keys = zip(*out)
+                out.append((_majority(iter(parts)), xxh64_intdigest(b" ".join(words), 7), len(own), prefix(own, least, often.value).view("int64") if parts else own.view("int64")))
+            fps, nodes, n, keys = zip(*out)
             signed = lambda x: pa.array(np.array(x, "uint64").view("int64"))
-            yield pa.RecordBatch.from_arrays([b.column(0), signed(fps), signed(nodes), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "fp", "node", "keys"])
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, node long, keys array<long>")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(fps), signed(nodes), pa.array(n, pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "k", "fp", "node", "n", "keys"])
 
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, fp long, node long, n long, keys array<long>")
 
-def similar(docs: DataFrame, told: DataFrame, width: int, least: float) -> DataFrame:
-    """Pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of ``least`` or more, verified exactly.
 
-    Candidates share a band. Up to SMALL nodes in a band are paired up; more are each paired with one of them,
-    another one in every band, so that a large group of copies makes as many pairs as it has members.
-    """
-    nodes = told.groupBy("node").agg(F.first("keys").alias("keys"))
-    banded = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    sums = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("lead")).filter("n > 1").select(F.col("band").alias("b_"), F.col("key").alias("k_"), "n", F.col("lead.node").alias("lead"))
-    met = banded.join(sums, (F.col("band") == F.col("b_")) & (F.col("key") == F.col("k_"))).select("node", "band", "key", "n", "lead")
-    few = met.filter(F.col("n") <= SMALL)
-    paired = few.join(few.select(F.col("band").alias("b_"), F.col("key").alias("k_"), F.col("node").alias("other")), (F.col("band") == F.col("b_")) & (F.col("key") == F.col("k_")) & (F.col("node") < F.col("other"))).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    led = met.filter((F.col("n") > SMALL) & (F.col("node") != F.col("lead"))).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
-    pairs = saved(paired.unionByName(led).distinct(), "candidates", few="coalesce")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one text for each node
-    chosen = told.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id")).alias("d")).select("node", F.col("d.doc_id").alias("of"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("of")))
+def _sets(docs: DataFrame, told: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, set: the distinct shingles, sorted, of each wanted node."""
+    chosen = told.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("k").alias("of"))  # one text for each node
+    texts = docs.select(text_key(F.col("text")).alias("k"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, F.col("k") == F.col("of"))
 
     def sets(batches):
         from xxhash import xxh64_intdigest
@@ -182,10 +203,13 @@ def similar(docs: DataFrame, told: DataFrame, width: int, least: float) -> DataF
                 text = b["text"][i].as_py()
                 words = [w for part in words_of(text.encode().lower()) for w in part]
                 node = np.array([xxh64_intdigest(b" ".join(words), 7)], "uint64").view("int64")
-                if node[0] == b["node"][i].as_py():  # of rows that share a doc_id the right one
+                if node[0] == b["node"][i].as_py():
                     yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([np.unique(np.concatenate(list(shingles_of(text, width)))).tobytes()], pa.binary())], names=["node", "set"])
 
-    held = saved(texts.select("node", "text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"]), "sets")
+    return texts.select("node", "text").mapInArrow(sets, "node long, set binary").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
     both = pairs.join(held.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def compare(batches):
@@ -195,28 +219,105 @@ def similar(docs: DataFrame, told: DataFrame, width: int, least: float) -> DataF
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(same >= least * (len(x) + len(y) - same))
-            keep = pa.array(keep)
+            keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a_s.filter(keep), b_s.filter(keep)], names=["a", "b"])
 
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def spanning(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Verified pairs that join the same groups as all verified pairs do; nodes of one root are joined already.
+
+    Groups are walked breadth first: a node is compared with all that no group has reached yet.
+    """
+    flat, starts = np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum([0, *map(len, sets)])
+    sizes, mark = np.diff(starts), np.zeros(flat.max() + 1, "bool")
+    open_, out = np.ones(len(nodes), "bool"), []
+    while open_.any():
+        queue = np.flatnonzero(roots == roots[open_.argmax()]).tolist()
+        open_[queue] = False
+        while queue and open_.any():
+            x = queue.pop()
+            own = flat[starts[x] : starts[x + 1]]
+            mark[own] = True
+            same = np.add.reduceat(mark[flat], starts[:-1], dtype="int64")
+            mark[own] = False
+            for y in np.flatnonzero(open_ & (same >= least * (sizes + sizes[x] - same))).tolist():
+                if open_[y]:
+                    out.append((int(nodes[x]), int(nodes[y])))
+                    more = np.flatnonzero(open_ & (roots == roots[y]))
+                    open_[more] = False
+                    queue += more.tolist()
+    return out
+
+
+def _crowded(crowd: DataFrame, place: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Enough of the verified pairs (a, b) among the nodes of each crowded key to join the same groups as all of them.
+
+    Keys whose nodes are all in one group already have nothing to add. A key of many nodes is split
+    into sub-blocks, and every two of them meet in a task of their own.
+    """
+    members = crowd.join(place, "node").select("node", "key", "n", "root")
+    blocks = members.groupBy("key").agg(F.count("*").alias("many"), F.sum("n").alias("held"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    blocks = blocks.select(F.col("key").alias("of"), F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("held") * 8 / HELD)).cast("int").alias("parts"))
+    dealt = members.join(blocks, F.col("key") == F.col("of")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.expr("CASE WHEN parts = 1 THEN array(0) ELSE filter(sequence(0, parts - 1), i -> i <> own) END")))
+    rows = met.select("node", "key", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(held, "node")
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, "<u8") for x in rows["set"]]
+        return pd.DataFrame(spanning(rows["node"].to_numpy(), rows["root"].to_numpy(), sets, least), columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("key", "i", "j").applyInPandas(link, "a long, b long").distinct()
+
+
+def _joined(place: DataFrame, edges: DataFrame) -> DataFrame:
+    """place (node, root) after the groups that edges (a, b: nodes) link have become one."""
+    roots = edges.join(place.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(place.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    tops = components(roots).withColumnsRenamed({"node": "j", "root": "top"})
+    return saved(place.join(tops, F.col("root") == F.col("j"), "left").select("node", F.coalesce("top", "root").alias("root")), "groups", few="coalesce")
+
+
+def similar(docs: DataFrame, told: DataFrame, place: DataFrame, width: int, least: float) -> DataFrame:
+    """place (node, root) joined further by all pairs of nodes with a Jaccard similarity of ``least`` or more.
+
+    Candidates share a shingle of their prefixes, which loses no such pair. Up to SMALL nodes of a
+    shingle are paired up. More are linked in sub-blocks (_crowded), first by one shingle of each node, so that
+    most of a large group is joined before its other shingles are looked at.
+    """
+    nodes = told.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    met = saved(keyed.withColumn("many", F.count("*").over(Window.partitionBy("key"))).filter("many > 1"), "met", few="coalesce")
+    few, crowd = met.filter(F.col("many") <= SMALL), met.filter(F.col("many") > SMALL).select("node", "n", "key")
+    other = few.select(F.col("key").alias("k_"), F.col("node").alias("b"), F.col("n").alias("m"))
+    sized = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-6
+    pairs = saved(few.join(other, (F.col("key") == F.col("k_")) & (F.col("node") < F.col("b")) & sized).select(F.col("node").alias("a"), "b").distinct(), "candidates", few="coalesce")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
+    held = saved(_sets(docs, told, wanted, width), "sets")
+    place = _joined(place, _verified(pairs, held, least))
+    if crowd.limit(1).count():
+        place = _joined(place, _crowded(crowd.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n")), place, held, least))
+        place = _joined(place, _crowded(crowd, place, held, least))
+    return place
+
+
+def _near(docs: DataFrame, width: int, least: float, dense: int) -> DataFrame:
+    """doc_id, k and top (its group) of every row."""
+    told = saved(sketches(docs, width, least), "sketches", few="repartition")
+    roots = components(links(told.select("fp").distinct(), dense))
+    rooted = told.select("fp", "node").distinct().join(roots.withColumnRenamed("node", "f"), F.col("fp") == F.col("f"), "left").select("node", F.coalesce("root", "fp").alias("root"))
+    place = saved(rooted.groupBy("node").agg(F.min("root").alias("root")), "roots", few="coalesce")
+    place = similar(docs, told, place, width, least)
+    return told.select("doc_id", "k", F.col("node").alias("of")).join(place, F.col("of") == F.col("node")).select("doc_id", "k", F.col("root").alias("top"))
+
+
 def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, dense: int = DENSE) -> DataFrame:
     """doc_id, component_id: groups by fingerprints of ``width`` words, joined further by verified similarity.
 
     Two bits of 64 are less than texts at a similarity of 0.8 differ in (4 to 14, mostly), so links of
     fingerprints alone would miss them: see similar(). Nulls, repeats and ties are as in groups().
     """
-    told = saved(sketches(docs, width), "sketches", few="repartition")
-    fps = told.select("fp").distinct()
-    roots = components(links(fps, dense))
-    rooted = saved(told.select("fp", "node").distinct().join(roots.withColumnRenamed("node", "f"), F.col("fp") == F.col("f"), "left").select("node", "fp", F.coalesce("root", "fp").alias("root")), "roots", few="coalesce")
-    place = rooted.groupBy("node").agg(F.min("root").alias("root"))
-    pairs = similar(docs, told, width, least)
-    edges = pairs.join(place.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(place.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    joined = components(edges)
-    final = saved(rooted.select("node", "fp", "root").join(joined.withColumnsRenamed({"node": "j", "root": "top"}), F.col("root") == F.col("j"), "left").select("fp", F.coalesce("top", "root").alias("top")).distinct(), "groups", few="coalesce")
-    members = told.select("doc_id", F.col("fp").alias("of")).join(final, F.col("of") == F.col("fp")).select("doc_id", "top")
+    members = _near(docs, width, least, dense)
     least_id = members.groupBy("top").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("top", "t")
     return members.join(least_id, F.col("top") == F.col("t")).select("doc_id", "component_id")
 

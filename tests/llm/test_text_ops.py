@@ -336,6 +336,43 @@ def test_similar_texts_go(spark, monkeypatch, small):
     assert got == want and len(rows) - len(want) > 25
 
 
+def similar_groups(rows, least=0.8, width=5):
+    """Smallest doc_id of each group of texts that a similarity of ``least`` or two bits of the fingerprints link."""
+    fps = [simhash_by_hand(t, width) for _, t in rows]
+    sets = [{tuple(t.split()[i : i + width]) for i in range(len(t.split()) - width + 1)} for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) or bin(fps[i] ^ fps[j]).count("1") <= 2:
+                root[find(i)] = find(j)
+    groups = {}
+    for i, (d, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(d)
+    return sorted(min(g) for g in groups.values())
+
+
+@pytest.mark.parametrize("block", [512, 40])
+def test_all_near_copies_of_a_large_group_go(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    r = random.Random(12)
+    vocabulary = ["w%d" % i for i in range(5000)]
+    words = [r.choice(vocabulary) for _ in range(400)]
+    rows = [(1000, " ".join(words))]
+    for d in range(200):
+        other = list(words)
+        for at in r.sample(range(400), r.choice([6, 7, 8, 12])):
+            other[at] = r.choice(vocabulary)
+        rows.append((d, " ".join(other)))
+    got = sorted(x.doc_id for x in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == similar_groups(rows) and len(got) < 100
+
+
 # ---------------------------------------------------------------- 10: packing
 def test_packing_against_the_library(spark):
     from tokenizers import Tokenizer
