@@ -325,13 +325,17 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, dense: int
 def representatives(docs: DataFrame, width: int = 5, least: float = 0.8, dense: int = DENSE) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays, whole.
 
-    Of rows that share that doc_id one stays. A null doc_id stays only where its group has no other.
+    Rows are told apart by doc_id and text: one of each group stays whatever ids others have. A null
+    doc_id comes last; of rows that share the doc_id the text with the smallest hash stays, and of
+    rows alike in both one.
     """
-    told = near_groups(docs, width, least, dense)
-    stay = told.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    often = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_often"))
-    same = F.col("doc_id").eqNullSafe(F.col("_often"))
-    single = kept.join(often, same, "left_anti")
-    several = kept.join(often, same, "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "k")
+    stay = saved(_near(docs, width, least, dense).groupBy("top").agg(F.min(first).alias("s")).select(F.col("s.id").alias("_stay"), F.col("s.k").alias("_key")), "stay", few="coalesce")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("_doc"), F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_k"))
+    same = lambda a, b: (F.col("_id").eqNullSafe(F.col(a))) & (F.col("_k") == F.col(b))
+    kept = keyed.join(stay, same("_stay", "_key"), "left_semi")
+    often = keyed.groupBy("_id", "_k").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("_id").alias("_often"), F.col("_k").alias("_key"))
+    single = kept.join(often, same("_often", "_key"), "left_anti")
+    several = kept.join(often, same("_often", "_key"), "left_semi").dropDuplicates(["_id", "_k"])
+    return single.unionByName(several).select("_doc.*")

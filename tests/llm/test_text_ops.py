@@ -373,6 +373,16 @@ def test_all_near_copies_of_a_large_group_go(spark, monkeypatch, block):
     assert got == similar_groups(rows) and len(got) < 100
 
 
+def test_distinct_texts_under_one_or_no_doc_id_stay(spark):
+    r = random.Random(5)
+    text = lambda: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(999)) for _ in range(60))
+    unique = [text() for _ in range(12)]
+    rows = [(None, t) for t in unique[:5]] + [(None, unique[0])] + [(7, t) for t in unique[5:9]] + [(7, unique[9] + " end"), (3, unique[9])] + [(8, unique[10]), (8, unique[11]), (None, None), (9, "")]
+    kept = simhash.representatives(clashing(spark, rows)).collect()
+    want = [(None, t) for t in unique[:5]] + [(7, t) for t in unique[5:9]] + [(3, unique[9]), (8, unique[10]), (8, unique[11]), (9, "")]
+    assert sorted(((x.doc_id, x.text) for x in kept), key=str) == sorted(want, key=str)
+
+
 # ---------------------------------------------------------------- 10: packing
 def test_packing_against_the_library(spark):
     from tokenizers import Tokenizer
