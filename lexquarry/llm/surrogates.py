@@ -27,6 +27,7 @@ SURNAMES = {
     "cyrillic": ["Иваненко", "Петренко", "Сидоренко", "Кравченко", "Шевченко", "Бондаренко", "Ткаченко", "Савченко"],
 }
 SYLLABLES = {"latin": ["ba", "del", "fer", "gan", "hol", "kem", "lor", "mar", "nel", "por", "ros", "sten", "tor", "vel", "wen", "zim"], "cyrillic": ["ба", "дел", "фер", "ган", "хол", "кем", "лор", "мар", "нел", "пор", "рос", "стен", "тор", "вел", "вен", "зим"]}
+MOST = 15  # syllables of a name after many attempts
 ENDINGS = {"m": {"latin": "o", "cyrillic": "ий"}, "f": {"latin": "a", "cyrillic": "а"}, "n": {"latin": "e", "cyrillic": "о"}}
 
 
@@ -127,9 +128,13 @@ def drawn(rows: DataFrame, key: str) -> DataFrame:
 def _drawn(kind: Column, canon: Column, attempt: Column, hexes: Column) -> Column:
     digits = F.translate(hexes, "abcdef", "012345")
     dot = F.length(canon) - F.length(F.substring_index(canon, ".", -1))
-    email = F.concat(_shaped(F.substring(canon, F.lit(1), dot - 1), hexes), F.substring(canon, dot, F.length(canon)))
+    # whatever many parts draw from too small a space gets longer with the attempts
+    more = F.when(attempt >= 4, F.translate(F.substring(hexes, F.lit(100), F.least(attempt - 3, F.lit(16))), "0123456789abcdef", "ghijklmnopqrstuv")).otherwise("")
+    email = F.concat(_shaped(F.substring(canon, F.lit(1), dot - 1), hexes), more, F.substring(canon, dot, F.length(canon)))
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % 254 + 1).cast("string"))
+    # addresses of an inner network stay so as long as there are any left: a larger one, then any
     inner = F.regexp_extract(canon, r"^(?:10\.|192\.168\.)", 0)
+    inner = F.when(inner == "", "").when(attempt >= 24, "").when(attempt >= 12, "10.").otherwise(inner)
     ip = F.concat(inner, F.array_join(F.slice(octets, F.when(inner == "", 1).when(inner == "10.", 2).otherwise(3), 4), "."))
     many = F.length(canon)
     phone = F.concat((F.substring(digits, 1, 1).cast("int") % 8 + 2).cast("string"), F.substring(digits, F.lit(2), many - 1))
@@ -143,15 +148,16 @@ def _drawn(kind: Column, canon: Column, attempt: Column, hexes: Column) -> Colum
     api = F.concat(F.regexp_extract(canon, "^(?:A[KS]IA|gh[pousr]_|sk-)", 0), _shaped(F.regexp_replace(canon, "^(?:A[KS]IA|gh[pousr]_|sk-)", ""), hexes))
     names = None
     for script in SYLLABLES:
-        syllables = [_pick(SYLLABLES[script], hexes, 7 + 6 * i) for i in range(4)]
+        syllables = F.array(*(_pick(SYLLABLES[script], hexes, 7 + 6 * i) for i in range(MOST)))
+        some = lambda n: F.array_join(F.slice(syllables, F.lit(1), F.least(n + F.greatest(attempt - 2, F.lit(0)), F.lit(MOST))), "")  # noqa: E731, B023
         for g in "mfn":
             known = GIVEN.get((script, g)) or [n for x in "mf" for n in GIVEN[script, x]]
-            made = F.concat(*syllables[:3], F.lit(ENDINGS[g][script]))
+            made = F.concat(some(3), F.lit(ENDINGS[g][script]))
             value = F.when(attempt < 2, F.lower(_pick(known, hexes, 1))).otherwise(made)
             cond = kind.isin(f"given:{g}", f"middle:{g}") & (_script(canon) == script)
             names = F.when(cond, value) if names is None else names.when(cond, value)
-        names = names.when((kind == "surname") & (_script(canon) == script), F.when(attempt < 2, F.lower(_pick(SURNAMES[script], hexes, 1))).otherwise(F.concat(*syllables)))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "card", card).when(kind == "iban", iban).when(kind == "key", api).when(kind == "secret", _shaped(canon, hexes))
+        names = names.when((kind == "surname") & (_script(canon) == script), F.when(attempt < 2, F.lower(_pick(SURNAMES[script], hexes, 1))).otherwise(some(4)))
+    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "card", card).when(kind == "iban", iban).when(kind == "key", api).when(kind == "secret", F.concat(_shaped(canon, hexes), more))
     return out.otherwise(names)
 
 
@@ -162,6 +168,7 @@ def rendered(raw: Column, kind: Column, surrogate: Column) -> Column:
     filled = F.aggregate(F.split(raw, ""), state(F.lit(""), F.lit(0)), lambda a, c: state(F.concat(a["out"], F.when(c.rlike("[0-9]") & (a["i"] >= n), F.substring(surrogate, a["i"] - n + 1, F.lit(1))).otherwise(c)), a["i"] + F.when(c.rlike("[0-9]"), 1).otherwise(0)), lambda a: a["out"])
     spaced = F.aggregate(F.split(raw, ""), state(F.lit(""), F.lit(0)), lambda a, c: state(F.concat(a["out"], F.when(c == " ", c).otherwise(F.substring(surrogate, a["i"] + 1, F.lit(1)))), a["i"] + F.when(c == " ", 0).otherwise(1)), lambda a: a["out"])
     cased = F.array_join(F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.when(F.substring(raw, i, F.lit(1)).rlike("[A-Z]"), F.upper(F.substring(surrogate, i, F.lit(1)))).otherwise(F.substring(surrogate, i, F.lit(1)))), "")
+    cased = F.concat(cased, F.substring(surrogate, F.length(raw) + 1, F.length(surrogate)))
     named = F.when((F.length(raw) > 1) & (raw == F.upper(raw)), F.upper(surrogate)).otherwise(F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
     return F.when(kind.isin(*DIGITS), filled).when(kind == "iban", spaced).when(kind == "email", cased).when(kind.isin("ip", "key", "secret"), surrogate).otherwise(named)
 

@@ -143,6 +143,21 @@ def test_surrogates_stay_distinct(spark):
     assert len({got[i][0].rsplit(" ", 1)[1] for i, _ in rows}) == len(rows)
 
 
+def test_surrogates_of_more_parts_than_a_short_form_has(spark):
+    r = random.Random(6)
+    names = sorted({"".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(4)).capitalize() for _ in range(10_500)})[:10_000]
+    inner = [f"192.168.{i // 200}.{i % 200}" for i in range(40_000)]
+    mails = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    parts = [("given:m", n.lower()) for n in names] + [("ip", x) for x in inner] + [("email", m) for m in mails]
+    got = surrogates.table(spark.createDataFrame(parts, "kind string, canon string"), "k").collect()
+    assert len(names) == 10_000 and len(got) == len(parts) == len({(x.kind, x.surrogate) for x in got})
+    assert not {x.surrogate for x in got} & {c for _, c in parts}
+    assert all(x.surrogate.startswith(("192.168.", "10.")) for x in got if x.kind == "ip")
+    some = surrogate_texts(spark, [(i, f"{m.upper()} and {m}") for i, m in enumerate(mails)])
+    both = [t.split(" and ") for t, _, _ in some.values()]
+    assert all(a.lower() == b for a, b in both) and len({b for _, b in both}) == len(mails)
+
+
 def test_surrogates_keep_rows_and_columns(spark):
     docs = clashing(spark, [(1, "a@b.co"), (1, "a@b.co"), (None, "x a@b.co"), (2, "p@q.co " * 500)])
     out = surrogates.replaced(docs)
