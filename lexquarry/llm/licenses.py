@@ -32,12 +32,13 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0."],
-    "Proprietary": ["Copyright (c) <years> <holder>. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without permission."],
+    "Proprietary": ["All rights reserved.", "Copyright (c) <years> <holder>. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without permission."],
 }
 # A block without any of these words is no candidate.
 CANDIDATE = r"(?i)licen[cs]e|copyright|all rights reserved|public domain|redistribut|permission is hereby|creative commons|free software|\bcc0\b|\bcc by"
 WORD = re.compile(r"<[a-z]+>|[0-9]+(?:\.[0-9]+)*|[^\W\d_]+(?:-[^\W\d_]+)*")
 TOP, LEAST, AGREE = 3, 0.35, 0.9
+BARE = 3  # words of a wording that stands no others between them
 WIDEST = 4096  # characters of a window over a block; windows overlap by half
 
 
@@ -99,6 +100,8 @@ def scan_block(block: str) -> tuple[str, float, float, str] | None:
     for gain, name, template in ranked[:TOP]:
         agree, diff = differences(found, template)
         # another number or another clause is another license
+        if len(template) <= BARE and any(d[0] == "+" for d in diff):  # so few words are a wording only side by side
+            continue
         if agree >= AGREE and not any(NUMBERS.match(d) or KINDS.match(d) for d in diff):
             told = (agree, gain, name, diff)
             if best is None or told[:2] > best[:2]:

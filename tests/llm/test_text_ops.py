@@ -175,6 +175,15 @@ def test_license_wordings(spark):
     assert licenses.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_license_lines_of_the_documents(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
+    lines = sorted({line for t in texts for line in t.split("\n") if len(line) < 120 and re.search(licenses.CANDIDATE, line)})
+    rows = [(i, line) for i, line in enumerate([*lines, "All rights reserved.", "all human rights are reserved to the public domain"])]
+    got = {r.doc_id: r.licenses for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[len(lines)] == "Proprietary" and got[len(lines) + 1] == ""
+    assert [line for i, line in enumerate(lines) if not got[i] and re.fullmatch(r"(?:Licensed|Released|This work is licensed) under .*|.*All rights reserved\.", line)] == []
+
+
 # ---------------------------------------------------------------- 8: languages
 LANGS = {"aa": ["ta", "re", "mi", "lo"], "bb": ["sch", "ung", "ein", "cht"], "cc": ["oué", "aux", "elle", "ç"]}
 
