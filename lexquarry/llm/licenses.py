@@ -2,7 +2,7 @@
 
 Blocks of a text (its lines, and runs of lines for longer wordings) that hold a word of licensing
 are compressed by zstandard twice: alone, and with each template as raw dictionary. How far the
-template shrinks a block ranks the templates; the best few are confirmed by their exact wording: the
+template shrinks a block ranks the templates; all that shrink it enough are confirmed by their exact wording: the
 differences between words of block and template, with places for names, years and versions left free.
 """
 
@@ -37,9 +37,12 @@ TEMPLATES = {
 # A block without any of these words is no candidate.
 CANDIDATE = r"(?i)licen[cs]e|copyright|all rights reserved|public domain|redistribut|permission is hereby|creative commons|free software|\bcc0\b|\bcc by"
 WORD = re.compile(r"<[a-z]+>|[0-9]+(?:\.[0-9]+)*|[^\W\d_]+(?:-[^\W\d_]+)*")
-TOP, LEAST, AGREE = 3, 0.35, 0.9
+LEAST, AGREE = 0.35, 0.9
 BARE = 3  # words of a wording that stands no others between them
-WIDEST = 4096  # characters of a window over a block; windows overlap by half
+WIDEST = 4096  # characters within which a license told of again is the same one
+#: Characters of the longest wording of a scale: longer blocks are looked at in windows around each candidate word.
+SCALES = (100, 250, 500)
+SHORT = 3 * SCALES[0]
 
 
 def words(text: str) -> list[str]:
@@ -55,7 +58,8 @@ def _compressors():
     for name, wordings in TEMPLATES.items():
         for wording in wordings:
             raw = zstandard.ZstdCompressionDict(" ".join(words(wording)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            out.append((name, wording, words(wording), zstandard.ZstdCompressor(level=3, dict_data=raw)))
+            scale = next(x for x in SCALES if len(wording) <= x)
+            out.append((name, scale, words(wording), zstandard.ZstdCompressor(level=3, dict_data=raw)))
     return alone, out
 
 
@@ -80,43 +84,42 @@ NUMBERS = re.compile(r"[+-][0-9.]+$")
 KINDS = re.compile(r"[+-](?:nc|sa|nd|by|lesser|affero|general|noncommercial|sharealike|attribution-noncommercial|attribution-sharealike|by-nc|by-sa|mit|apache|bsd|mozilla|gnu|clause)$")
 
 
-def scan_block(block: str) -> tuple[str, float, float, str] | None:
-    """License, size reduction, agreement and differences of the winner, if there is one."""
+def scan_block(block: str, scale: int | None = None) -> list[tuple[str, float, float, str]]:
+    """License, size reduction, agreement and differences of each license in the block (of wordings of one scale, if given)."""
     found = words(block)
     if not found:
-        return None
+        return []
     alone, templates = _compressors()
     text = " ".join(found).encode()
     size = len(alone.compress(text))
-    ranked = []
-    for name, wording, template, with_it in templates:
+    best: dict[str, tuple] = {}
+    for name, own, template, with_it in templates:
+        if scale not in (None, own):
+            continue
         gain = 1 - len(with_it.compress(text)) / size
         # what a wording can save at most is its own length: long blocks are measured against it
         reach = min(1.0, len(" ".join(template)) / max(1, len(text)))
-        if gain >= LEAST * reach:
-            ranked.append((gain, name, template))
-    ranked.sort(key=lambda r: (-r[0], r[1]))
-    best = None
-    for gain, name, template in ranked[:TOP]:
+        if gain < LEAST * reach:
+            continue
         agree, diff = differences(found, template)
-        # another number or another clause is another license
         if len(template) <= BARE and any(d[0] == "+" for d in diff):  # so few words are a wording only side by side
             continue
+        # another number or another clause is another license
         if agree >= AGREE and not any(NUMBERS.match(d) or KINDS.match(d) for d in diff):
             told = (agree, gain, name, diff)
-            if best is None or told[:2] > best[:2]:
-                best = told
-    return best and (best[2], best[1], best[0], " ".join(best[3]))
+            if name not in best or told[:2] > best[name][:2]:
+                best[name] = told
+    return [(name, gain, agree, " ".join(diff)) for agree, gain, name, diff in sorted(best.values(), key=lambda t: (-t[0], -t[1], t[2]))]
 
 
-def blocks(text: str) -> list[tuple[int, str]]:
-    """Candidate blocks with their places: lines, and paragraphs of several lines; long ones in overlapping windows."""
-    wanted, out, at = re.compile(CANDIDATE).search, [], 0
+def blocks(text: str) -> list[tuple[int, str, int | None]]:
+    """Candidate blocks with their places and scales: lines, and paragraphs of several lines; of long ones windows around each candidate word."""
+    wanted, out, at = re.compile(CANDIDATE), [], 0
     for paragraph in re.split(r"(\n[ \t]*\n)", text):
         lines = paragraph.split("\n")
         place, near = at, []
         for line in lines:
-            if wanted(line):
+            if wanted.search(line):
                 near.append((place, line))
             place += len(line) + 1
         if near:
@@ -124,12 +127,16 @@ def blocks(text: str) -> list[tuple[int, str]]:
             if len(lines) > 1:
                 out.append((at, paragraph))
         at += len(paragraph)
-    cut = []
+    cut: dict[tuple, None] = {}
     for place, block in out:
-        for s in range(0, max(1, len(block) - WIDEST // 2), WIDEST // 2):
-            if wanted(block[s : s + WIDEST]):
-                cut.append((place + s, block[s : s + WIDEST]))
-    return cut
+        if len(block) <= SHORT:
+            cut[place, block, None] = None
+            continue
+        for m in wanted.finditer(block):
+            for scale in SCALES:
+                low = max(0, m.start() - scale * 3 // 2)
+                cut[place + low, block[low : m.end() + scale * 3 // 2], scale] = None
+    return list(cut)
 
 
 SHAPE = "licenses array<struct<at: long, license: string, reduction: double, agreement: double, differences: string>>"
@@ -146,18 +153,17 @@ def scan(docs: DataFrame) -> DataFrame:
     docs = bounded(docs).select("doc_id", F.when(F.col("text").rlike(CANDIDATE), F.col("text")).alias("text"))
 
     def run(batches):
-        memo: dict[str, tuple | None] = {}
+        memo: dict[tuple, list] = {}
         for b in batches:
             out = []
             for text in b["text"].to_pylist():
                 told: list[dict] = []
-                for at, block in blocks(text) if text else []:
-                    if block not in memo:
+                for at, block, scale in blocks(text) if text else []:
+                    if (block, scale) not in memo:
                         if len(memo) > 50_000:
                             memo.clear()
-                        memo[block] = scan_block(block)
-                    if memo[block]:
-                        name, gain, agree, diff = memo[block]
+                        memo[block, scale] = scan_block(block, scale)
+                    for name, gain, agree, diff in memo[block, scale]:
                         row = {"at": at, "license": name, "reduction": gain, "agreement": agree, "differences": diff}
                         same = [t for t in told if t["license"] == name and t["at"] <= at + len(block) and at <= t["at"] + WIDEST]
                         if not same:

@@ -184,6 +184,25 @@ def test_license_lines_of_the_documents(spark):
     assert [line for i, line in enumerate(lines) if not got[i] and re.fullmatch(r"(?:Licensed|Released|This work is licensed) under .*|.*All rights reserved\.", line)] == []
 
 
+def test_notices_inside_long_lines(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").orderBy("doc_id").select("text").limit(300).collect() if r.text]
+    prose = " ".join(" ".join(t for t in texts if not re.search(licenses.CANDIDATE, t)).split())
+    rows, want = [], {}
+    for name, wordings in licenses.TEMPLATES.items():
+        for wording in wordings:
+            wording = wording.replace("<years>", "2019").replace("<holder>", "Some One")
+            for width in (300, 2000, 4000, 20_000):
+                for part in range(4):
+                    start = part * 5000 + len(rows) % 997
+                    rows.append((len(rows), prose[start : start + width // 2] + " " + wording + " " + prose[start + width // 2 : start + width]))
+                    want[len(rows) - 1] = name
+    rows.append((len(rows), prose[:900] + " Released under the MIT License. Licensed under CC BY-NC 4.0. " + prose[900:2500]))
+    want[len(rows) - 1] = "CC-BY-NC-4.0,MIT"
+    got = {r.doc_id: r.licenses for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(prose) > 40_000
+    assert {i: (n, ",".join(sorted(got[i].split(",")))) for i, n in want.items() if ",".join(sorted(got[i].split(","))) != n} == {}
+
+
 # ---------------------------------------------------------------- 8: languages
 LANGS = {"aa": ["ta", "re", "mi", "lo"], "bb": ["sch", "ung", "ein", "cht"], "cc": ["oué", "aux", "elle", "ç"]}
 
