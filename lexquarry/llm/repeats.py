@@ -161,7 +161,7 @@ def _ranges(starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """Phrases and, with whole = 0, ranges that repeat near by in a task: h, whole, d, at (k << 31 | begin), many."""
+    """Phrases and, with whole = 0, ranges that repeat near by in a task: h, whole, d, k, at (begin), many."""
 
     def summed(d: np.ndarray, k: np.ndarray, rows: list[tuple]) -> pa.RecordBatch | None:
         h, whole, doc, begin, many = (np.concatenate(c) for c in zip(*rows))
@@ -182,8 +182,8 @@ def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
         of = np.r_[doc[keep], more[0]]
         spread = _mixed(more[1].astype("uint64") + np.uint64(1) + d[more[0]].view("uint64"))  # ranges go anywhere
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[h[keep], spread].view("int64")), pa.array(np.r_[whole[keep].view("int64"), np.zeros(len(more[0]), "int64")]), pa.array(d[of]), pa.array(k[of] << 31 | np.r_[begin[keep], more[1]]), pa.array(np.r_[many[keep], more[2]].astype("int32"))],
-            names=["h", "whole", "d", "at", "many"],
+            [pa.array(np.r_[h[keep], spread].view("int64")), pa.array(np.r_[whole[keep].view("int64"), np.zeros(len(more[0]), "int64")]), pa.array(d[of]), pa.array(k[of]), pa.array(np.r_[begin[keep], more[1]]), pa.array(np.r_[many[keep], more[2]].astype("int32"))],
+            names=["h", "whole", "d", "k", "at", "many"],
         )
 
     def run(batches):
@@ -202,7 +202,7 @@ def _found(docs: DataFrame, least: int, gram: int) -> DataFrame:
         if rows and (out := summed(np.array(d), np.array(k), rows)) is not None:
             yield out
 
-    return docs.select("d", "k", "text").mapInArrow(run, "h long, whole long, d long, at long, many int")
+    return docs.select("d", "k", "text").mapInArrow(run, "h long, whole long, d long, k long, at long, many int")
 
 
 def _crowded(cut: DataFrame, least: int) -> DataFrame:
@@ -225,13 +225,12 @@ def _crowded(cut: DataFrame, least: int) -> DataFrame:
 def ranges(docs: DataFrame, least: int = LEAST, gram: int = GRAM, shard: int = SHARD, crowd: int = CROWD) -> DataFrame:
     """Byte ranges low..high of documents (d, k, text) that repeat earlier bytes: d, k, low, high."""
     found = _found(docs, least, gram)
-    me = F.struct("d", "at")
+    me = F.struct("d", "k", "at")
     by_phrase, by_hash = Window.partitionBy("h", "whole"), Window.partitionBy("h")
     # phrases are summed up in their tasks before: of a key there is one row for some thousand documents
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are short, and sorted in memory
     told = found.repartition(parts, "h").withColumns({"first": F.min(me).over(by_phrase)}).withColumns({"a": F.min("whole").over(by_hash), "b": F.max("whole").over(by_hash)})
-    place = {"k": F.shiftright("at", 31), "begin": F.col("at").bitwiseAND(F.lit((1 << 31) - 1))}
-    told = told.select("h", "d", *(v.alias(k) for k, v in place.items()), "many", F.when(F.col("whole") == 0, 0).when(me > F.col("first"), 1).when(F.col("a") != F.col("b"), 2).alias("what"))
+    told = told.select("h", "d", "k", F.col("at").alias("begin"), "many", F.when(F.col("whole") == 0, 0).when(me > F.col("first"), 1).when(F.col("a") != F.col("b"), 2).alias("what"))
     told = saved(told.filter("what IS NOT NULL"), "phrases")
     plain = told.filter("what < 2").select("d", "k", F.col("begin").alias("low"), (F.col("begin") + F.col("many") + F.when(F.col("what") == 0, 0).otherwise(least - 1)).cast("long").alias("high"))
     mixed = told.filter("what = 2").select("h", "d", "k", "begin", "many").distinct()
@@ -268,7 +267,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """d (doc_id, null the smallest), k (which tells apart texts that share one), text, and all columns as row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    return bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("d"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFF)).alias("k"), "text", rest.alias("rest"))
+    return bounded(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("d"), F.xxhash64(text).alias("k"), "text", rest.alias("rest"))
 
 
 def _with_ranges(keyed: DataFrame, least: int, **how) -> DataFrame:

@@ -93,6 +93,21 @@ def test_repeats_cut_out_whole_characters(spark):
     assert repeats.report(docs.limit(0)).collect() == []
 
 
+def test_texts_of_one_doc_id_that_share_24_bits_of_a_hash(spark):
+    import xxhash
+
+    r, seen = random.Random(7), {}
+    while True:
+        text = "".join(r.choice("abcdefgh ") for _ in range(150))
+        other = seen.setdefault(xxhash.xxh64_intdigest(text.encode(), 42) & 0xFFFFFF, text)
+        if other != text:
+            break
+    rows = [(1, "x" + text[:120]), (5, text), (5, other), (None, "y" + other[30:]), (None, "z")]
+    want = brute_repeats(rows, 100)
+    got = repeats.report(spark.createDataFrame(rows, "doc_id long, text string"), 100).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((d, *want[-(2**63) if d is None else d, x])) for d, x in rows)
+
+
 def test_interval_expansion_alone():
     r = random.Random(2)
     for least in (3, 8, 25):
