@@ -414,11 +414,17 @@ def vocab_samples(spark, d):
 
 @query(_correct_sql(rf"SELECT DISTINCT word AS token FROM (SELECT unnest(regexp_extract_all(text, '\p{{L}}+')) AS word FROM documents) WHERE regexp_full_match(word, '[A-Za-z]{{4,9}}')"))
 def vocab_corrections(spark, d):
-    """Corrections of every plain word of the documents."""
+    """Corrections of the documents' words of four to nine letters A to Z: those that its SQL takes. All are in vocab_corrections_all."""
     words = _table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("token"))
     return vocabulary.corrections(words.filter(F.col("token").rlike("^[A-Za-z]{4,9}$")))
 
 
+@query()
+def vocab_corrections_all(spark, d):
+    """Corrections of every word of the documents, long ones and such with accents too."""
+    return vocabulary.corrections(_table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("token")))
+
+
 @query()
 def clean_blocks(spark, d):
     """Turns of conversations cleaned as recognised text."""

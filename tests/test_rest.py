@@ -1,7 +1,9 @@
 """Correction, recognition, extraction, content, exports, streams."""
 
 import json
+import random
 import sys
+import unicodedata
 
 import pytest
 from pyspark import cloudpickle
@@ -145,3 +147,39 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and callable(e.entry)
+
+
+def corrected_by_hand(token):
+    clean = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c)).lower()
+    confused = {bad: good for good, several in vocabulary.CONFUSIONS.items() for bad in several.split()}
+    one = [w for w in vocabulary.WORDS if len(w) == len(clean) and sum(a != b for a, b in zip(w, clean)) == 1]
+    short = {}
+    for w in vocabulary.WORDS:
+        for i in range(len(w)):
+            short.setdefault(w[:i] + w[i + 1 :], w)
+    less = [short[g] for g in (clean[:i] + clean[i + 1 :] for i in range(len(clean))) if g in short and abs(len(short[g]) - len(clean)) <= 1]
+    if len(token) < 4:
+        return token, 0
+    if clean in confused:
+        word, step = confused[clean], 1
+    elif clean in vocabulary.WORDS:
+        word, step = clean, 2 if clean in vocabulary._forms() else 0
+    else:
+        word, step = (one[0], 3) if one else (less[0], 4) if less else (None, 0)
+    if not step:
+        return token, 0
+    form = vocabulary.form_of(word)
+    return (form.upper() if token == token.upper() else form if token[0] == token[0].upper() else form.lower()), step
+
+
+def test_corrections_of_all_words_of_the_documents(spark, tmp_path):
+    from lexquarry.plans import catalogue
+
+    r, words = random.Random(3), ["electrocardiografico", "identificacíon", "Diagnóstico", "diagnóstlco", "HIPERTENSIONES", "niño", "straßenbahn"]
+    for w in vocabulary.WORDS:
+        at = r.randrange(len(w))
+        words += [w, w[:at] + r.choice("aeionrst") + w[at + 1 :], w[:at] + w[at + 1 :], w[:at] + "é" + w[at + 1 :], w.upper()]
+    spark.createDataFrame([(1, " ".join(words)), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.token: (x.corrected, x.step) for x in catalogue.queries()["vocab_corrections_all"](spark, str(tmp_path)).collect()}
+    assert got == {w: corrected_by_hand(w) for w in words}
+    assert sum(len(w) > 9 and step > 0 for w, (_, step) in got.items()) > 20
