@@ -127,7 +127,8 @@ def groups(docs: DataFrame, width: int = 3, dense: int = DENSE) -> DataFrame:
 
 
 SMALL, BLOCK, HELD = 12, 512, 1 << 25  # nodes of a key that are paired up; nodes and bytes of shingles of a sub-block
-THIN, OFTEN, FREQUENT = 16, 4, 200_000
+MIDDLE = 1000  # nodes of a key up to which what one shingle left is paired up as well
+THIN, OFTEN, FREQUENT = 4, 3, 200_000
 
 
 def text_key(text: Column) -> Column:
@@ -278,26 +279,43 @@ def _joined(place: DataFrame, edges: DataFrame) -> DataFrame:
     return saved(place.join(tops, F.col("root") == F.col("j"), "left").select("node", F.coalesce("top", "root").alias("root")), "groups", few="coalesce")
 
 
+def _candidates(met: DataFrame, least: float, also: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes that share a key, if sizes and places in the order allow it to be the first they share.
+
+    From its first shared shingle on a pair has at most what is left of the shorter; it needs t/(1+t) of both sizes.
+    """
+    other = met.select(F.col("key").alias("k_"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("at_"), *([F.col("root").alias("r")] if also is not None else []))
+    sized = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-6
+    placed = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("at_")) >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-6
+    met = met.join(other, (F.col("key") == F.col("k_")) & (F.col("node") < F.col("b")) & sized & placed)
+    return (met if also is None else met.filter(also)).select(F.col("node").alias("a"), "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def similar(docs: DataFrame, told: DataFrame, place: DataFrame, width: int, least: float) -> DataFrame:
     """place (node, root) joined further by all pairs of nodes with a Jaccard similarity of ``least`` or more.
 
     Candidates share a shingle of their prefixes, which loses no such pair. Up to SMALL nodes of a
-    shingle are paired up. More are linked in sub-blocks (_crowded), first by one shingle of each node, so that
-    most of a large group is joined before its other shingles are looked at.
+    shingle are paired up. More are linked in sub-blocks (_crowded) by one shingle of each node first, so that
+    most of a large group is joined before its other shingles are looked at: those of up to
+    MIDDLE nodes in pairs of nodes not joined yet, the rest in sub-blocks.
     """
     nodes = told.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
     met = saved(keyed.withColumn("many", F.count("*").over(Window.partitionBy("key"))).filter("many > 1"), "met", few="coalesce")
-    few, crowd = met.filter(F.col("many") <= SMALL), met.filter(F.col("many") > SMALL).select("node", "n", "key")
-    other = few.select(F.col("key").alias("k_"), F.col("node").alias("b"), F.col("n").alias("m"))
-    sized = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-6
-    pairs = saved(few.join(other, (F.col("key") == F.col("k_")) & (F.col("node") < F.col("b")) & sized).select(F.col("node").alias("a"), "b").distinct(), "candidates", few="coalesce")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("node")).distinct()
-    held = saved(_sets(docs, told, wanted, width), "sets")
-    place = _joined(place, _verified(pairs, held, least))
+    few, crowd = met.filter(F.col("many") <= SMALL), met.filter(F.col("many") > SMALL)
+    pairs = saved(_candidates(few, least).distinct(), "candidates", few="coalesce")
+    place = _joined(place, _verified(pairs, saved(_sets(docs, told, _ends(pairs), width), "sets"), least))
     if crowd.limit(1).count():
+        held = saved(_sets(docs, told, crowd.select("node").distinct(), width), "sets")
         place = _joined(place, _crowded(crowd.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n")), place, held, least))
-        place = _joined(place, _crowded(crowd, place, held, least))
+        rooted = crowd.filter(F.col("many") <= MIDDLE).join(place, "node")
+        pairs = saved(_candidates(rooted, least, F.col("root") != F.col("r")).distinct(), "candidates", few="coalesce")
+        place = _joined(place, _verified(pairs, held, least))
+        place = _joined(place, _crowded(crowd.filter(F.col("many") > MIDDLE), place, held, least))
     return place
 
 

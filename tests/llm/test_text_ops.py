@@ -441,6 +441,22 @@ def test_distinct_texts_under_one_or_no_doc_id_stay(spark):
     assert sorted(((x.doc_id, x.text) for x in kept), key=str) == sorted(want, key=str)
 
 
+def test_prefixes_lose_no_pair_at_the_threshold():
+    g = np.random.default_rng(4)
+    for _ in range(3000):
+        same, more = int(g.integers(1, 60)) * 4, int(g.integers(0, 3))
+        apart = same // 4 - min(more, same // 4 - 1)  # a similarity of 0.8, or little above
+        own = np.unique(g.integers(0, 2**63, same + apart, dtype="uint64"))
+        cut = int(g.integers(0, apart + 1))
+        x, y = np.sort(own[g.permutation(len(own))[: same + cut]]), None
+        y = np.sort(np.concatenate([g.choice(x, same, replace=False), np.setdiff1d(own, x)]))
+        often = (np.sort(g.choice(own, len(own) // 3 + 1, replace=False)), g.integers(3, 6, len(own) // 3 + 1))
+        assert len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+        px, py = simhash.prefix(x, 0.8, often), simhash.prefix(y, 0.8, often)
+        i, j = next((i, j) for i, a in enumerate(px) for j, b in enumerate(py) if a == b)
+        assert min(len(x) - i, len(y) - j) >= 0.8 / 1.8 * (len(x) + len(y)) - 1e-6
+
+
 # ---------------------------------------------------------------- 10: packing
 def test_packing_against_the_library(spark):
     from tokenizers import Tokenizer
