@@ -4,9 +4,9 @@ A 64-bit fingerprint becomes 32 counts, of the bits set in each segment of two.
 two such vectors is at most the Hamming distance of the fingerprints, in each half as well; and of
 two fingerprints that differ in at most two bits, one half differs in at most one. So each half lays a grid
 whose cells are its 16 counts; a fingerprint looks into its own cell and those one step up, and
-what it meets is verified by the bits. Cells with more than ``dense`` fingerprints aren't
-paired up: two fingerprints link exactly if some word is within one bit of both, so fingerprints
-that look into such a cell are linked through these 65 words instead, to the smallest of each.
+what it meets is verified by the bits. Cells with more than ``dense`` fingerprints are met in blocks:
+every block of a cell's fingerprints with every block of those that look into it, in a task of
+their own, which gives a spanning forest of the verified links instead of all of them.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import bounded, saved
+from lexquarry.llm.common import bounded, dropped, saved
 from lexquarry.llm.components import components
 
-SEED, DENSE = 42, 64
+SEED, DENSE, MET, BITS = 42, 64, 2048, 2
 PART = 1 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
@@ -98,16 +98,42 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     cells = fps.select("fp", counts_of(F.col("fp")).alias("v"))
     home = cells.select("fp", F.explode(F.array(*(F.struct(F.lit(h).alias("half"), _half(F.col("v"), h).alias("cell")) for h in (0, 1)))).alias("at")).select("fp", "at.*")
     up = home.select("fp", "half", "cell", F.explode(F.expr("concat(array(0L), transform(filter(sequence(0, 15), i -> (shiftrightunsigned(cell, 2 * i) & 3) < 2), i -> shiftleft(1L, 2 * i)))")).alias("step")).select(F.col("fp").alias("x"), F.col("half").alias("h"), (F.col("cell") + F.col("step")).alias("c"), "step")
-    full = home.groupBy("half", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > dense).select(F.col("half").alias("fh"), F.col("cell").alias("fc"))
+    full = home.groupBy("half", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > dense).select(F.col("half").alias("fh"), F.col("cell").alias("fc"), F.ceil(F.col("n") / MET).cast("int").alias("parts"))
     at_full = (F.col("h") == F.col("fh")) & (F.col("c") == F.col("fc"))
     sparse = home.join(full, (F.col("half") == F.col("fh")) & (F.col("cell") == F.col("fc")), "left_anti")
     pairs = up.join(sparse, (F.col("h") == F.col("half")) & (F.col("c") == F.col("cell"))).filter((F.col("step") > 0) | (F.col("x") < F.col("fp")))
-    near = pairs.filter(F.bit_count(F.col("x").bitwiseXOR(F.col("fp"))) <= 2).select(F.col("x").alias("a"), F.col("fp").alias("b"))
-    crowd = up.join(full, at_full, "left_semi").select("x").distinct()
-    around = crowd.select("x", F.explode(F.expr("concat(array(x), transform(sequence(0, 63), i -> x ^ shiftleft(1L, i)))")).alias("word"))
-    least = around.groupBy("word").agg(F.min("x").alias("least")).withColumnRenamed("word", "of")
-    star = around.join(least, (F.col("word") == F.col("of")) & (F.col("x") != F.col("least"))).select(F.col("x").alias("a"), F.col("least").alias("b"))
-    return near.unionByName(star).distinct()
+    near = pairs.filter(F.bit_count(F.col("x").bitwiseXOR(F.col("fp"))) <= BITS).select(F.col("x").alias("a"), F.col("fp").alias("b"))
+    # crowded cells: blocks of their fingerprints against blocks of those that look in
+    looked = up.join(full, at_full).groupBy("fh", "fc", "parts").agg(F.ceil(F.count("*") / MET).cast("int").alias("looks"))
+    part = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at_home = home.join(looked, (F.col("half") == F.col("fh")) & (F.col("cell") == F.col("fc"))).select("fh", "fc", part("fp", "parts").alias("i"), every("looks").alias("j"), F.col("fp").alias("x"), F.lit(True).alias("lives"))
+    looking = up.join(looked, at_full).select("fh", "fc", part("x", "looks").alias("j"), every("parts").alias("i"), "x", F.lit(False).alias("lives"))
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        lives = rows["lives"].to_numpy()
+        x = rows["x"].to_numpy().view("uint64")
+        return pd.DataFrame(forest(x[lives], x[~lives]).view("int64"), columns=["a", "b"])
+
+    crowded = at_home.unionByName(looking).groupBy("fh", "fc", "i", "j").applyInPandas(link, "a long, b long")
+    return near.unionByName(crowded).distinct()
+
+
+def forest(here: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Edges between the two sets of fingerprints, within BITS and not equal, that join what all such edges join."""
+    close = np.concatenate([np.bitwise_count(here[at : at + 256, None] ^ there[None]) <= BITS for at in range(0, len(here), 256)]) if len(here) and len(there) else np.zeros((len(here), len(there)), "bool")
+    left, right, out = np.ones(len(here), "bool"), np.ones(len(there), "bool"), []
+    for first in range(len(here)):
+        queue = [(0, first)] if left[first] else []
+        left[first] = False
+        while queue:
+            side, at = queue.pop()
+            met = np.flatnonzero(close[at] & right) if side == 0 else np.flatnonzero(close[:, at] & left)
+            (right if side == 0 else left)[met] = False
+            out += [(here[at], there[m]) if side == 0 else (here[m], there[at]) for m in met.tolist()]
+            queue += [(1 - side, m) for m in met.tolist()]
+    edges = np.array(out, "uint64").reshape(-1, 2)
+    return edges[edges[:, 0] != edges[:, 1]]
 
 
 def groups(docs: DataFrame, width: int = 3, dense: int = DENSE) -> DataFrame:
@@ -126,9 +152,9 @@ def groups(docs: DataFrame, width: int = 3, dense: int = DENSE) -> DataFrame:
     return of_docs.join(ids, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-SMALL, BLOCK, HELD = 12, 512, 1 << 25  # nodes of a key that are paired up; nodes and bytes of shingles of a sub-block
+SMALL, BLOCK, HELD = 32, 512, 1 << 25  # nodes of a key that are paired up; nodes and bytes of shingles of a sub-block
 MIDDLE = 1000  # nodes of a key up to which what one shingle left is paired up as well
-THIN, OFTEN, FREQUENT = 4, 3, 200_000
+THIN, LOOKED, FREQUENT = 2, 1 << 22, 200_000  # one text of THIN; shingles a task holds; shingles told
 
 
 def text_key(text: Column) -> Column:
@@ -137,19 +163,30 @@ def text_key(text: Column) -> Column:
 
 
 def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in many texts, and in how many, told from a sample.
+    """Shingles that occur in many texts, and about in how many: those seen several times among some texts of a task.
 
     They only come last in the order in which shingles are looked at; no result depends on them.
     """
 
+    def several(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if held:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view("int64")), pa.array(n[n > 1])], names=["h", "n"])
+
     def run(batches):
+        held, many = [], 0
         for b in batches:
             for text in b.column(0).to_pylist():
                 for h in shingles_of(text, width):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view("int64"))], names=["h"])
+                    held.append(np.unique(h))
+                    many += len(held[-1])
+                    if many >= LOOKED:
+                        yield from several(held)
+                        held, many = [], 0
+        yield from several(held)
 
     texts = bounded(docs).select(F.coalesce("text", F.lit("")).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(THIN)) == 0)
-    rows = texts.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    rows = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
     told = np.array([(r.h, r.n) for r in rows], "int64").reshape(-1, 2)
     known = told[:, 0].astype("uint64")
     order = np.argsort(known)
@@ -170,7 +207,7 @@ def prefix(own: np.ndarray, least: float, often: tuple[np.ndarray, np.ndarray])
 
 
 def sketches(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """doc_id, k (text_key), fp, node (a hash of all words), n (how many distinct shingles) and keys (their prefix)."""
+    """doc_id, k (text_key), fp, node (a hash of all words), n (how many distinct shingles), keys (their prefix) and sig (parities)."""
     often = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
     docs = bounded(docs).select("doc_id", text_key(F.col("text")).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -183,18 +220,47 @@ def sketches(docs: DataFrame, width: int, least: float) -> DataFrame:
                 parts = list(shingles_of(text, width))
                 own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, "uint64")
                 words = [w for part in words_of(text.encode().lower()) for w in part]
-                out.append((_majority(iter(parts)), xxh64_intdigest(b" ".join(words), 7), len(own), prefix(own, least, often.value).view("int64") if parts else own.view("int64")))
-            fps, nodes, n, keys = zip(*out)
+                out.append((_majority(iter(parts)), xxh64_intdigest(b" ".join(words), 7), len(own), prefix(own, least, often.value).view("int64") if parts else own.view("int64"), parities(own)))
+            fps, nodes, n, keys, sigs = zip(*out)
             signed = lambda x: pa.array(np.array(x, "uint64").view("int64"))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(fps), signed(nodes), pa.array(n, pa.int64()), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "k", "fp", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), signed(fps), signed(nodes), pa.array(n, pa.int64()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "k", "fp", "node", "n", "keys", "sig"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, fp long, node long, n long, keys array<long>, sig binary")
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k long, fp long, node long, n long, keys array<long>")
 
+def parities(own: np.ndarray) -> bytes:
+    """Of the distinct shingles in each bin of hashes, whether their number is odd: as many bins as a power of two has, the next above their number."""
+    bins = 1 << max(6, int(len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(bins - 1)).astype("int64"), minlength=bins) & 1
+    return np.packbits(odd.astype("bool"), bitorder="little").tobytes()
 
-def _sets(docs: DataFrame, told: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, set: the distinct shingles, sorted, of each wanted node."""
-    chosen = told.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("k").alias("of"))  # one text for each node
-    texts = docs.select(text_key(F.col("text")).alias("k"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, F.col("k") == F.col("of"))
+
+def may_be_similar(x: bytes, y: bytes, n: int, m: int, least: float) -> bool:
+    """True for all pairs of that similarity: where parities differ, a shingle is in one of both texts only."""
+    x, y = sorted((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")), key=len)
+    while len(y) > len(x):  # bins are low bits: halves fold onto each other
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= (1 - least) / (1 + least) * (n + m) + 1e-6
+
+
+def _pruned(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Pairs without those whose parities alone show that they aren't similar."""
+    end = lambda c, n, s: nodes.select(F.col("node").alias(c), F.col("n").alias(n), F.col("sig").alias(s))
+    both = pairs.join(end("a", "n", "x"), "a").join(end("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+
+    def run(batches):
+        for b in batches:
+            told = (b[c].to_pylist() for c in ("x", "y", "n", "m"))
+            keep = pa.array([may_be_similar(*r, least) for r in zip(*told)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b["a"].filter(keep), b["b"].filter(keep)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, set: the distinct shingles, sorted, of each wanted node; read from one text of each."""
+    chosen = nodes.join(wanted, "node", "left_semi").select("node", F.col("least.k").alias("of"), F.col("least.doc_id").alias("id"))
+    texts = docs.select("doc_id", text_key(F.col("text")).alias("k"), F.coalesce("text", F.lit("")).alias("text")).join(chosen, (F.col("k") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
 
     def sets(batches):
         from xxhash import xxh64_intdigest
@@ -295,37 +361,42 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
-def similar(docs: DataFrame, told: DataFrame, place: DataFrame, width: int, least: float) -> DataFrame:
+def similar(docs: DataFrame, met: DataFrame, nodes: DataFrame, place: DataFrame, width: int, least: float) -> DataFrame:
     """place (node, root) joined further by all pairs of nodes with a Jaccard similarity of ``least`` or more.
 
-    Candidates share a shingle of their prefixes, which loses no such pair. Up to SMALL nodes of a
-    shingle are paired up. More are linked in sub-blocks (_crowded) by one shingle of each node first, so that
-    most of a large group is joined before its other shingles are looked at: those of up to
-    MIDDLE nodes in pairs of nodes not joined yet, the rest in sub-blocks.
+    met: nodes by the shingles of their prefixes that others have as well, which loses no such pair. Up
+    to SMALL nodes of a shingle are paired up, less the pairs that parities rule out. More are linked in sub-blocks
+    (_crowded) by one shingle of each node first, so that most of a large group is joined before its other
+    shingles are looked at: those of up to MIDDLE nodes in pairs of nodes not joined yet, the rest in sub-blocks.
     """
-    nodes = told.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
-    met = saved(keyed.withColumn("many", F.count("*").over(Window.partitionBy("key"))).filter("many > 1"), "met", few="coalesce")
     few, crowd = met.filter(F.col("many") <= SMALL), met.filter(F.col("many") > SMALL)
-    pairs = saved(_candidates(few, least).distinct(), "candidates", few="coalesce")
-    place = _joined(place, _verified(pairs, saved(_sets(docs, told, _ends(pairs), width), "sets"), least))
+    pairs = saved(_pruned(_candidates(few, least).distinct(), nodes, least), "candidates", few="coalesce")
+    held = saved(_sets(docs, nodes, _ends(pairs).unionByName(crowd.select("node")).distinct(), width), "sets")
+    place = _joined(place, _verified(pairs, held, least))
     if crowd.limit(1).count():
-        held = saved(_sets(docs, told, crowd.select("node").distinct(), width), "sets")
         place = _joined(place, _crowded(crowd.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n")), place, held, least))
         rooted = crowd.filter(F.col("many") <= MIDDLE).join(place, "node")
-        pairs = saved(_candidates(rooted, least, F.col("root") != F.col("r")).distinct(), "candidates", few="coalesce")
+        pairs = saved(_pruned(_candidates(rooted, least, F.col("root") != F.col("r")).distinct(), nodes, least), "candidates", few="coalesce")
         place = _joined(place, _verified(pairs, held, least))
         place = _joined(place, _crowded(crowd.filter(F.col("many") > MIDDLE), place, held, least))
+    dropped(docs.sparkSession, held)
     return place
 
 
 def _near(docs: DataFrame, width: int, least: float, dense: int) -> DataFrame:
     """doc_id, k and top (its group) of every row."""
-    told = saved(sketches(docs, width, least), "sketches", few="repartition")
+    spark = docs.sparkSession
+    wide = saved(sketches(docs, width, least), "sketches")
+    told = saved(wide.select("doc_id", "k", "fp", "node"), "told", few="repartition")
+    keyed = wide.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("node", "n", F.posexplode("keys").alias("at", "key"))
+    met = saved(keyed.withColumn("many", F.count("*").over(Window.partitionBy("key"))).filter("many > 1"), "met", few="coalesce")
+    nodes = wide.groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct("k", "doc_id")).alias("least"))
+    nodes = saved(nodes.join(met.select("node").distinct(), "node", "left_semi"), "nodes", few="coalesce")
+    dropped(spark, wide)
     roots = components(links(told.select("fp").distinct(), dense))
     rooted = told.select("fp", "node").distinct().join(roots.withColumnRenamed("node", "f"), F.col("fp") == F.col("f"), "left").select("node", F.coalesce("root", "fp").alias("root"))
     place = saved(rooted.groupBy("node").agg(F.min("root").alias("root")), "roots", few="coalesce")
-    place = similar(docs, told, place, width, least)
+    place = similar(docs, met, nodes, place, width, least)
     return told.select("doc_id", "k", F.col("node").alias("of")).join(place, F.col("of") == F.col("node")).select("doc_id", "k", F.col("root").alias("top"))
 
 
