@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 
+# Thresholds and bounds.
 SCANNED_BELOW = 30  # characters of stripped text
 DOMINANT_COVER = 0.5
 LEAST_IMAGE = 40  # pixels each way
@@ -25,6 +26,7 @@ LABELS = {"text": "Texto Digital", "ocr": "Escaneo de Página (OCR)", "image_ocr
 STAGES = {"exacto": 0, "prefijo": 1, "subcadena": 2, "frase": 3, "difuso": 4}
 PAGE_HEADER = "--- PÁGINA %d ---"
 EVIDENCE_HEADER = "[Página %d | %s] %s"
+MODEL_FAMILY, FALLBACK_MODELS = "qwen", ("qwen2.5:1.5b",)
 NOT_FOUND = "No encontrado"
 NO_EVIDENCE = "Sin evidencia relevante para la pregunta."
 EMPTY_QUESTION = "Pregunta vacía."
@@ -33,9 +35,10 @@ BAD_JSON = "El modelo devolvió JSON inválido."
 
 @dataclass(frozen=True)
 class Limits:
-    """How large a batch of queries may be to be sent to every executor."""
+    """How many queries may be sent to every executor, and how many keys may be looked up by a pushed filter."""
 
     broadcast_queries: int = 2000
+    lookup_keys: int = 500
 
 
 LIMITS = Limits()

@@ -54,6 +54,14 @@ class HttpModel:
             return json.loads(r.read()).get("response", "{}")
 
 
+def chosen_models(names: DataFrame, fallback: tuple[str, ...] = config.FALLBACK_MODELS) -> DataFrame:
+    """Of a server's models (at, name) those of the family that prompts are made for, else the first, else the fallback; in order."""
+    own = names.withColumn("fits", F.contains(F.lower("name"), F.lit(config.MODEL_FAMILY)))
+    best = own.agg(F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("at", "name")))).alias("fit"), F.min(F.struct("at", "name")).alias("first"))  # a server's list is short
+    told = F.when(F.size("fit") > 0, F.transform("fit", lambda m: m["name"])).when(F.col("first").isNotNull(), F.array(F.col("first")["name"])).otherwise(F.array(*map(F.lit, fallback)))
+    return best.select(F.posexplode(told).alias("at", "name"))
+
+
 class EchoModel:
     """A deterministic stand-in for tests: answers with a given text, or with the prompt's length."""
 

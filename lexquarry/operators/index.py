@@ -18,10 +18,10 @@ def forms(words: DataFrame) -> DataFrame:
     return rows.withColumn("_clean", tx.trimmed_word(F.col("_base"))).withColumn("_number", tx.digits_only(F.col("_clean")))
 
 
-def keys(corrected: Column | None = None) -> Column:
+def keys(corrected: Column | None = None, kinds: tuple[str, ...] = KINDS) -> Column:
     """All index terms of a word (by its forms) as an array of structs (kind, term), in the order they are made.
 
-    corrected: for recognised words, an array of corrections of the cleaned word and its parts.
+    corrected: for recognised words, an array of corrections of the cleaned word and its parts. kinds: which are made.
     A term that several rules give comes several times, as many postings as it makes.
     """
     base, clean, number = F.col("_base"), F.col("_clean"), F.col("_number")
@@ -29,23 +29,22 @@ def keys(corrected: Column | None = None) -> Column:
     none = F.array().cast("array<struct<kind:string,term:string>>")
     one = lambda kind, term: F.array(F.struct(F.lit(kind).alias("kind"), term.alias("term")))
     many = lambda kind, terms: F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
-    groups = [
-        one("base", base),
-        F.when((clean != base) & long(clean), one("clean", clean)).otherwise(none),
-        F.when(clean.rlike(tx.PART_BREAK), many("part", F.filter(tx.word_parts(clean), lambda t: (t != clean) & long(t)))).otherwise(none),
-        F.when((number != clean) & tx.is_numeric(number) & (F.length(number) >= config.LEAST_NUMBER), one("number", number)).otherwise(none),
-        F.when(clean.rlike("[0-9]{6}"), many("run", F.filter(tx.digit_runs(clean), lambda t: (t != clean) & (t != number)))).otherwise(none),
-    ]
+    groups = {
+        "base": one("base", base),
+        "clean": F.when((clean != base) & long(clean), one("clean", clean)).otherwise(none),
+        "part": F.when(clean.rlike(tx.PART_BREAK), many("part", F.filter(tx.word_parts(clean), lambda t: (t != clean) & long(t)))).otherwise(none),
+        "number": F.when((number != clean) & tx.is_numeric(number) & (F.length(number) >= config.LEAST_NUMBER), one("number", number)).otherwise(none),
+        "run": F.when(clean.rlike("[0-9]{6}"), many("run", F.filter(tx.digit_runs(clean), lambda t: (t != clean) & (t != number)))).otherwise(none),
+    }
     if corrected is not None:
-        groups.append(many("corrected", F.filter(F.transform(corrected, tx.normal), lambda t: long(t) & (t != clean))))
-    return F.concat(*groups)
+        groups["corrected"] = many("corrected", F.filter(corrected, long))
+    chosen = [g for kind, g in groups.items() if kind in kinds]
+    return F.concat(*chosen) if chosen else none
 
 
 def postings(words: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """A row for each term of each word; no shuffle. words: as words() gives them, with corrected if recognised."""
-    own = keys(F.col("corrected") if "corrected" in words.columns else None)
-    if kinds != KINDS:
-        own = F.filter(own, lambda k: k["kind"].isin(*kinds))
+    own = keys(F.col("corrected") if "corrected" in words.columns else None, kinds)
     rows = forms(words).select("doc_id", "page", "src", "image_id", "word", "x0", "y0", "x1", "y1", "seq", F.posexplode(own).alias("nth", "key"))
     return rows.select("doc_id", "key.term", "key.kind", "page", "src", "image_id", "x0", "y0", "x1", "y1", "word", (F.col("seq") * 64 + F.col("nth")).alias("seq"))
 
@@ -74,8 +73,3 @@ def by_first(postings: DataFrame) -> DataFrame:
 def exported(postings: DataFrame) -> DataFrame:
     """term and its postings as one array, in order: for exports of small corpora."""
     return postings.groupBy("doc_id", "term").agg(F.array_sort(F.collect_list(F.struct("page", "seq", "src", "word"))).alias("places"))
-
-
-def write(postings: DataFrame, table: str, buckets: int = 64) -> None:
-    """A table bucketed by term: lookups and joins on term need no shuffle of it."""
-    postings.write.bucketBy(buckets, "term").sortBy("term").format("parquet").mode("overwrite").saveAsTable(table)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from importlib.util import find_spec
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,17 +14,26 @@ from pyspark.sql import functions as F
 from lexquarry import config
 from lexquarry.functions import numbers as nm
 from lexquarry.functions import text as tx
+from lexquarry.operators import vocabulary
 
 BOX = "struct<text: string, conf: double, x0: int, y0: int, x1: int, y1: int>"
 RESULT = f"doc_id string, item_id string, text string, boxes array<{BOX}>, success boolean, error string"
 
 
 class Recogniser(Protocol):
-    """Reads one image: its words as struct<text, conf, left, top, width, height, block, par, line>."""
+    """Reads one image: its words as struct<text, conf, left, top, width, height, block, par, line>.
+
+    header(), where there is one, reads the strip at the top again; its words are placed in the whole image.
+    """
 
     def words(self, image: bytes) -> list[dict]: ...
 
 
+def faint_marks(gray: np.ndarray, blurred: np.ndarray) -> np.ndarray:
+    """Dark on white: what is darker than its surroundings, three and a half times as strongly."""
+    return np.clip(255 - 3.5 * (blurred.astype("float64") - gray), 0, 255).astype("uint8")
+
+
 class Tesseract:
     """By pytesseract and Pillow, where they are installed."""
 
@@ -38,16 +48,40 @@ class Tesseract:
         import io
 
         import pytesseract
-        from PIL import Image, ImageOps
+        from PIL import Image, ImageDraw, ImageFilter, ImageOps
 
-        picture = ImageOps.autocontrast(ImageOps.grayscale(Image.open(io.BytesIO(image))))
+        picture = ImageOps.grayscale(Image.open(io.BytesIO(image)))
         longest = max(picture.size)
         scale = 1800 / longest if longest > 2000 and picture.width >= 1000 else 1000 / longest if longest < 600 and min(picture.size) > 50 else 1.0
         if scale != 1.0:
-            picture = picture.resize((round(picture.width * scale), round(picture.height * scale)))
-        d = pytesseract.image_to_data(picture, config=f"--oem 1 --psm 3 -l {self.languages}", output_type=pytesseract.Output.DICT)
+            picture = picture.resize((int(picture.width * scale), int(picture.height * scale)))
+        wide, high = picture.size
+        side, top = (max(2, int(n * 0.008)) for n in picture.size)
+        frame = ImageDraw.Draw(picture)  # shadows at the border
+        for box in ((0, 0, wide, top), (0, high - top, wide, high), (0, 0, side, high), (wide - side, 0, wide, high)):
+            frame.rectangle(box, fill=255)
+        picture = ImageOps.autocontrast(picture).filter(ImageFilter.UnsharpMask(radius=1.0, percent=80, threshold=2))
+        return self._read(pytesseract, picture, 3, scale, 0)
+
+    def header(self, image: bytes) -> list[dict]:
+        import io
+
+        import pytesseract
+        from PIL import Image, ImageFilter, ImageOps
+
+        picture = ImageOps.grayscale(Image.open(io.BytesIO(image)))
+        low, offset = min(int(picture.height * 0.16), 380), int(picture.height * 0.012)
+        if low < 60:
+            return []
+        strip = picture.crop((0, offset, picture.width, low))
+        marks = faint_marks(np.asarray(strip), np.asarray(strip.filter(ImageFilter.GaussianBlur(8))))
+        return self._read(pytesseract, Image.fromarray(marks), 11, 1.0, offset)
+
+    def _read(self, pytesseract, picture, mode: int, scale: float, offset: int) -> list[dict]:
+        d = pytesseract.image_to_data(picture, config=f"--oem 1 --psm {mode} -l {self.languages}", output_type=pytesseract.Output.DICT)
         names = {"left": "left", "top": "top", "width": "width", "height": "height", "block": "block_num", "par": "par_num", "line": "line_num"}
-        return [{"text": t, "conf": c, "scale": scale, **{k: int(d[v][i]) for k, v in names.items()}} for i, (t, c) in enumerate(zip(d["text"], d["conf"]))]
+        rows = [{"text": t, "conf": c, "scale": scale, **{k: int(d[v][i]) for k, v in names.items()}} for i, (t, c) in enumerate(zip(d["text"], d["conf"]))]
+        return [r | {"top": r["top"] + offset} for r in rows]
 
 
 def image_ids(images: Column, page: Column) -> Column:
@@ -83,7 +117,7 @@ def routed(pages: DataFrame, read_images: bool = True) -> DataFrame:
 
 
 def recognised(items: DataFrame, reader: Recogniser, partitions: int | None = None) -> DataFrame:
-    """doc_id, item_id, words, error of items (doc_id, item_id, bytes); a failure is a row, not the end of the job."""
+    """doc_id, item_id, words, header, error of items (doc_id, item_id, bytes); a failure is a row, not the end of the job."""
     word = "struct<text: string, conf: double, left: int, top: int, width: int, height: int, block: int, par: int, line: int, scale: double>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,13 +125,14 @@ def recognised(items: DataFrame, reader: Recogniser, partitions: int | None = No
             rows = []
             for doc_id, item_id, image in zip(b["doc_id"], b["item_id"], b["bytes"]):
                 try:
-                    rows.append((doc_id, item_id, [{"scale": 1.0, **w, "conf": _number(w.get("conf"))} for w in reader.words(bytes(image))], None))
+                    both = (reader.words(bytes(image)), reader.header(bytes(image)) if hasattr(reader, "header") else [])
+                    rows.append((doc_id, item_id, *([{"scale": 1.0, **w, "conf": _number(w.get("conf"))} for w in some] for some in both), None))
                 except Exception as e:  # noqa: BLE001
-                    rows.append((doc_id, item_id, [], str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "error"])
+                    rows.append((doc_id, item_id, [], [], str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "header", "error"])
 
     spread = items.repartition(partitions, "doc_id", "item_id") if partitions else items
-    return spread.select("doc_id", "item_id", "bytes").mapInPandas(run, f"doc_id string, item_id string, words array<{word}>, error string")
+    return spread.select("doc_id", "item_id", "bytes").mapInPandas(run, f"doc_id string, item_id string, words array<{word}>, header array<{word}>, error string")
 
 
 def _number(conf) -> float:
@@ -132,6 +167,56 @@ def with_header(text: Column, boxes: Column, header: Column, header_boxes: Colum
     return F.struct(F.when(F.size(header) > 0, F.concat(line, F.lit("\n"), text)).otherwise(text).alias("text"), F.concat(F.reverse(header_boxes), boxes).alias("boxes"))
 
 
+def results(read: DataFrame) -> DataFrame:
+    """doc_id, item_id, text, boxes, success, error of what recognised() read: lines put together, the header before them, words corrected."""
+    keys = [F.col(c) for c in ("doc_id", "item_id")]
+    told = read.select(*keys, F.posexplode("words").alias("at", "w")).select("doc_id", "item_id", "at", "w.text", "w.block", "w.par", "w.line")
+    body = lines(told).withColumnsRenamed({"doc_id": "bd", "item_id": "bi", "text": "body"})
+    met = read.join(body, (F.col("doc_id") == F.col("bd")) & (F.col("item_id") == F.col("bi")), "left").drop("bd", "bi").withColumn("body", F.coalesce("body", F.lit("")))
+    met = met.withColumn("head", F.filter("header", lambda w: F.size(header_words(F.array(tx.stripped(w["text"])), F.col("body"))) > 0))
+    # a header's words are corrected one by one; they are few
+    fixed = vocabulary.corrections(met.select(F.explode("head").alias("w")).select(tx.stripped(F.col("w.text")).alias("token"))).filter("step > 0").select("token", "corrected")
+    each = met.select(*keys, F.posexplode("head").alias("at", "w")).withColumn("token", tx.stripped(F.col("w.text"))).join(fixed, "token", "left")
+    each = each.withColumn("w", F.col("w").withField("text", F.coalesce("corrected", "token")))
+    heads = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]).alias("told")).withColumnsRenamed({"doc_id": "hd", "item_id": "hi"})
+    met = met.join(heads, (F.col("doc_id") == F.col("hd")) & (F.col("item_id") == F.col("hi")), "left").drop("hd", "hi")
+    plain = lambda w: F.struct(w["text"].alias("text"), F.coalesce(w["conf"], F.lit(-1.0)).alias("conf"), w["left"].alias("x0"), w["top"].alias("y0"), (w["left"] + w["width"]).alias("x1"), (w["top"] + w["height"]).alias("y1"))
+    told_head = F.coalesce("told", F.slice("head", 1, 0))
+    whole = met.withColumn("all", with_header(F.col("body"), boxes(F.col("words")), F.transform(told_head, lambda w: w["text"]), F.transform(told_head, plain)))
+    clean = vocabulary.cleaned(whole.select(F.struct("doc_id", "item_id").alias("id"), F.col("all.text").alias("text"))).select(F.col("id.doc_id").alias("cd"), F.col("id.item_id").alias("ci"), F.col("text").alias("clean"))
+    out = whole.join(clean, (F.col("doc_id") == F.col("cd")) & (F.col("item_id") == F.col("ci")), "left")
+    return out.select("doc_id", "item_id", F.coalesce("clean", F.lit("")).alias("text"), F.when(F.col("error").isNull(), F.col("all.boxes")).otherwise(F.slice("all.boxes", 1, 0)).alias("boxes"), F.col("error").isNull().alias("success"), "error")
+
+
+def box_words(results: DataFrame, items: DataFrame) -> DataFrame:
+    """Recognised words with their places on the page, as text.words() gives them, for the index.
+
+    items: doc_id, page, item_id, kind (scan or image), rect, width, height of what was read. Pixels
+    of a rendered page become points by its resolution, those of an image by its place on the page;
+    an image without a place has words without one. Items without text give none.
+    """
+    of = items.withColumnsRenamed({"doc_id": "d_", "item_id": "i_"})
+    met = results.filter(F.coalesce("text", F.lit("")) != "").join(of, (F.col("doc_id") == F.col("d_")) & (F.col("item_id") == F.col("i_")))
+    each = met.select("doc_id", "page", "item_id", "kind", "rect", "width", "height", F.posexplode("boxes").alias("seq", "b"))
+    zoom, scan = F.lit(config.RENDER_DPI / 72.0), F.col("kind") == "scan"
+    place = lambda c, low, high, size: F.when(scan, nm.scan_to_points(F.col(f"b.{c}"), zoom)).otherwise(nm.image_to_points(F.get("rect", low), F.get("rect", high), F.col(f"b.{c}"), F.col(size)))
+    flat = (F.get("rect", 0) == F.get("rect", 2)) | (F.get("rect", 1) == F.get("rect", 3))
+    x0, y0, x1, y1 = place("x0", 0, 2, "width"), place("y0", 1, 3, "height"), place("x1", 0, 2, "width"), place("y1", 1, 3, "height")
+    told = lambda c: F.when(scan | ~F.coalesce(flat, F.lit(True)), c)
+    return each.select("doc_id", "page", F.when(scan, "ocr").otherwise("image_ocr").alias("src"), F.when(~scan, F.col("item_id")).alias("image_id"), F.col("b.text").alias("word"), told(x0).alias("x0"), told(y0).alias("y0"), told(x1).alias("x1"), told(y1).alias("y1"), F.col("seq").cast("long").alias("seq"))
+
+
+def tuning(runs: DataFrame) -> DataFrame:
+    """Of measured runs (workers, dpi, seconds, items): the fastest, how many there were, and the mean of their seconds and items."""
+    best = F.min_by(F.struct("workers", "dpi", "seconds"), F.struct("seconds", "workers", "dpi"))
+    return runs.agg(best.alias("best"), F.count("*").alias("runs"), F.avg("seconds").alias("mean_seconds"), F.sum("items").alias("items")).select("best.*", "runs", "mean_seconds", "items")
+
+
+def workers(cores: int | None) -> int:
+    """How many readers one machine runs; on a cluster that is what partitions are for."""
+    return min(10, max(1, (cores or 4) - 1))
+
+
 def merged(pages: DataFrame, results: DataFrame) -> DataFrame:
     """Pages (with images) with what was recognised (doc_id, item_id, text): renders by page, images by id."""
     told = results.filter(F.coalesce("text", F.lit("")) != "")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from lexquarry import config
 from lexquarry.functions import text as tx
+from lexquarry.operators import store
+from lexquarry.sources.shared import stored
 from lexquarry.sources.text import label, sources
 
 HIT = ("query_id", "doc_id", "page", "source", "source_label", "token_searched", "match_type", "snippet", "matched_term", "image_id", "x0", "y0", "x1", "y1")
@@ -29,12 +31,9 @@ def terms(queries: DataFrame) -> DataFrame:
     return parsed(queries).select("query_id", "raw", F.posexplode("terms").alias("at", "term"))
 
 
-def _vocabulary(postings: DataFrame) -> DataFrame:
-    return postings.select(F.col("term").alias("key")).distinct().withColumn("bare", tx.trimmed_word(F.col("key")))
-
-
-def exact(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    return asked.join(vocabulary, F.col("term") == F.col("key")).select(*asked.columns, "key", F.lit(0).alias("stage"))
+def exact(asked: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Terms as they are; whether the index has them is for the postings to say."""
+    return asked.select(*asked.columns, F.col("term").alias("key"), F.lit(0).alias("stage"))
 
 
 def prefix(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -74,7 +73,7 @@ def _told(matched: DataFrame, texts: DataFrame) -> DataFrame:
 
 def hits_of(matched: DataFrame, postings: DataFrame, texts: DataFrame) -> DataFrame:
     """Vocabulary matches (key) to hits, with the columns of stages 1 to 3."""
-    places = postings.withColumnRenamed("term", "posted").drop("kind")
+    places = store.looked_up(postings, matched).withColumnRenamed("term", "posted").drop("kind")
     found = _told(matched.join(places, F.col("key") == F.col("posted")), texts)
     kind = F.when(F.col("stage") == 0, "exacto").when(F.col("stage") == 1, "prefijo").otherwise("subcadena")
     return found.withColumns({"token_searched": F.col("word"), "match_type": kind})
@@ -83,8 +82,11 @@ def hits_of(matched: DataFrame, postings: DataFrame, texts: DataFrame) -> DataFr
 def fuzzy(asked: DataFrame, hits: DataFrame, postings: DataFrame, vocabulary: DataFrame, texts: DataFrame) -> DataFrame:
     """Per document, for terms it doesn't know and that no hit in it begins with: its most similar words."""
     near = similar(asked, vocabulary)
-    own = postings.select("doc_id", F.col("term").alias("key")).distinct()
     wanted = asked.filter(F.length("term") >= config.FUZZY_LENGTH)
+    # of the index only the terms asked for and what is like them
+    needed = near.select("key").unionByName(wanted.select(F.col("term").alias("key"))).distinct()
+    held = store.looked_up(postings, needed).join(needed.withColumnRenamed("key", "needed"), F.col("term") == F.col("needed"), "left_semi")
+    own = held.select("doc_id", F.col("term").alias("key")).distinct()
     met = wanted.join(near, "term").join(own, "key")
     # a term that its document knows isn't looked for
     known = own.withColumnsRenamed({"doc_id": "kd", "key": "kk"})
@@ -94,7 +96,7 @@ def fuzzy(asked: DataFrame, hits: DataFrame, postings: DataFrame, vocabulary: Da
     met = met.join(begun, (F.col("query_id") == F.col("hq")) & (F.col("doc_id") == F.col("hd")) & F.startswith("hm", "term"), "left_anti")
     best = Window.partitionBy("query_id", "doc_id", "at").orderBy(F.desc("ratio"), "key")
     met = met.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= config.FUZZY_CANDIDATES)
-    places = postings.withColumnsRenamed({"term": "posted", "doc_id": "pd"}).drop("kind")
+    places = held.withColumnsRenamed({"term": "posted", "doc_id": "pd"}).drop("kind")
     first = Window.partitionBy("query_id", "doc_id", "at", "key").orderBy("page", "src", "image_id", "seq")
     taken = met.join(places, (F.col("key") == F.col("posted")) & (F.col("doc_id") == F.col("pd"))).withColumn("of", F.row_number().over(first)).filter(F.col("of") <= config.FUZZY_POSTINGS)
     told = _told(taken, texts).withColumns({"token_searched": F.col("raw"), "match_type": F.format_string("difuso (%d%%)", F.floor(F.col("ratio") * 100 + 1e-9).cast("int")), "stage": F.lit(3)})
@@ -146,12 +148,17 @@ def ranked(hits: DataFrame) -> DataFrame:
     return hits.withColumn("position", F.row_number().over(order))
 
 
-def search(pages: DataFrame, postings: DataFrame, queries: DataFrame, with_fuzzy: bool = True) -> DataFrame:
-    """All hits of all queries (query_id, query) in all documents, without repeats, with their position."""
-    texts, asked, words = sources(pages), terms(queries), _vocabulary(postings)
+def search(pages: DataFrame, postings: DataFrame, queries: DataFrame, with_fuzzy: bool = True, vocabulary: DataFrame | None = None) -> DataFrame:
+    """All hits of all queries (query_id, query) in all documents, without repeats, with their position.
+
+    vocabulary: as stored beside the postings (store.vocabulary), made from them if it is left out.
+    """
+    texts, asked, words = sources(pages), terms(queries), vocabulary if vocabulary is not None else store.vocabulary(postings)
     matched = exact(asked, words).unionByName(prefix(asked, words)).unionByName(substring(asked, words))
     keep = [*HIT, "stage", "at", "key", "seq"]
-    first = hits_of(matched, postings, texts).persist()
+    first = hits_of(matched, postings, texts)
+    if with_fuzzy:  # which asks for what the other stages found
+        first = stored(first, "hits")
     every = first.select(*keep).unionByName(phrase(queries, texts).select(*keep))
     if with_fuzzy:
         every = every.unionByName(fuzzy(asked, first, postings, words, texts).select(*keep))

@@ -40,13 +40,38 @@ transtorácico electrocardiograma electrocardiográfico cirugía miércoles sáb
 Transcribe Prestador Municipio Previsalud Semedical Losartán Hidroclorotiazida Hidróxido CEMINSA COOSALUD Sabanalarga
 """.split()
 
-# Known confusions and what is meant.
-CONFUSIONS = {
-    "fecha": "facha", "gestion": "gestlon", "diagnostico": "disgnostico", "paciente": "paclente", "externo": "extemo extermo", "transtoracico": "transtoracico", "consalud": "consanuo consaquo consaduo",
-    "fiduprevisora": "fiduprevisora", "transcribe": "transcribe", "auxiliar": "auxlllar", "administrativo": "administratlvo",
-    "semedical": "emedica semedica sermedica somedia somedical comarcal comorira comedical", "previsalud": "provicalur previaalud",
-    "losartan": "sartan lojartan", "hidroclorotiazida": "droclorotiazida hidrocloratiazida", "hidroxido": "droxido",
-}
+# Known confusions, each with what is meant.
+CONFUSIONS = """
+facha fecha
+gestlon gestion
+disgnostico diagnostico
+paclente paciente
+extemo externo
+extermo externo
+transtoracico transtoracico
+consanuo consalud
+consaquo consalud
+consaduo consalud
+fiduprevisora fiduprevisora
+transcribe transcribe
+auxlllar auxiliar
+administratlvo administrativo
+emedica semedical
+semedica semedical
+sermedica semedical
+somedia semedical
+somedical semedical
+comarcal semedical
+comorira semedical
+comedical semedical
+provicalur previsalud
+previaalud previsalud
+sartan losartan
+lojartan losartan
+droclorotiazida hidroclorotiazida
+hidrocloratiazida hidroclorotiazida
+droxido hidroxido
+""".strip().splitlines()
 
 
 @lru_cache(1)
@@ -64,7 +89,7 @@ def known(spark: SparkSession) -> DataFrame:
 
 
 def confusions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(bad, form_of(good)) for good, several in CONFUSIONS.items() for bad in several.split()], "bad string, form string")
+    return spark.createDataFrame([(bad, form_of(good)) for bad, good in map(str.split, CONFUSIONS)], "bad string, form string")
 
 
 def shortened(spark: SparkSession) -> DataFrame:
@@ -108,7 +133,9 @@ def cleaned(texts: DataFrame) -> DataFrame:
     pieces = texts.select("id", F.posexplode_outer(tx.kept_lines(F.col("text"))).alias("line", "body")).select("id", "line", F.posexplode_outer(tx.with_separators(F.col("body"))).alias("at", "piece"))
     wordy = tx.is_alphabetic(F.col("piece")) & (F.length("piece") >= 4)
     fixed = corrections(pieces.filter(wordy).select(F.col("piece").alias("token"))).filter("step > 0").select(F.col("token").alias("t"), "corrected")
-    joined = pieces.join(fixed, F.col("piece") == F.col("t"), "left").withColumn("piece", F.coalesce("corrected", "piece"))
+    # separators and short words, the commonest pieces by far, don't meet the corrections
+    words = pieces.filter(wordy).join(fixed, F.col("piece") == F.col("t"), "left").withColumn("piece", F.coalesce("corrected", "piece"))
+    joined = words.select("id", "line", "at", "piece").unionByName(pieces.filter(~F.coalesce(wordy, F.lit(False))).select("id", "line", "at", "piece"))
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")))), lambda p: p["piece"]), "")
     rows = joined.groupBy("id", "line").agg(tx.squeezed(tx.stripped(line)).alias("body"))
     whole = F.array_sort(F.collect_list(F.when(F.coalesce("body", F.lit("")) != "", F.struct("line", "body"))))
@@ -116,12 +143,12 @@ def cleaned(texts: DataFrame) -> DataFrame:
 
 
 def corrected_words(words: DataFrame) -> DataFrame:
-    """words with an array ``corrected`` for recognised ones: of the cleaned word and of its parts."""
+    """words with an array ``corrected`` for recognised ones: normal forms of corrections of the cleaned word and of its parts, where they differ from what they correct."""
     clean = tx.trimmed_word(tx.normal(F.col("word")))
-    asked = words.withColumn("_asked", F.when(F.col("src") != "text", F.array_distinct(F.concat(F.array(clean), tx.word_parts(clean)))).otherwise(F.array().cast("array<string>")))
-    fixed = corrections(asked.select(F.explode("_asked").alias("token"))).filter("step > 0").select(F.col("token").alias("t"), "corrected")
-    each = asked.select("doc_id", "page", "src", "image_id", "seq", F.explode("_asked").alias("token")).join(fixed, F.col("token") == F.col("t"))
-    own = each.groupBy("doc_id", "page", "src", "image_id", "seq").agg(F.array_sort(F.collect_list("corrected")).alias("corrected"))
+    asked = words.withColumn("_asked", F.when(F.col("src") != "text", F.concat(F.array(clean), F.filter(tx.word_parts(clean), lambda t: (t != clean) & (F.length(t) >= 2)))).otherwise(F.array().cast("array<string>")))
+    fixed = corrections(asked.select(F.explode("_asked").alias("token"))).filter("step > 0").select(F.col("token").alias("t"), tx.normal(F.col("corrected")).alias("corrected")).filter("corrected <> t")
+    each = asked.select("doc_id", "page", "src", "image_id", "seq", F.posexplode("_asked").alias("at", "token")).join(fixed, F.col("token") == F.col("t"))
+    own = each.groupBy("doc_id", "page", "src", "image_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "corrected"))), lambda c: c["corrected"]).alias("corrected"))
     keys = ["doc_id", "page", "src", "image_id", "seq"]
     renamed = own.withColumnsRenamed({k: f"_{k}" for k in keys})
     same = F.lit(True)

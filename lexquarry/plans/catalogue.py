@@ -11,16 +11,16 @@ from lexquarry import config
 from lexquarry.functions import json as js
 from lexquarry.functions import numbers as nm
 from lexquarry.functions import text as tx
-from lexquarry.operators import content, context, extract, index, ocr, search, vocabulary
-from lexquarry.sources import sinks
+from lexquarry.operators import content, context, extract, index, ocr, search, store, vocabulary
+from lexquarry.sources import shared, sinks
 from lexquarry.sources import text as source
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str | Callable[[], str]] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
+def query(sql: str | Callable[[], str] | None = None):
+    """Registers a query under its function's name, with its SQL (or what makes it)."""
 
     def put(f):
         Q[f.__name__] = f
@@ -36,15 +36,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: v if isinstance(v, str) else v() for k, v in SQL.items()}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text, over all cores."""
+    return shared.spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.classified(source.lines(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return source.classified(source.lines(_documents(spark, sf_dir)))
 
 
 def _recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +61,9 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.classified(source.turns(_table(spark, sf_dir, "conversations")))
 
 
-def _postings(spark: SparkSession, sf_dir: str, places: bool = True) -> DataFrame:
-    pages = _recognised(spark, sf_dir)
-    return index.postings(source.words(pages) if places else source.bare_words(pages))
+def _index(spark: SparkSession, sf_dir: str) -> store.Stored:
+    """The stored index of the documents; the first query that asks for it builds it."""
+    return store.opened(_table(spark, sf_dir, "documents"), "documents", lambda: index.postings(source.words(_recognised(spark, sf_dir))))
 
 
 def _values(spark: SparkSession, values: str, columns: str) -> DataFrame:
@@ -71,7 +76,7 @@ LINES = rf"""lines AS (SELECT doc_id, CAST(i AS INTEGER) AS page, {STRIP.format(
   SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)))"""
 TURNS = rf"turns AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, {STRIP.format('coalesce(text, ' + chr(39) * 2 + ')')} AS text FROM conversations)"
 WORDS = rf"""{LINES}, pieces AS (SELECT doc_id, page, text, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS nr FROM (SELECT *, regexp_split_to_array(text, '\s') AS l FROM lines WHERE text <> '')),
-words AS (SELECT * FROM (SELECT doc_id, page, text, CASE WHEN length(text) < 30 THEN 'ocr' ELSE 'text' END AS src, word, nr,
+words AS (SELECT * FROM (SELECT doc_id, page, CASE WHEN length(text) < 30 THEN 'ocr' ELSE 'text' END AS src, word, nr,
   CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, page ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS x0 FROM pieces) WHERE word <> '')"""
 FORMS = rf"""{WORDS}, forms AS (SELECT *, regexp_replace(clean, '[.,]', '', 'g') AS number FROM (SELECT *, {EDGES.format('n')} AS clean FROM (SELECT *, lower(strip_accents(word)) AS n FROM words) WHERE length(n) >= 2))"""
 KIND = {
@@ -81,7 +86,7 @@ KIND = {
     "number": r"list_filter([number], lambda t: regexp_full_match(t, '\p{N}{4,}') AND t <> clean)",
     "run": "list_filter(regexp_extract_all(clean, '[0-9]{6,12}'), lambda t: t <> clean AND t <> number)",
 }
-POSTINGS = FORMS + ", posted AS (SELECT doc_id, page, text, src, word, x0, nr * 64 + nth AS seq, term FROM (SELECT *, unnest(ks) AS term, generate_subscripts(ks, 1) - 1 AS nth FROM (SELECT *, " + " || ".join(f"({k})" for k in KIND.values()) + " AS ks FROM forms)))"
+POSTINGS = FORMS + ", posted AS MATERIALIZED (SELECT doc_id, page, src, word, x0, nr * 64 + nth AS seq, term FROM (SELECT *, unnest(ks) AS term, generate_subscripts(ks, 1) - 1 AS nth FROM (SELECT *, " + " || ".join(f"({k})" for k in KIND.values()) + " AS ks FROM forms)))"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +98,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- text and pages
 @query("SELECT doc_id, md5(lower(strip_accents(coalesce(text, '')))) AS digest FROM documents")
 def normalize_text(spark, d):
-    return _table(spark, d, "documents").select("doc_id", F.md5(F.encode(tx.normal(F.col("text")), "UTF-8")).alias("digest"))
+    return _documents(spark, d).select("doc_id", F.md5(F.encode(tx.normal(F.col("text")), "UTF-8")).alias("digest"))
 
 
 @query(rf"SELECT item_id, array_to_string(t, '|') AS tokens, CAST(len(t) AS INTEGER) AS n FROM (SELECT item_id, list_filter(regexp_split_to_array({STRIP.format('text')}, '[\s,\-_:\.;/]+'), lambda x: length(x) >= 2) AS t FROM benchmark)")
@@ -152,7 +157,7 @@ def word_boxes(spark, d):
 SELECT doc_id, page, line FROM kept WHERE NOT (length(regexp_replace(line, '[^\p{{L}}\p{{N}}]', '', 'g')) < 2 AND length(line) > 1)""")
 def clean_lines(spark, d):
     """Noise taken out of lines, and lines of noise dropped."""
-    lines = source.lines(_table(spark, d, "documents").select("doc_id", "text"))
+    lines = source.lines(_documents(spark, d))
     return lines.select("doc_id", F.col("page").cast("int").alias("page"), F.explode(tx.kept_lines(F.col("text"))).alias("line"))
 
 
@@ -169,19 +174,52 @@ for _kind, _name in (("base", "base"), ("clean", "clean"), ("part", "subtokens")
     Q[f"postings_{_name}"], SQL[f"postings_{_name}"] = _by_kind(_kind)
 
 
+@query(f"""WITH {FORMS}, placed AS (SELECT *, CASE WHEN page % 2 = 0 THEN CAST(round_even(CAST(50 AS DOUBLE) + x0 / 1024 * 512, 2) AS DOUBLE) ELSE x0 / CAST(150.0 / 72.0 AS DOUBLE) END AS px FROM forms),
+made AS (SELECT page, px, unnest({' || '.join(f'({k})' for k in KIND.values())}) AS term FROM placed WHERE length(word) >= 2)
+SELECT term, count(*) AS n, count(*) FILTER (page % 2 = 0) AS in_images, min(px) AS first_x FROM made GROUP BY term""")
+def postings_boxes(spark, d):
+    """Keys of recognised boxes: every second page as an image placed on it, the others as rendered pages."""
+    words = source.words(_recognised(spark, d)).filter(F.length("word") >= 2)
+    whole = lambda c: F.col(c).cast("int").alias(c)
+    box = F.struct(F.col("word").alias("text"), F.lit(90.0).alias("conf"), *map(whole, ("x0", "y0", "x1", "y1")))
+    image = F.col("page") % 2 == 0
+    name = F.concat(F.lit("p"), F.col("page"), F.when(image, "_img1").otherwise("_full_scan"))
+    found = words.withColumn("item_id", name).groupBy("doc_id", "page", "item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", box.alias("b")))), lambda x: x["b"]).alias("boxes"))
+    results = found.select("doc_id", "item_id", F.lit("text").alias("text"), "boxes")
+    items = found.select("doc_id", "page", "item_id", F.when(image, "image").otherwise("scan").alias("kind"), F.array(*map(F.lit, (50.0, 100.0, 562.0, 400.0))).alias("rect"), F.lit(1024).alias("width"), F.lit(800).alias("height"))
+    rows = index.postings(ocr.box_words(results, items))
+    return rows.groupBy("term").agg(F.count("*").alias("n"), F.count_if(F.col("src") == "image_ocr").alias("in_images"), F.min("x0").alias("first_x"))
+
+
+@query(lambda: f"""WITH {FORMS}, parts AS (SELECT *, row_number() OVER () AS word_nr FROM forms WHERE src = 'ocr'),
+asked AS (SELECT unnest([clean] || list_filter(regexp_split_to_array(clean, '[-/_.:]+'), lambda t: t <> clean AND length(t) >= 2)) AS token FROM parts),
+fixed AS (SELECT token, lower(strip_accents(corrected)) AS term FROM ({_correct_sql('SELECT DISTINCT token FROM asked')}) WHERE step > 0)
+SELECT term, count(*) AS n FROM asked JOIN fixed USING (token) WHERE term <> token AND length(term) >= 2 GROUP BY term""")
+def postings_corrected(spark, d):
+    """Keys that corrections of recognised words add."""
+    words = vocabulary.corrected_words(source.bare_words(_recognised(spark, d)))
+    return index.postings(words, ("corrected",)).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FORMS} " + " UNION ALL ".join(f"SELECT '{kind}' AS kind, CAST(sum(len({terms})) AS BIGINT) AS n FROM forms" for kind, terms in KIND.items()))
+def index_build(spark, d):
+    """Postings of the stored index by the rule that made them; builds it where it isn't there yet."""
+    return _index(spark, d).postings.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {POSTINGS} SELECT count(DISTINCT term) AS terms, count(*) AS postings FROM posted")
 def index_stats(spark, d):
-    return index.stats(_postings(spark, d, places=False))
+    return _index(spark, d).vocabulary.agg(F.count("*").alias("terms"), F.sum("postings").alias("postings"))
 
 
 @query(f"WITH {POSTINGS} SELECT substr(term, 1, 1) AS first, count(DISTINCT term) AS terms FROM posted GROUP BY 1")
 def vocab_by_first(spark, d):
-    return index.by_first(_postings(spark, d, places=False))
+    return index.by_first(_index(spark, d).vocabulary.select(F.col("key").alias("term")))
 
 
 @query(f"WITH {POSTINGS} SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS postings FROM posted GROUP BY term")
 def vocabulary_terms(spark, d):
-    return index.vocabulary(_postings(spark, d, places=False))
+    return _index(spark, d).vocabulary.select(F.col("key").alias("term"), "documents", "postings")
 
 
 @query(f"WITH {LINES} SELECT term, count(*) AS n FROM (SELECT lower(strip_accents(unnest(regexp_extract_all(text, '[A-Za-zÁ-ÿ0-9-]{{2,}}')))) AS term FROM lines) WHERE length(term) >= 2 GROUP BY term")
@@ -191,7 +229,7 @@ def postings_fallback(spark, d):
 
 @query(f"WITH {POSTINGS} SELECT doc_id, term, CAST(count(*) AS INTEGER) AS n, min(page) AS first_page FROM posted GROUP BY doc_id, term")
 def postings_export(spark, d):
-    return index.exported(_postings(spark, d, places=False)).select("doc_id", "term", F.size("places").alias("n"), F.element_at("places", 1)["page"].alias("first_page"))
+    return index.exported(_index(spark, d).postings).select("doc_id", "term", F.size("places").alias("n"), F.element_at("places", 1)["page"].alias("first_page"))
 
 
 # ---------------------------------------------------------------- search
@@ -199,7 +237,7 @@ ASKED = "(1, 'heit'), (2, 'ment'), (3, 'Keit, tzge'), (4, 'elle-oi'), (5, '   ')
 SNIP = r"""CASE WHEN lo > 0 THEN '...' ELSE '' END || regexp_replace(regexp_replace(substr(text, lo + 1, hi - lo), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') || CASE WHEN hi < length(text) THEN '...' ELSE '' END"""
 TERMS = rf"""asked AS (SELECT query_id, raw, unnest(ts) AS term, generate_subscripts(ts, 1) - 1 AS nr, ts FROM (SELECT query_id, {STRIP.format('query')} AS raw,
   list_transform(list_filter(regexp_split_to_array({STRIP.format('query')}, '[\s,\-_:\.;/]+'), lambda x: length(x) >= 2), lambda x: lower(strip_accents(x))) AS ts FROM (VALUES {{asked}}) AS q(query_id, query)))"""
-VOCAB = f"vocab AS (SELECT DISTINCT term AS key, {EDGES.format('term')} AS bare FROM posted)"
+VOCAB = f"vocab AS MATERIALIZED (SELECT DISTINCT term AS key, {EDGES.format('term')} AS bare FROM posted)"
 MATCH = {
     "exact": "SELECT a.*, key, 0 AS stage FROM asked a JOIN vocab ON a.term = key",
     "prefix": "SELECT a.*, key, 1 AS stage FROM asked a JOIN vocab ON bare <> a.term AND starts_with(bare, a.term)",
@@ -210,7 +248,8 @@ MATCH = {
 def _hits_sql(asked: str, stages: tuple[str, ...]) -> str:
     matched = " UNION ALL ".join(MATCH[s] for s in stages)
     return rf"""WITH {POSTINGS}, {TERMS.format(asked=asked)}, {VOCAB}, matched AS ({matched}),
-    found AS (SELECT m.query_id, m.raw, m.nr, m.stage, m.key, p.*, strpos(lower(p.text), lower(p.word)) - 1 AS pos FROM matched m JOIN posted p ON p.term = m.key),
+    met AS MATERIALIZED (SELECT m.query_id, m.raw, m.nr, m.stage, m.key, p.* FROM matched m JOIN posted p ON p.term = m.key),
+    found AS (SELECT met.*, l.text, strpos(lower(l.text), lower(met.word)) - 1 AS pos FROM met JOIN lines l ON l.doc_id = met.doc_id AND l.page = met.page),
     cut AS (SELECT *, greatest(pos - 70, 0) AS lo, least(pos + length(word) + 70, length(text)) AS hi FROM found),
     hits AS (SELECT query_id, doc_id, page, src AS source, word AS token_searched, CASE stage WHEN 0 THEN 'exacto' WHEN 1 THEN 'prefijo' ELSE 'subcadena' END AS match_type, {SNIP} AS snippet,
       substr(text, pos + 1, length(word)) AS matched_term, x0, CAST(page AS DOUBLE) AS y0, x0 + length(word) AS x1, stage, nr, key, seq FROM cut)"""
@@ -220,9 +259,9 @@ SHOWN = ["query_id", "doc_id", "page", "source", "token_searched", "match_type",
 
 
 def _stage(spark: SparkSession, d: str, asked: str, stage: Callable) -> DataFrame:
-    pages, postings = _recognised(spark, d), _postings(spark, d)
+    pages, own = _recognised(spark, d), _index(spark, d)
     terms = search.terms(_values(spark, asked, "query_id, query"))
-    return search.hits_of(stage(terms, search._vocabulary(postings)), postings, source.sources(pages))
+    return search.hits_of(stage(terms, own.vocabulary), own.postings, source.sources(pages))
 
 
 def _exact(spark: SparkSession, d: str, asked: str) -> DataFrame:
@@ -267,8 +306,8 @@ placed_hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id, doc_id
 
 
 def _all_hits(spark: SparkSession, d: str, asked: str = MIXED, with_fuzzy: bool = False) -> DataFrame:
-    # the index is made once and asked several times; a stored one would be read here
-    return search.search(_recognised(spark, d), _postings(spark, d).persist(), _values(spark, asked, "query_id, query"), with_fuzzy)
+    own = _index(spark, d)
+    return search.search(_recognised(spark, d), own.postings, _values(spark, asked, "query_id, query"), with_fuzzy, own.vocabulary)
 
 
 @query(ALL_SQL + " SELECT query_id, doc_id, page, source, token_searched, match_type, snippet, matched_term, x0, y0, position FROM placed_hits")
@@ -284,6 +323,12 @@ def search_summary(spark, d):
     return rows.withColumn("tokens", F.array_join("tokens", "|"))
 
 
+@query(ALL_SQL + " SELECT query_id, doc_id, page, match_type, position FROM placed_hits WHERE position <= 2")
+def preview_hits(spark, d):
+    """The first two hits of each query in each document."""
+    return _all_hits(spark, d).filter(F.col("position") <= 2).select("query_id", "doc_id", "page", "match_type", "position")
+
+
 @query(ALL_SQL + " SELECT query_id, doc_id, array_to_string(list_sort(list(DISTINCT page)), ',') AS pages, count(*) AS total_matches FROM placed_hits GROUP BY query_id, doc_id")
 def matched_pages(spark, d):
     return search.matched_pages(_all_hits(spark, d)).withColumn("pages", F.array_join("pages", ","))
@@ -308,7 +353,7 @@ SELECT DISTINCT a.term, key, CAST(levenshtein(a.term, key) AS INTEGER) AS edits
 WHERE length(a.term) >= 4 AND 2 * least(length(a.term), length(key)) >= 0.82 * (length(a.term) + length(key)) AND levenshtein(a.term, key) <= floor(0.18 * (length(a.term) + length(key)) + 1e-9)""")
 def fuzzy_candidates(spark, d):
     """What the native bounds leave for the similarity itself."""
-    words = _postings(spark, d, places=False).select(F.col("term").alias("key")).distinct().filter(F.col("key").rlike("^[ -~]+$"))
+    words = _index(spark, d).vocabulary.select("key").filter(F.col("key").rlike("^[ -~]+$"))
     asked = search.terms(_values(spark, NEAR, "query_id, query")).filter(F.length("term") >= config.FUZZY_LENGTH).select("term").distinct()
     met = asked.join(words, (F.substring("term", 1, 1) == F.substring("key", 1, 1)) & (F.col("term") != F.col("key")) & tx.may_be_similar(F.col("term"), F.col("key")))
     return met.select("term", "key", F.levenshtein("term", "key").alias("edits"))
@@ -387,7 +432,7 @@ def ask_questions(spark, d):
 # ---------------------------------------------------------------- vocabulary
 def _known_sql() -> str:
     words = ", ".join(f"('{w}', {i}, '{vocabulary.form_of(w)}', {str(w in vocabulary._forms()).lower()})" for i, w in enumerate(vocabulary.WORDS))
-    wrong = ", ".join(f"('{b}', '{vocabulary.form_of(g)}')" for g, several in vocabulary.CONFUSIONS.items() for b in several.split())
+    wrong = ", ".join(f"('{b}', '{vocabulary.form_of(g)}')" for b, g in map(str.split, vocabulary.CONFUSIONS))
     return f"k AS (SELECT * FROM (VALUES {words}) AS t(word, ord, form, has_form)), wrong AS (SELECT * FROM (VALUES {wrong}) AS t(bad, form))"
 
 
@@ -415,14 +460,14 @@ def vocab_samples(spark, d):
 @query(_correct_sql(rf"SELECT DISTINCT word AS token FROM (SELECT unnest(regexp_extract_all(text, '\p{{L}}+')) AS word FROM documents) WHERE regexp_full_match(word, '[A-Za-z]{{4,9}}')"))
 def vocab_corrections(spark, d):
     """Corrections of the documents' words of four to nine letters A to Z: those that its SQL takes. All are in vocab_corrections_all."""
-    words = _table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("token"))
+    words = _documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("token"))
     return vocabulary.corrections(words.filter(F.col("token").rlike("^[A-Za-z]{4,9}$")))
 
 
 @query()
 def vocab_corrections_all(spark, d):
     """Corrections of every word of the documents, long ones and such with accents too."""
-    return vocabulary.corrections(_table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("token")))
+    return vocabulary.corrections(_documents(spark, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("token")))
 
 
 @query()
@@ -472,10 +517,16 @@ def csv_export(spark, d):
     return sinks.csv_lines(maps)
 
 
-@query("SELECT unnest(['Fecha', 'Total', 'IVA']) AS field")
+WORDS_OF = r"(SELECT i, w AS field FROM (SELECT unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT regexp_split_to_array(text, '\s+') AS l FROM benchmark WHERE item_id = (SELECT {of}(item_id) FROM benchmark))))"
+
+
+@query(f"WITH f AS {WORDS_OF.format(of='min')}, a AS {WORDS_OF.format(of='max')}, b AS (SELECT 0 AS part, i, field FROM f UNION ALL SELECT 1, i, field FROM a), one AS (SELECT field, min(part * 1000000 + i) AS place FROM b GROUP BY field) SELECT field, CAST(row_number() OVER (ORDER BY place) AS INTEGER) AS nr FROM one WHERE length(field) <> 3")
 def fields_edit(spark, d):
-    one = lambda *x: spark.createDataFrame([(v,) for v in x], "field string")
-    return sinks.edited_fields(one("NIT", "Fecha", "Total"), one("Total", "IVA"), one("NIT"))
+    """A list of the words of one item, with those of another added, without words of three letters."""
+    items = _table(spark, d, "benchmark")
+    words = lambda of: items.join(F.broadcast(items.agg(of("item_id").alias("item_id"))), "item_id").select(F.posexplode(F.split("text", r"\s+")).alias("at", "field"))
+    fields, added = words(F.min), words(F.max)
+    return sinks.edited_fields(fields, added, fields.unionByName(added).filter(F.length("field") == 3)).withColumnRenamed("at", "nr")
 
 
 # ---------------------------------------------------------------- geometry and recognition
@@ -517,6 +568,23 @@ def ocr_lines(spark, d):
     return ocr.lines(words).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
+@query("""WITH r AS (SELECT CAST(item_id % 12 + 1 AS INTEGER) AS workers, CAST(100 + 50 * (item_id % 4) AS INTEGER) AS dpi, length(text) / CAST(10 AS DOUBLE) AS seconds, CAST(item_id % 7 AS BIGINT) AS items FROM benchmark)
+SELECT workers, dpi, seconds, (SELECT count(*) FROM r) AS runs, (SELECT avg(seconds) FROM r) AS mean_seconds, (SELECT CAST(sum(items) AS BIGINT) FROM r) AS items FROM r ORDER BY seconds, workers, dpi LIMIT 1""")
+def tuning_best(spark, d):
+    """The fastest of some runs (made of the benchmark's items), their number, mean time and recognised items."""
+    item = F.col("item_id")
+    runs = _table(spark, d, "benchmark").select((item % 12 + 1).cast("int").alias("workers"), (100 + 50 * (item % 4)).cast("int").alias("dpi"), (F.length("text") / F.lit(10.0)).alias("seconds"), (item % 7).cast("long").alias("items"))
+    return ocr.tuning(runs)
+
+
+@query("""WITH n AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'Qwen' ELSE 'other' END || item_id AS name FROM benchmark)
+SELECT CAST(row_number() OVER (ORDER BY item_id) - 1 AS INTEGER) AS nr, name FROM n WHERE contains(lower(name), 'qwen')""")
+def model_list(spark, d):
+    """Models of the family among names made of the benchmark's items."""
+    names = _table(spark, d, "benchmark").select(F.col("item_id").alias("at"), F.concat(F.when(F.col("item_id") % 5 == 0, "Qwen").otherwise("other"), F.col("item_id")).alias("name"))
+    return extract.chosen_models(names).withColumnRenamed("at", "nr")
+
+
 PLACED = "(1, 1, true, 'p1_img1', 0.3), (1, 1, true, 'p1_img2', 0.8), (1, 2, true, 'p2_img1', 0.2), (1, 3, false, 'p3_img1', 0.9), (1, 3, false, 'p3_img2', 0.1), (2, 1, true, 'p1_img1', 0.5), (2, 1, true, 'p1_img2', 0.5), (2, 2, true, NULL, NULL)"
 
 
@@ -564,13 +632,9 @@ def file_names(spark, d):
 @query()
 def stream_index(spark, d):
     """An index built by a stream over a folder, as terms and postings."""
-    import tempfile
-    import uuid
-
     from lexquarry.streaming import incremental
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lexquarry-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    _table(spark, d, "documents").select("doc_id", "text").write.parquet(f"{folder}/in")
+    folder = shared.scratch(spark, "stream")
+    _documents(spark, d).write.parquet(f"{folder}/in")
     incremental.watch(spark, f"{folder}/in", f"{folder}/index", f"{folder}/checkpoint").awaitTermination()
     return index.stats(spark.read.parquet(f"{folder}/index/postings"))

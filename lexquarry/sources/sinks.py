@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexquarry.functions import json as js
@@ -56,5 +56,7 @@ def filtered_pages(pages: DataFrame, mode: str, hits: DataFrame | None = None) -
 
 
 def edited_fields(fields: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-    """A list of fields with some added where absent, then some removed."""
-    return fields.select("field").union(added.select("field")).distinct().subtract(removed.select("field"))
+    """A list of fields (at, field) with some added at its end where absent, then some removed; at tells the order."""
+    both = fields.select(F.lit(0).alias("part"), "at", "field").unionByName(added.select(F.lit(1).alias("part"), "at", "field"))
+    first = both.groupBy("field").agg(F.min(F.struct("part", "at")).alias("place")).join(removed.select("field"), "field", "left_anti")
+    return first.select("field", F.row_number().over(Window.orderBy("place")).alias("at"))  # a list of a form's fields

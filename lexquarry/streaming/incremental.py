@@ -29,7 +29,7 @@ def watch(spark: SparkSession, folder: str, index_path: str, checkpoint: str, sc
         if seen.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).exists(seen):
             before = session.read.parquet(f"{index_path}/seen").filter(F.col("batch") < number)
             rows = rows.join(before.select("content_sha256").distinct(), "content_sha256", "left_anti")
-        rows = rows.persist()
+        rows = rows.persist()  # until the batch is written
         pages = source.as_recognised(source.classified(source.lines(rows)))
         index.postings(source.bare_words(pages)).write.mode("overwrite").parquet(f"{index_path}/postings/batch={number}")
         rows.select("content_sha256", "doc_id").write.mode("overwrite").parquet(f"{index_path}/seen/batch={number}")
