@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from lexquarry.sources.shared import scratch, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where none is set (tests)."""
-    sc = spark.sparkContext
-    set_ = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not set_:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexquarry-"))
-        set_ = sc.getCheckpointDir()
-    return set_.rstrip("/")
-
-
 ROWS = 1024
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -34,10 +23,6 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame, name: str, rows: int | None = None, few: str = "") -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it again with the same schema.
 

@@ -1,20 +1,19 @@
 """Bulk-synchronous best-fit packing of tokenised documents into sequences of bounded length.
 
-Documents are range-sorted by (length, rank); ranks within a length are found without gathering a
-length in one task: a window over (length, salt) and the salts' running counts. Gaps are sorted
-as well, and kept as runs: neighbouring sequences that were filled alike, and so have the same
-gap. One superstep per length, longest first: a successor sweep finds the smallest gaps that
-hold the length; documents that want the same gap are put in order by rank, the k-th of them
-taking the run's k-th sequence; the gaps shrink; what is left over goes to the next gaps and at
-last to new sequences. There are at most ``size`` lengths, so the sweep works on a table whose size
-doesn't depend on the corpus, and its moves are applied to all documents in parallel.
+Pieces over half a sequence open one each. The others go in bands of similar lengths, longest first,
+one superstep a band: its pieces and the gaps of all open sequences are put in order of size, and a
+successor sweep gives each piece the smallest gap that holds it and that no longer piece took. The sweep is
+distributed: with gaps put on a stack and pieces taking from it, a piece takes the gap last put on the level it
+takes from, and levels are running sums. Those are summed up over cells (size, kind, salt), whose number doesn't grow
+with the corpus; within a cell the rank decides who takes which, so pieces that want the same gaps don't conflict.
+Rows then meet by level, of which each holds two rows of a size at most. A gap that holds several pieces of
+the band offers a place for each. Pieces for which nothing is left open new sequences by their rank, those
+of one length together; gaps are updated, and the next band follows.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
-from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +24,8 @@ from pyspark.sql import functions as F
 from lexquarry.llm.common import bounded, saved
 
 SIZE = 1024
+NARROW, WIDE = 1.25, 1.5  # the lengths of a band: of those over an eighth of a sequence, of others
+CELL, SALTS = 50_000, 1000  # rows of a size that are ranked in one task; parts of a size at most
 
 
 class Ids(dict):
@@ -113,68 +114,80 @@ def pieces(docs: DataFrame, path: str, pattern: str, end: int, size: int) -> Dat
     return docs.mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
-    """Moves (length, first rank, first sequence, documents a sequence, offset) of best-fit decreasing."""
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> runs of sequences: first, how many
-    sizes: list[int] = []  # gaps that have runs, sorted
-    moves, opened = [], 0
-
-    def put(gap: int, first: int, many: int) -> None:
-        if gap and many:
-            if not gaps[gap]:
-                bisect.insort(sizes, gap)
-            gaps[gap].append((first, many))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at < len(sizes):
-                gap = sizes[at]
-                first, many = gaps[gap].pop()
-                took = min(many, left)
-                moves.append((length, rank, first, 1, size - gap))
-                if took < many:
-                    gaps[gap].append((first + took, many - took))
-                if not gaps[gap]:
-                    sizes.pop(at)
-                put(gap - length, first, took)
-                rank, left = rank + took, left - took
-            else:
-                each = size // length
-                full, rest = divmod(left, each)
-                moves.append((length, rank, opened, each, 0))
-                put(size - each * length, opened, full)
-                put(size - rest * length, opened + full, 1 if rest else 0)
-                opened, left = opened + full + bool(rest), 0
-    return moves
+def bands(size: int) -> list[tuple[int, int]]:
+    """Lengths over low, up to high, of each superstep."""
+    edges = [size // 2]
+    while edges[-1] > 0:
+        edges.append(int(edges[-1] / (NARROW if edges[-1] * 8 > size else WIDE)))
+    return list(zip(edges, edges[1:]))
+
+
+def swept(rows: DataFrame, gaps: DataFrame, top: int, least: int, many: int, size: int, salts: int, first: int) -> DataFrame:
+    """rows (many pieces of a band, of lengths least to top) with their sequence_id: of gaps (seq, gap), or new ones from ``first`` down."""
+    places = F.greatest(F.lit(1), F.floor(F.col("gap") / top)).cast("int")
+    wide = gaps.filter(F.col("gap") >= least)
+    # more places than pieces aren't needed, the smallest gaps that hold any of them come first
+    offered = wide.groupBy("gap").agg(F.sum(places).alias("n"))
+    before = F.sum(F.when(F.col("gap") >= top, F.col("n")).otherwise(0)).over(Window.orderBy("gap").rowsBetween(Window.unboundedPreceding, -1))
+    enough = offered.withColumn("before", before).filter((F.col("gap") < top) | (F.coalesce("before", F.lit(0)) < many)).select(F.col("gap").alias("g"))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int").alias("salt")
+    row = F.struct(*rows.columns)
+    slots = wide.join(F.broadcast(enough), F.col("gap") == F.col("g")).select(F.col("gap").alias("key"), F.lit(0).alias("kind"), salt("seq"), F.col("seq").alias("of"), F.explode(F.sequence(F.lit(1), places)).alias("nth"))
+    slots = slots.drop("nth").withColumn("row", F.lit(None).cast(rows.select(row.alias("r")).schema["r"].dataType))
+    events = slots.unionByName(rows.select(F.col("length").cast("int").alias("key"), F.lit(1).alias("kind"), salt("id"), F.col("id").alias("of"), row.alias("row")))
+    line = Window.orderBy(F.desc("key"), "kind", "salt")
+    so_far = line.rowsBetween(Window.unboundedPreceding, 0)
+    cells = events.groupBy("key", "kind", "salt").agg(F.count("*").alias("n"))
+    cells = cells.withColumn("sum", F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))).over(so_far))
+    cells = cells.withColumn("after", F.col("sum") - F.least(F.lit(0), F.min("sum").over(so_far))).withColumn("depth", F.lag("after", 1, 0).over(line))
+    # those for which nothing is left: full sequences of one length, then what remains of all lengths by rank
+    of_key = Window.partitionBy("key", "kind")
+    each = F.floor(F.lit(size) / F.col("key"))
+    cells = cells.withColumn("left", F.when(F.col("kind") == 1, F.greatest(F.lit(0), F.col("n") - F.col("depth"))).otherwise(0)).withColumn("lefts", F.sum("left").over(of_key))
+    cells = cells.withColumn("over", F.sum("left").over(of_key.orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("left")).withColumn("rest", F.col("lefts") % each)
+    once = F.when(F.row_number().over(of_key.orderBy("salt")) == 1, F.col("rest")).otherwise(0)
+    cells = cells.withColumn("once", once).withColumn("rests", F.sum("once").over(so_far) - F.col("rest"))
+    cells = cells.select(F.col("key").alias("k"), F.col("kind").alias("j"), F.col("salt").alias("s"), "depth", "over", (F.col("lefts") - F.col("rest")).alias("full"), "rests")
+    rank = F.row_number().over(Window.partitionBy("key", "kind", "salt").orderBy("of"))
+    placed = events.withColumn("rank", rank).join(cells, (F.col("key") == F.col("k")) & (F.col("kind") == F.col("j")) & (F.col("salt") == F.col("s")))
+    level = F.when(F.col("kind") == 0, F.col("depth") + F.col("rank")).when(F.col("rank") <= F.col("depth"), F.col("depth") - F.col("rank") + 1).otherwise(-1 - F.col("of"))
+    taken = F.lag("of").over(Window.partitionBy("level").orderBy(F.desc("key"), "kind"))
+    nth = F.col("over") + F.col("rank") - F.col("depth") - 1
+    alike = F.lit(1 << 47) + F.shiftleft(F.col("key").cast("long"), 36) + F.floor(nth / each)
+    new = F.lit(first) - F.when(nth < F.col("full"), alike).otherwise(F.floor((F.col("rests") + nth - F.col("full")) / (size // top)))
+    met = placed.withColumn("level", level).withColumn("taken", taken).filter("kind = 1")
+    return met.select("row.*", F.when(F.col("level") > 0, F.col("taken")).otherwise(new).cast("long").alias("sequence_id"))
+
+
+def arranged(cut: DataFrame, size: int = SIZE) -> DataFrame:
+    """cut (pieces with their length, up to size, and an id that tells them apart) with sequence_id and offset."""
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
+    alone = cut.filter(F.col("length") > size // 2).withColumn("sequence_id", F.col("id"))
+    done, gaps = [alone], alone.select(F.col("sequence_id").alias("seq"), (size - F.col("length")).cast("int").alias("gap"))
+    for nr, (high, low) in enumerate(bands(size)):
+        some = [x for x in counts if low < x <= high]
+        if not some:
+            continue
+        salts = min(SALTS, 1 + max(counts[x] for x in some) // CELL)
+        rows = cut.filter((F.col("length") > low) & (F.col("length") <= high))
+        done.append(saved(swept(rows, gaps, max(some), min(some), sum(counts[x] for x in some), size, salts, -1 - (nr << 48)), "placed", few="coalesce"))
+        if left := [x for x in counts if x <= low]:
+            used = gaps.select("seq", (size - F.col("gap")).cast("long").alias("used")).unionByName(done[-1].select(F.col("sequence_id").alias("seq"), F.col("length").alias("used")))
+            gaps = used.groupBy("seq").agg((size - F.sum("used")).cast("int").alias("gap")).filter(F.col("gap") >= min(left))
+            gaps = saved(gaps, "gaps", few="coalesce")
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy(F.desc("length"), "id").rowsBetween(Window.unboundedPreceding, -1))
+    return every.withColumn("offset", F.coalesce(before, F.lit(0).cast("long")))
 
 
 def pack(docs: DataFrame, path: str, pattern: str, end: int = 2, size: int = SIZE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     A null or empty text is the end id alone. Rows that repeat, and rows with a null doc_id, are
-    packed like any other; other columns are left out. An empty table gives no rows. The first
-    piece of a long document is the shorter one.
+    packed like any other, pieces of one length in any order; other columns are left out, whatever their
+    names. An empty table gives no rows. The first piece of a document of over ``size`` ids is the shorter one.
     """
-    spark = docs.sparkSession
-    cut = saved(pieces(docs, path, pattern, end, size), "pieces", few="repartition")
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``size`` rows
-    moves = np.array(plan(histogram, size), "int64").reshape(-1, 5)
-    moves = moves[np.lexsort((moves[:, 1], moves[:, 0]))]
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).select(*cut.columns, "rank")
-    keys = moves[:, 0] * (1 << 44) + moves[:, 1]
-
-    def place(batches):
-        for b in batches:
-            length, rank = b["length"].to_numpy(), b["rank"].to_numpy()
-            m = moves[np.searchsorted(keys, length * (1 << 44) + rank, "right") - 1]
-            past = rank - m[:, 1]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(m[:, 2] + past // m[:, 3]), pa.array(m[:, 4] + past % m[:, 3] * length)], names=[*b.schema.names[:-1], "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, f"doc_id {cut.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    cut = saved(pieces(docs, path, pattern, end, size).withColumn("id", F.monotonically_increasing_id()), "pieces", few="repartition")
+    return arranged(cut, size).drop("id")
