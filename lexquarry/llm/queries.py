@@ -24,7 +24,7 @@ def op3_repeats(spark, sf_dir):
 
 
 def op4_surrogates(spark, sf_dir):
-    return surrogates.report(table(spark, sf_dir, "documents"))
+    return surrogates.report(table(spark, sf_dir, "documents"), surrogates.session_key(spark))
 
 
 def op5_hnsw(spark, sf_dir):

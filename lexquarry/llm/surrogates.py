@@ -9,7 +9,9 @@ different entities stay different, and an entity looks the same wherever it turn
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexquarry.llm.common import dropped, saved
@@ -26,9 +28,22 @@ SURNAMES = {
     "latin": ["Smith", "Johnson", "Williams", "Brown", "Miller", "Davis", "Wilson", "Anderson", "Taylor", "Moore", "Müller", "Schmidt", "Schneider", "Fischer", "Weber", "Dubois", "Moreau", "Lefebvre", "García", "Martínez", "Rodríguez", "López", "Fernández", "Romero"],
     "cyrillic": ["Иваненко", "Петренко", "Сидоренко", "Кравченко", "Шевченко", "Бондаренко", "Ткаченко", "Савченко"],
 }
-SYLLABLES = {"latin": ["ba", "del", "fer", "gan", "hol", "kem", "lor", "mar", "nel", "por", "ros", "sten", "tor", "vel", "wen", "zim"], "cyrillic": ["ба", "дел", "фер", "ган", "хол", "кем", "лор", "мар", "нел", "пор", "рос", "стен", "тор", "вел", "вен", "зим"]}
+# By script its block's name, sixteen syllables, and the endings of male, female and other given names.
+SCRIPTS = {
+    "latin": ("Latin", "ba del fer gan hol kem lor mar nel por ros sten tor vel wen zim", "o a e"),
+    "cyrillic": ("Cyrillic", "ба дел фер ган хол кем лор мар нел пор рос стен тор вел вен зим", "ий а о"),
+    "greek": ("Greek", "βα δελ φερ γαν χολ κεμ λορ μαρ νελ πορ ροσ στεν τορ βελ βεν ζιμ", "ος α ι"),
+    "armenian": ("Armenian", "բա դել ֆեր գան հոլ կեմ լոր մար նել պոր րոս ստեն տոր վել վեն զիմ", "ո ա ե"),
+    "hebrew": ("Hebrew", "בא דל פר גן הל קם לר מר נל פו רס סט טר ול ון זם", "ון ה י"),
+    "arabic": ("Arabic", "با دل فر غن حل كم لر مر نل بر رس ست تر ول ون زم", "ن ة ي"),
+    "devanagari": ("Devanagari", "बा दे फे गा हो के लो मा ने पो रो से तो वे वी जी", "न ी े"),
+    "kana": ("Katakana", "バ デ フ ガ ホ ケ ロ マ ネ ポ ラ セ ト ベ ウ ジ", "オ ア エ"),
+    "hiragana": ("Hiragana", "ば で ふ が ほ け ろ ま ね ぽ ら せ と べ う じ", "お あ え"),
+    "hangul": ("Hangul", "바 델 페 간 홀 켐 로 마 넬 포 라 세 토 벨 원 짐", "호 희 영"),
+    "han": ("Han", "文 德 方 高 海 金 林 明 宁 平 荣 世 天 伟 云 泽", "强 丽 安"),
+}
+KEY = "spark.lexquarry.surrogates.key"
 MOST = 15  # syllables of a name after many attempts
-ENDINGS = {"m": {"latin": "o", "cyrillic": "ий"}, "f": {"latin": "a", "cyrillic": "а"}, "n": {"latin": "e", "cyrillic": "о"}}
 
 
 def _any(words: list[str]) -> str:
@@ -47,7 +62,9 @@ LABEL = r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_
 SECRET = rf"""{LABEL}(?:"[^"\s]{{6,}}+"|'[^'\s]{{6,}}+'|(?=[^\s"',;]*[0-9])[^\s"',;]{{6,}}+)"""
 TITLE = rf"(?:{_any([t for x in TITLES.values() for t in x])})(?:\. ?| )"
 WORD = r"\p{Lu}\p{Ll}+"
-NAME = rf"(?<![\p{{L}}])(?:{TITLE}{WORD}(?:[ -]{WORD}){{0,2}}|(?:{_any([g for x in GIVEN.values() for g in x])})(?: {WORD}){{1,2}})(?!\p{{L}})"
+LABELLED = r"(?:Full name|Name|Patient|Attn|Signed|Signed by|Nombre|Nom|Vorname|Nachname)[:.] ?|My name is "
+# after a title in any script, after a label, or with a common given name
+NAME = rf"(?<![\p{{L}}])(?:{TITLE}(?:{WORD}(?:[ -]{WORD}){{0,2}}|\p{{Lo}}[\p{{Lo}}\p{{M}}]+(?:[ -]\p{{Lo}}[\p{{Lo}}\p{{M}}]+){{0,2}})|(?:{LABELLED}){WORD}(?:[ -]{WORD}){{1,2}}|(?:{_any([g for x in GIVEN.values() for g in x])})(?: {WORD}){{1,2}})(?![\p{{L}}\p{{M}}])"
 # what a match can begin with comes first, so that most places of a text fail at once
 ENTITY = rf"(?:(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9._%+-])(?:{EMAIL})|(?=[0-9+(])(?:{PHONE}|{SSN}|{IP}|{CARD})|(?<![A-Za-z])(?=[A-Zgs])(?:{IBAN}|{KEY})|(?=[ApstPSTaA])(?:{SECRET})|(?<!\p{{L}})(?=\p{{Lu}})(?:{NAME}))"
 KINDS = {"email": EMAIL, "secret": SECRET, "key": KEY, "ip": IP, "phone": PHONE, "ssn": SSN, "card": CARD, "iban": IBAN}
@@ -59,7 +76,10 @@ def _lits(words: list[str]) -> Column:
 
 
 def _script(word: Column) -> Column:
-    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    out = F.lit("latin")
+    for name, (block, _, _) in reversed(SCRIPTS.items()):
+        out = F.when(word.rlike(rf"\p{{Is{block}}}"), name).otherwise(out)
+    return out
 
 
 def _gender(title: Column, given: Column) -> Column:
@@ -81,7 +101,7 @@ def _parts(e: Column) -> Column:
     canon = {"key": e, "ip": e, "phone": F.right(digits, F.lit(10)), "ssn": digits, "card": digits, "iban": F.replace(e, F.lit(" "), F.lit(""))}
     for kind, form in canon.items():
         single = single.when(e.rlike(f"^(?:{KINDS[kind]})$"), F.array(part(F.lit(""), e, F.lit(kind), form)))
-    title = F.regexp_extract(e, f"^{TITLE}", 0)
+    title = F.regexp_extract(e, f"^(?:{TITLE}|{LABELLED})", 0)
     words = F.split(F.substring(e, F.length(title) + 1, F.length(e)), "(?<=[ -])")
     last = F.size(words) - 1
     gender = _gender(title, F.regexp_replace(words[0], "[ -]$", ""))
@@ -89,7 +109,7 @@ def _parts(e: Column) -> Column:
     def word(w: Column, i: Column) -> Column:
         bare = F.regexp_replace(w, "[ -]$", "")
         before = F.when(i == 0, title).otherwise(F.right(F.get(words, i - 1), F.lit(1)))
-        return part(before, bare, F.when((i < last) & (i == 0), F.concat(F.lit("given:"), gender)).when(i < last, F.concat(F.lit("middle:"), gender)).otherwise("surname"), F.lower(bare))
+        return part(before, bare, F.when(i < last, F.concat(F.lit("given:"), gender)).otherwise("surname"), F.lower(bare))
 
     return single.otherwise(F.transform(words, word))
 
@@ -103,10 +123,19 @@ def _at(s: Column, i: Column) -> Column:
     return F.substring(s, F.pmod(i - 1, F.lit(128)) + 1, F.lit(1))
 
 
+def _foreign(letter: Column, hexa: Column) -> Column:
+    """Another letter of the same script; one of a script without a list becomes Latin."""
+    out = F.lit(None).cast("string")
+    for name, (block, syllables, _) in SCRIPTS.items():
+        out = F.when(letter.rlike(rf"\p{{Is{block}}}"), F.translate(hexa, "0123456789abcdef", "".join(x[0] for x in syllables.split()))).otherwise(out)
+    out = F.coalesce(out, F.translate(hexa, "0123456789abcdef", "ghijklmnopqrstuv"))
+    return F.when(letter.rlike(r"\p{Lu}"), F.upper(out)).otherwise(out)
+
+
 def _shaped(x: Column, hexes: Column) -> Column:
-    """x with each digit and letter replaced by another of its class; hexadecimal strings stay so."""
+    """x with each digit and letter replaced by another of its class, letters of other scripts by one of theirs; hexadecimal strings stay so."""
     digits, letters = F.translate(hexes, "abcdef", "012345"), F.translate(hexes, "0123456789abcdef", "ghijklmnopqrstuv")
-    own = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.when(F.substring(x, i, F.lit(1)).rlike("[0-9]"), _at(digits, i)).when(F.substring(x, i, F.lit(1)).rlike("[a-z]"), _at(letters, i)).when(F.substring(x, i, F.lit(1)).rlike("[A-Z]"), F.upper(_at(letters, i))).otherwise(F.substring(x, i, F.lit(1))))
+    own = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.when(F.substring(x, i, F.lit(1)).rlike("[0-9]"), _at(digits, i)).when(F.substring(x, i, F.lit(1)).rlike("[a-z]"), _at(letters, i)).when(F.substring(x, i, F.lit(1)).rlike("[A-Z]"), F.upper(_at(letters, i))).when(F.substring(x, i, F.lit(1)).rlike(r"\p{L}"), _foreign(F.substring(x, i, F.lit(1)), _at(hexes, i))).otherwise(F.substring(x, i, F.lit(1))))
     hexa = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: _at(hexes, i))
     return F.array_join(F.when(x.rlike("^(?=[0-9]*[a-f])[0-9a-f]{12,}$"), hexa).otherwise(own), "")
 
@@ -116,6 +145,12 @@ def _luhn(x: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda a, i: a + F.when((n - i) % 2 == 1, (F.substring(x, i, F.lit(1)).cast("int") * 2) % 10 + F.when(F.substring(x, i, F.lit(1)).cast("int") > 4, 1).otherwise(0)).otherwise(F.substring(x, i, F.lit(1)).cast("int")))
 
 
+def _mod97(x: Column) -> Column:
+    """The remainder of a string of digits and capitals (A is 10) by 97."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: value(F.substring(x, i, F.lit(1)))), F.lit(0), lambda a, v: (a * F.when(v < 10, 10).otherwise(100) + v) % 97)
+
+
 def _pick(words: list[str], hexes: Column, at: int) -> Column:
     return F.get(_lits(words), F.conv(F.substring(hexes, at, 6), 16, 10).cast("long").cast("int") % len(words))
 
@@ -129,7 +164,9 @@ def _drawn(kind: Column, canon: Column, attempt: Column, hexes: Column) -> Colum
     digits = F.translate(hexes, "abcdef", "012345")
     dot = F.length(canon) - F.length(F.substring_index(canon, ".", -1))
     # whatever many parts draw from too small a space gets longer with the attempts
-    more = F.when(attempt >= 4, F.translate(F.substring(hexes, F.lit(100), F.least(attempt - 3, F.lit(16))), "0123456789abcdef", "ghijklmnopqrstuv")).otherwise("")
+    more = lambda n: F.translate(F.substring(hexes, F.lit(100), F.least(n, F.lit(16))), "0123456789abcdef", "ghijklmnopqrstuv")
+    secret = F.when(~canon.rlike(r"[\p{L}0-9]"), more(attempt + 6)).otherwise(F.concat(_shaped(canon, hexes), F.when(attempt >= 4, more(attempt - 3)).otherwise("")))
+    more = F.when(attempt >= 4, more(attempt - 3)).otherwise("")
     email = F.concat(_shaped(F.substring(canon, F.lit(1), dot - 1), hexes), more, F.substring(canon, dot, F.length(canon)))
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % 254 + 1).cast("string"))
     # addresses of an inner network stay so as long as there are any left: a larger one, then any
@@ -144,20 +181,23 @@ def _drawn(kind: Column, canon: Column, attempt: Column, hexes: Column) -> Colum
     body = F.substring(number, F.lit(1), many - 1)
     # a valid number stays valid, an invalid one invalid
     card = F.when(_luhn(canon) % 10 == 0, F.concat(body, check)).otherwise(F.concat(body, ((check.cast("int") + 1) % 10).cast("string")))
-    iban = F.concat(F.substring(canon, 1, 2), _shaped(F.substring(canon, F.lit(3), many), hexes))
+    country, own = F.substring(canon, 1, 2), _shaped(F.substring(canon, F.lit(5), many), hexes)
+    proof = 98 - _mod97(F.concat(own, country, F.lit("00")))
+    valid = _mod97(F.concat(F.substring(canon, F.lit(5), many), F.substring(canon, 1, 4))) == 1
+    iban = F.concat(country, F.lpad(F.when(valid, proof).otherwise(proof % 97 + 2).cast("string"), 2, "0"), own)
     api = F.concat(F.regexp_extract(canon, "^(?:A[KS]IA|gh[pousr]_|sk-)", 0), _shaped(F.regexp_replace(canon, "^(?:A[KS]IA|gh[pousr]_|sk-)", ""), hexes))
-    names = None
-    for script in SYLLABLES:
-        syllables = F.array(*(_pick(SYLLABLES[script], hexes, 7 + 6 * i) for i in range(MOST)))
+    names = F.lit(None).cast("string")
+    for script, (_, syllables, endings) in SCRIPTS.items():
+        syllables = F.array(*(_pick(syllables.split(), hexes, 7 + 6 * i) for i in range(MOST)))
         some = lambda n: F.array_join(F.slice(syllables, F.lit(1), F.least(n + F.greatest(attempt - 2, F.lit(0)), F.lit(MOST))), "")  # noqa: E731, B023
-        for g in "mfn":
-            known = GIVEN.get((script, g)) or [n for x in "mf" for n in GIVEN[script, x]]
-            made = F.concat(some(3), F.lit(ENDINGS[g][script]))
-            value = F.when(attempt < 2, F.lower(_pick(known, hexes, 1))).otherwise(made)
-            cond = kind.isin(f"given:{g}", f"middle:{g}") & (_script(canon) == script)
-            names = F.when(cond, value) if names is None else names.when(cond, value)
-        names = names.when((kind == "surname") & (_script(canon) == script), F.when(attempt < 2, F.lower(_pick(SURNAMES[script], hexes, 1))).otherwise(some(4)))
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "card", card).when(kind == "iban", iban).when(kind == "key", api).when(kind == "secret", F.concat(_shaped(canon, hexes), more))
+        listed = lambda words, made: F.when(attempt < 2, F.lower(_pick(words, hexes, 1))).otherwise(made) if words else made
+        short = 2 if script in ("kana", "hiragana", "hangul", "han") else 3
+        own = listed(SURNAMES.get(script), some(short + 1))
+        for g, ending in zip("mfn", endings.split()):
+            known = GIVEN.get((script, g)) or [n for x in "mf" for n in GIVEN.get((script, x), [])]
+            own = F.when(kind == f"given:{g}", listed(known, F.concat(some(short), F.lit(ending)))).otherwise(own)
+        names = F.when(_script(canon) == script, own).otherwise(names)
+    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "card", card).when(kind == "iban", iban).when(kind == "key", api).when(kind == "secret", secret)
     return out.otherwise(names)
 
 
@@ -174,9 +214,17 @@ def rendered(raw: Column, kind: Column, surrogate: Column) -> Column:
 
 
 def table(parts: DataFrame, key: str, rounds: int = 40) -> DataFrame:
-    """kind, canon, surrogate for the distinct parts: no two of a class share one, none is a part itself."""
+    """kind, canon, surrogate for the distinct parts: no two of a class share one, none is a part itself.
+
+    A given name of no known gender is the one that the corpus has with a gender, if that is a single one.
+    """
     of_class = F.regexp_replace("kind", ":.*", "")
-    rows = saved(drawn(parts.groupBy("kind", "canon").count().select("kind", "canon", of_class.alias("class"), F.lit(0).alias("attempt")), key), "surrogates", few="coalesce")
+    asked = saved(parts.groupBy("kind", "canon").count().select("kind", "canon"), "parts", few="coalesce")
+    told = asked.filter(F.col("kind").isin("given:m", "given:f")).groupBy("canon").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).filter("low = high").select(F.col("canon").alias("name"), "low")
+    sexed = asked.join(told, (F.col("kind") == "given:n") & (F.col("canon") == F.col("name")), "left").select("kind", "canon", F.coalesce("low", "kind").alias("as"))
+    alike = sexed.filter(F.col("as") != F.col("kind")).select("kind", F.col("canon").alias("of"), "as")
+    asked = sexed.filter(F.col("as") == F.col("kind")).select("kind", "canon")
+    rows = saved(drawn(asked.select("kind", "canon", of_class.alias("class"), F.lit(0).alias("attempt")), key), "surrogates", few="coalesce")
     many = rows.count()
     for _ in range(rounds):
         taken = rows.select(F.col("class").alias("c"), F.col("canon").alias("s")).distinct()
@@ -187,38 +235,57 @@ def table(parts: DataFrame, key: str, rounds: int = 40) -> DataFrame:
         dropped(rows.sparkSession, rows)
         rows = new.drop("again")
         if not new.filter("again").limit(1).count():
-            return rows.select("kind", "canon", "surrogate")
+            every = rows.select("kind", "canon", "surrogate")
+            also = alike.join(every.withColumnRenamed("kind", "k"), (F.col("as") == F.col("k")) & (F.col("of") == F.col("canon"))).select("kind", "canon", "surrogate")
+            return every.unionByName(also)
     raise RuntimeError("no distinct surrogates were found: some format has too few")
 
 
-def replaced(docs: DataFrame, key: str = "example key") -> DataFrame:
-    """docs with surrogates in text, and _n_entities and _kinds (those found, sorted, by comma).
+def _told(docs: DataFrame, key: str) -> DataFrame:
+    """doc (a struct of all columns of docs, text replaced), n_entities, kinds of every row."""
+    columns = docs.columns
+    body = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.col("text").alias("body"))
+    clean = body.filter(F.col("body").isNull() | ~F.col("body").rlike(ENTITY)).select("doc", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("kinds"))
+    found = body.filter(F.col("body").rlike(ENTITY)).select("doc", F.split("body", ENTITY, -1).alias("between"), F.regexp_extract_all("body", F.lit(ENTITY), 0).alias("entities"))
+    found = saved(found.select(F.monotonically_increasing_id().alias("row"), "doc", "between", F.transform("entities", _parts).alias("of")), "entities", few="repartition")
+    flat = found.select("row", F.posexplode(F.flatten("of")).alias("at", "part")).select("row", "at", "part.raw", "part.kind", "part.canon").filter("kind IS NOT NULL")
+    drawn_ = table(flat.select("kind", "canon"), key).withColumnsRenamed({"kind": "k", "canon": "c"})
+    told = flat.join(drawn_, (F.col("kind") == F.col("k")) & (F.col("canon") == F.col("c"))).select("row", "at", rendered(F.col("raw"), F.col("kind"), F.col("surrogate")).alias("new"))
+    by_doc = told.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "new"))).alias("map")).withColumnRenamed("row", "r")  # of one document
+    joined = found.join(by_doc, F.col("row") == F.col("r"), "left")
+    # lead of an entity's first part: what stands between it and the entity before
+    starts = F.transform("of", lambda e, i: F.transform(e, lambda p, j: F.when(j == 0, F.concat(F.get("between", i), p["lead"])).otherwise(p["lead"])))
+    text = F.array_join(F.transform(F.flatten(starts), lambda s, k: F.concat(s, F.coalesce(F.element_at(F.col("map"), k), F.get(F.flatten("of"), k)["raw"]))), "")
+    text = F.concat(text, F.get("between", F.size("of")))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("of", lambda e: F.when(e[0]["kind"].rlike("^(given|surname)"), "name").otherwise(e[0]["kind"])))), ",")
+    doc = F.struct(*(text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in columns))
+    return clean.unionByName(joined.select(doc.alias("doc"), F.size("of").cast("long").alias("n_entities"), kinds.alias("kinds")))
+
+
+def replaced(docs: DataFrame, key: str) -> DataFrame:
+    """docs with surrogates in text.
 
-    The key alone decides between surrogates: whoever runs it passes their own. Emails (in lower case),
+    The key alone decides between surrogates: whoever runs it passes their own, and keeps it. Emails (in lower case),
     addresses of machines, phone numbers (their last ten digits), card and social security
-    numbers, bank accounts, keys, secrets after a label, and names after a title or with a
-    common given name are found. Null texts stay null; texts without entities stay as they
-    are and aren't shuffled. Rows that repeat each give a row; doc_id isn't used. Extra columns are kept.
+    numbers, bank accounts, keys, secrets after a label, and names after a title or a label or with a
+    common given name are found. A card or account number with a right check digit gets one with a right one.
+    Null texts stay null, empty ones empty; texts without entities stay as they are and aren't shuffled,
+    however long. Rows that repeat each give a row with the same surrogates; doc_id isn't used. Parts that drew
+    the same surrogate draw again but for the first by attempt, form and kind. Other columns
+    are kept, whatever their names. An empty table gives no rows.
     """
-    columns = docs.columns
-    body = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.col("text").alias("_text"))
-    clean = body.filter(F.col("_text").isNull() | ~F.col("_text").rlike(ENTITY)).select("_doc.*", F.lit(0).cast("long").alias("_n_entities"), F.lit("").alias("_kinds"))
-    found = body.filter(F.col("_text").rlike(ENTITY)).select("_doc", F.split("_text", ENTITY, -1).alias("_between"), F.regexp_extract_all("_text", F.lit(ENTITY), 0).alias("_entities"))
-    found = saved(found.select(F.monotonically_increasing_id().alias("_row"), "_doc", "_between", F.transform("_entities", _parts).alias("_of")), "entities", few="repartition")
-    flat = found.select("_row", F.posexplode(F.flatten("_of")).alias("_at", "_part")).select("_row", "_at", "_part.raw", "_part.kind", "_part.canon").filter("kind IS NOT NULL")
-    drawn_ = table(flat.select("kind", "canon"), key).withColumnsRenamed({"kind": "_k", "canon": "_c"})
-    told = flat.join(drawn_, (F.col("kind") == F.col("_k")) & (F.col("canon") == F.col("_c"))).select("_row", "_at", rendered(F.col("raw"), F.col("kind"), F.col("surrogate")).alias("_new"))
-    by_doc = told.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_new"))).alias("_map")).withColumnRenamed("_row", "_r")  # of one document
-    joined = found.join(by_doc, F.col("_row") == F.col("_r"), "left")
-    # lead of an entity's first part: what stands between it and the entity before
-    starts = F.transform("_of", lambda e, i: F.transform(e, lambda p, j: F.when(j == 0, F.concat(F.get("_between", i), p["lead"])).otherwise(p["lead"])))
-    text = F.array_join(F.transform(F.flatten(starts), lambda s, k: F.concat(s, F.coalesce(F.element_at(F.col("_map"), k), F.get(F.flatten("_of"), k)["raw"]))), "")
-    text = F.concat(text, F.get("_between", F.size("_of")))
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_of", lambda e: F.regexp_replace(F.when(e[0]["kind"].rlike("^(given|surname)"), "name").otherwise(e[0]["kind"]), ":.*", "")))), ",")
-    changed = joined.select(*(text.alias(c) if c == "text" else F.col("_doc").getField(c).alias(c) for c in columns), F.size("_of").cast("long").alias("_n_entities"), kinds.alias("_kinds"))
-    return clean.unionByName(changed)
+    return _told(docs, key).select("doc.*")
+
+
+def report(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, text with surrogates, n_entities (how many were found), kinds (sorted, by comma); see replaced()."""
+    return _told(docs.select("doc_id", "text"), key).select("doc.doc_id", "doc.text", "n_entities", "kinds")
 
 
-def report(docs: DataFrame, key: str = "example key") -> DataFrame:
-    """doc_id, text with surrogates, n_entities, kinds; see replaced()."""
-    return replaced(docs.select("doc_id", "text"), key).withColumnsRenamed({"_n_entities": "n_entities", "_kinds": "kinds"})
+def session_key(spark: SparkSession) -> str:
+    """The key set as KEY, or else one drawn at random for this session."""
+    own = spark.conf.get(KEY, None)
+    if not own:
+        own = secrets.token_hex(32)
+        spark.conf.set(KEY, own)
+    return own
