@@ -4,8 +4,9 @@ Two gated recurrent layers run over a text's bytes, one in each direction; a lin
 position with a probability for each language, and the document's probabilities are the mean
 over its positions. The network is trained in numpy by backpropagation through time.
 
-Texts are run in spans of ``SPAN`` positions, all spans of a batch at once, each begun
-``CONTEXT`` bytes before and after where the text has them, so that every position of the whole text is labelled once.
+Texts are run in spans of ``SPAN`` positions, all spans of a batch at once. Each direction begins ``CONTEXT``
+bytes before a span, wherever the text has them: by then the state has forgotten where it began (a test holds
+the labels against runs over whole texts). Every position of the whole text is labelled once.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import types as T
 
 from lexquarry.llm.common import bounded
 
-HIDDEN, SPAN, CONTEXT = 10, 128, 6
+HIDDEN, SPAN, CONTEXT = 10, 256, 24
 SAMPLE, STEPS, BATCH, RATE = 400, 300, 256, 0.02
 UNKNOWN = "und"
-VECTOR = 256  # no byte: before the beginning and after the end
+VECTOR = 256  # no byte: before the beginning and after the end, where the state is zero
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -57,6 +58,8 @@ class Network:
         s, kept = np.zeros((x.shape[1], h), "float32"), []
         states = np.empty((*x.shape, h), "float32")
         gates, rest = u[:, : 2 * h], u[:, 2 * h :]
+        none = x == VECTOR
+        some = none.any(1)
         for t in range(len(x)) if way == 0 else range(len(x) - 1, -1, -1):
             e = table[x[t]]
             zr = e[:, : 2 * h] + s @ gates
@@ -69,6 +72,8 @@ class Network:
             if keep:
                 kept.append((t, s, z.copy(), r.copy(), n))
             s = n + z * (s - n)
+            if some[t]:
+                s[none[t]] = 0
             states[t] = s
         return states, kept
 
@@ -84,7 +89,7 @@ class Network:
         return y
 
     def gradients(self, x: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Of the mean cross entropy over all positions."""
+        """Of the mean cross entropy over all positions that have a byte."""
         h = self.recurrent[0].shape[0]
         both = [self.run(x, way, keep=True) for way in (0, 1)]
         states = np.concatenate([both[0][0], both[1][0]], 2)
@@ -93,9 +98,12 @@ class Network:
         p = np.exp(y)
         p /= p.sum(2, keepdims=True)
         rows = np.arange(len(label))
-        loss = -np.log(p[:, rows, label] + 1e-9).mean()
+        none = x == VECTOR
+        many = max(1, x.size - int(none.sum()))
+        loss = -np.log(p[:, rows, label] + 1e-9)[~none].sum() / many
         p[:, rows, label] -= 1
-        p /= x.size
+        p[none] = 0
+        p /= many
         grads_in, grads_u = [], []
         back = p @ self.out.T
         for way in (0, 1):
@@ -103,6 +111,7 @@ class Network:
             gi, gu, ds = np.zeros_like(self.inputs[way]), np.zeros_like(u), np.zeros((x.shape[1], h), "float32")
             for t, s, z, r, n in reversed(both[way][1]):
                 ds = ds + back[t, :, way * h : way * h + h]
+                ds[none[t]] = 0
                 dn = ds * (1 - z) * (1 - n * n)
                 drs = dn @ u[:, 2 * h :].T
                 dzr = np.concatenate([ds * (s - n) * z * (1 - z), drs * s * r * (1 - r)], 1)
@@ -123,7 +132,7 @@ def train(texts: list[str], langs: list[str], hidden: int = HIDDEN, steps: int =
     by = [[np.frombuffer(t.encode(), "u1") for t, x in zip(texts, langs) if x == k] for k in labels]
     mean, square = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()]
     for step in range(1, steps + 1 if len(labels) > 1 else 1):
-        label = np.arange(batch) % len(labels)
+        label = (np.arange(batch) + step * batch) % len(labels)
         x = np.full((length, batch), VECTOR, "int64")
         for i, k in enumerate(label):
             t = by[k][r.integers(len(by[k]))]
@@ -139,11 +148,13 @@ def train(texts: list[str], langs: list[str], hidden: int = HIDDEN, steps: int =
     return net
 
 
-def _spans(text: np.ndarray, span: int, context: int) -> np.ndarray:
-    """The text's bytes in rows of span positions with context on both sides, filled up with no byte."""
-    rows = -(-len(text) // span)
+def _spans(text: np.ndarray, begin: int, end: int, span: int, context: int) -> np.ndarray:
+    """Bytes begin to end of the text in rows of span positions with context on both sides, filled up with no byte."""
+    rows = -(-(end - begin) // span)
     padded = np.full(rows * span + 2 * context, VECTOR, "int16")
-    padded[context : context + len(text)] = text
+    low, high = max(0, begin - context), min(len(text), end + context)
+    own = text[low:high][: len(padded) - (low - begin + context)]
+    padded[low - begin + context : low - begin + context + len(own)] = own
     return np.lib.stride_tricks.sliding_window_view(padded, span + 2 * context)[::span]
 
 
@@ -151,20 +162,22 @@ def pooled(net: Network, texts: list[bytes], span: int = SPAN, context: int = CO
     """(texts, k): the mean of the probabilities of all positions of each text."""
     sums, sizes = np.zeros((len(texts), len(net.labels))), np.array([len(t) for t in texts])
 
-    def flush(held: list[tuple[int, np.ndarray]]) -> None:
-        x = np.concatenate([s for _, s in held])
-        owner = np.repeat([i for i, _ in held], [len(s) for _, s in held])
+    def flush(held: list[tuple[int, int, np.ndarray]]) -> None:
+        x = np.concatenate([s for _, _, s in held])
+        owner = np.repeat([i for i, _, _ in held], [len(s) for _, _, s in held])
+        own = np.concatenate([np.minimum(span, n - span * np.arange(len(s))) for _, n, s in held])  # positions of the row
         for a in range(0, len(x), rows):
             part = np.ascontiguousarray(x[a : a + rows].T)
             p = net.probabilities(part.astype("intp"))[context : context + span]
-            p[part[context : context + span] == VECTOR] = 0
+            p[np.arange(span)[:, None] >= own[a : a + rows]] = 0
             np.add.at(sums, owner[a : a + rows], p.sum(0, dtype="float64"))
 
     held, many = [], 0
     for i, t in enumerate(texts):
         for a in range(0, len(t), span * rows):  # a very long text doesn't stand in memory whole
-            s = _spans(np.frombuffer(t[a : a + span * rows], "u1"), span, context)
-            held.append((i, s))
+            end = min(len(t), a + span * rows)
+            s = _spans(np.frombuffer(t, "u1"), a, end, span, context)
+            held.append((i, end - a, s))
             many += len(s)
             if many >= rows:
                 flush(held)
@@ -185,52 +198,60 @@ def learnable(docs: DataFrame) -> DataFrame:
 def sample(docs: DataFrame, counts: dict[str, int], most: int = SAMPLE, chars: int = 2000) -> DataFrame:
     """For training: at most ``most`` learnable documents of each language of counts, those with the smallest hashes.
 
-    Learning reads the beginning of each, ``chars`` characters of it: both bounds are what the model is fitted on, no
-    bound on what it labels. A language of many documents is thinned out by the hash first, to about
+    Learning reads ``chars`` characters of each, at a place that its hash decides: both bounds are what the model is
+    fitted on, no bound on what it labels. A language of many documents is thinned out by the hash first, to about
     eight times what is taken, so that its rows don't meet in one task.
     """
     rows = learnable(docs).filter(F.col("text").rlike(r"\p{L}") & F.col("lang").isin(list(counts))).withColumn("h", F.xxhash64("doc_id", "text"))
     bound = {k: min(2**63 - 1, 8 * most * 2**64 // n - 2**63) for k, n in counts.items()}
     high = F.create_map(*(F.lit(x) for pair in bound.items() for x in pair))
-    rows = rows.filter(F.col("h") <= high[F.col("lang")]).select("lang", F.substring("text", 1, chars).alias("text"), "h")
+    rows = rows.filter(F.col("h") <= high[F.col("lang")]).select("lang", F.substring("text", 1 + F.pmod("h", F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int"), F.lit(chars)).alias("text"), "h")
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= most)
 
 
-def fit(docs: DataFrame, most: int = SAMPLE, languages: int = 200, **how) -> Network:
-    """A network learned from a bounded sample: at most ``most`` documents of each of the ``languages`` commonest languages."""
-    counts = {r["lang"]: r["n"] for r in learnable(docs).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+def fit(docs: DataFrame, most: int = SAMPLE, **how) -> Network:
+    """A network learned from a bounded sample: at most ``most`` documents of each language that there is."""
+    counts = {r["lang"]: r["n"] for r in learnable(docs).groupBy("lang").agg(F.count("*").alias("n")).collect()}
     rows = sorted((r["lang"], r["h"], r["text"]) for r in sample(docs, counts, most).collect()) if counts else []
     return train([r[2] for r in rows], [r[0] for r in rows], **how)
 
 
-def predict(docs: DataFrame, net: Network, keep: list[str] | None = None, names: tuple[str, str, str] = ("held_out", "lang_pred", "score")) -> DataFrame:
-    """doc_id (or the columns of keep), held_out, lang_pred, score of every text, by its bytes alone.
-
-    ``und`` with score 0: the text is null or has no letter, or there was nothing to learn from.
-    Other texts get the language of the highest mean probability, and that as score. Rows
-    that repeat each give a row; a null doc_id isn't held out. Other columns are left out.
-    """
-    keep = keep or ["doc_id"]
-    more = [] if "text" in keep else [F.col("text")]
-    own = bounded(docs).select(*(F.col(f"`{c}`") for c in keep), *more, F.col("doc_id").cast("string").alias("_id"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+def _told(docs: DataFrame, net: Network) -> DataFrame:
+    """doc (a struct of all columns of docs), held_out, lang_pred, score."""
+    own = bounded(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("string").alias("id"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 s = b.slice(at, 512)
-                has = np.asarray(s["_letters"]) & bool(net.labels)
-                texts = [t if ok else b"" for t, ok in zip(s["text"].cast(pa.binary()).to_pylist(), has)]
+                has = np.asarray(s["letters"]) & bool(net.labels)
+                texts = [t if ok else b"" for t, ok in zip(s["doc"].field("text").cast(pa.binary()).to_pylist(), has)]
                 p = pooled(net, texts) if has.any() else np.zeros((len(texts), 1))
                 best = p.argmax(1)
                 lang = [net.labels[k] if ok else UNKNOWN for k, ok in zip(best, has)]
                 score = np.where(has, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
-                out = [held_out(i) for i in s["_id"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(s[c] for c in keep), pa.array(out), pa.array(lang), pa.array(score)], names=[*keep, *names])
+                out = [held_out(i) for i in s["id"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([s["doc"], pa.array(out), pa.array(lang), pa.array(score)], names=["doc", "held_out", "lang_pred", "score"])
+
+    return own.mapInArrow(run, T.StructType([own.schema["doc"], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
 
-    return own.mapInArrow(run, T.StructType([*(own.schema[c] for c in keep), T.StructField(names[0], T.BooleanType()), T.StructField(names[1], T.StringType()), T.StructField(names[2], T.DoubleType())]))
+def predict(docs: DataFrame, net: Network) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every text, by its bytes alone.
+
+    ``und`` with score 0: the text is null or has no letter (an empty one hasn't), or there was nothing to learn from.
+    Other texts, however long, get the language of the highest mean probability over all positions, and that as score;
+    of equal ones the first by name. Rows that repeat each give a row; a null doc_id isn't held out. Other columns
+    are left out, whatever their names. An empty table gives no rows.
+    """
+    # the text is all that is read of a document, so nothing else travels
+    return _told(docs.select("doc_id", "text"), net).select("doc.doc_id", "held_out", "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, least: float = 0.4, **how) -> DataFrame:
-    """The rows of docs in a language the network tells with a probability of ``least`` or more; it learns from docs themselves."""
-    told = predict(docs, fit(docs, **how), docs.columns, ("_held_out", "_lang_pred", "_score"))
-    return told.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)
+    """The rows of docs in a language that the network tells with a probability of ``least`` or more, as predict() says.
+
+    It learns from docs themselves. Texts that are null or have no letter go. Rows that repeat stay or go together;
+    all columns are kept, whatever their names. Of an empty table nothing stays.
+    """
+    return _told(docs, fit(docs, **how)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")
