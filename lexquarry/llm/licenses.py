@@ -26,7 +26,15 @@ TEMPLATES = {
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3."],
     "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "EPL-2.0": ["Licensed under the Eclipse Public License, Version 2.0.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Unlicense": ["Released under the Unlicense.", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "Zlib": ["Licensed under the zlib License.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, Version 2.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
@@ -34,6 +42,16 @@ TEMPLATES = {
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0."],
     "Proprietary": ["All rights reserved.", "Copyright (c) <years> <holder>. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without permission."],
 }
+# Whole texts of short licences, added to their wordings.
+AS_IS = "ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+BSD_CLAUSES = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE'
+MIT_REST = 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+ISC_REST = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+TEMPLATES["MIT"].append(f"{TEMPLATES['MIT'][-1]} {MIT_REST}")
+TEMPLATES["ISC"].append(f"{TEMPLATES['ISC'][-1]} {ISC_REST}")
+TEMPLATES["BSD-2-Clause"].append(f"{TEMPLATES['BSD'][0]} {BSD_CLAUSES} {BSD_WARRANTY} {AS_IS}")
+TEMPLATES["BSD-3-Clause"].append(f"{TEMPLATES['BSD'][0]} {BSD_CLAUSES} {TEMPLATES['BSD-3-Clause'][1]} {BSD_WARRANTY} {AS_IS}")
 # A block without any of these words is no candidate.
 CANDIDATE = r"(?i)licen[cs]e|copyright|all rights reserved|public domain|redistribut|permission is hereby|creative commons|free software|\bcc0\b|\bcc by"
 WORD = re.compile(r"<[a-z]+>|[0-9]+(?:\.[0-9]+)*|[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -41,7 +59,9 @@ LEAST, AGREE = 0.35, 0.9
 BARE = 3  # words of a wording that stands no others between them
 WIDEST = 4096  # characters within which a license told of again is the same one
 #: Characters of the longest wording of a scale: longer blocks are looked at in windows around each candidate word.
-SCALES = (100, 250, 500)
+SCALES = (100, 250, 500, 1800)
+WHOLE = SCALES[-1]  # of texts that span paragraphs: windows of the whole text
+LONG = 40  # words from which on a wording has room for few words more
 SHORT = 3 * SCALES[0]
 
 
@@ -104,6 +124,8 @@ def scan_block(block: str, scale: int | None = None) -> list[tuple[str, float, f
         agree, diff = differences(found, template)
         if len(template) <= BARE and any(d[0] == "+" for d in diff):  # so few words are a wording only side by side
             continue
+        if len(template) >= LONG and sum(d[0] == "+" for d in diff) > (1 - AGREE) * len(template):  # a clause more is another license
+            continue
         # another number or another clause is another license
         if agree >= AGREE and not any(NUMBERS.match(d) or KINDS.match(d) for d in diff):
             told = (agree, gain, name, diff)
@@ -133,9 +155,14 @@ def blocks(text: str) -> list[tuple[int, str, int | None]]:
             cut[place, block, None] = None
             continue
         for m in wanted.finditer(block):
-            for scale in SCALES:
+            for scale in SCALES[:-1]:
                 low = max(0, m.start() - scale * 3 // 2)
                 cut[place + low, block[low : m.end() + scale * 3 // 2], scale] = None
+    last = -WHOLE
+    for m in wanted.finditer(text):
+        if m.start() - last >= WHOLE // 2:  # what is around a nearer one lies in the window before
+            last, low = m.start(), max(0, m.start() - WHOLE * 3 // 2)
+            cut[low, text[low : m.end() + WHOLE * 3 // 2], WHOLE] = None
     return list(cut)
 
 
@@ -146,8 +173,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id and the licenses found in every text, by place; an empty array where there are none.
 
     Null and empty texts hold none. A license that several blocks at one place tell of (a line and its
-    paragraph) is given once, by its best agreement. Rows that repeat each give a row; other
-    columns are left out. Texts without a word of licensing aren't sent to Python.
+    paragraph) is given once, by its best agreement; of equal ones the first. Long texts are read whole, in windows around each
+    word of licensing. Rows that repeat each give a row; other columns are left out, whatever their names. An empty
+    table gives no rows. Texts without a word of licensing aren't sent to Python.
     """
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     docs = bounded(docs).select("doc_id", F.when(F.col("text").rlike(CANDIDATE), F.col("text")).alias("text"))
@@ -178,6 +206,6 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_licenses, licenses (names by comma, in order of place), differences (by bar)."""
+    """doc_id, n_licenses, licenses (names by comma, in order of place), differences (by bar); rows as in scan()."""
     names = F.array_join(F.transform("licenses", lambda x: x["license"]), ",")
     return scan(docs).select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), names.alias("licenses"), F.array_join(F.transform("licenses", lambda x: x["differences"]), "|").alias("differences"))
