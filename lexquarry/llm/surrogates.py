@@ -43,6 +43,7 @@ SCRIPTS = {
     "han": ("Han", "文 德 方 高 海 金 林 明 宁 平 荣 世 天 伟 云 泽", "强 丽 安"),
 }
 KEY = "spark.lexquarry.surrogates.key"
+COMPACT = ("kana", "hiragana", "hangul", "han")  # scripts of short names
 MOST = 15  # syllables of a name after many attempts
 
 
@@ -76,9 +77,10 @@ def _lits(words: list[str]) -> Column:
 
 
 def _script(word: Column) -> Column:
-    out = F.lit("latin")
-    for name, (block, _, _) in reversed(SCRIPTS.items()):
-        out = F.when(word.rlike(rf"\p{{Is{block}}}"), name).otherwise(out)
+    """The place in SCRIPTS of the word's script; Latin if it has none of them."""
+    out = F.lit(0)
+    for at, (block, _, _) in reversed(list(enumerate(SCRIPTS.values()))):
+        out = F.when(word.rlike(rf"\p{{Is{block}}}"), at).otherwise(out)
     return out
 
 
@@ -123,21 +125,17 @@ def _at(s: Column, i: Column) -> Column:
     return F.substring(s, F.pmod(i - 1, F.lit(128)) + 1, F.lit(1))
 
 
-def _foreign(letter: Column, hexa: Column) -> Column:
-    """Another letter of the same script; one of a script without a list becomes Latin."""
-    out = F.lit(None).cast("string")
-    for name, (block, syllables, _) in SCRIPTS.items():
-        out = F.when(letter.rlike(rf"\p{{Is{block}}}"), F.translate(hexa, "0123456789abcdef", "".join(x[0] for x in syllables.split()))).otherwise(out)
-    out = F.coalesce(out, F.translate(hexa, "0123456789abcdef", "ghijklmnopqrstuv"))
-    return F.when(letter.rlike(r"\p{Lu}"), F.upper(out)).otherwise(out)
+def _shaped(x: Column, hexes: Column, own: Column) -> Column:
+    """x with each digit and letter replaced by another of its class, other letters by one of ``own``; hexadecimal strings stay so."""
+    digits, letters = F.translate(hexes, "abcdef", "012345"), F.translate(hexes, "0123456789abcdef", "ghijklmnopqrstuv")
 
+    def other(i: Column) -> Column:
+        c = F.substring(x, i, F.lit(1))
+        foreign = F.substring(own, F.instr(F.lit("0123456789abcdef"), _at(hexes, i)), F.lit(1))
+        return F.when(c.rlike("[0-9]"), _at(digits, i)).when(c.rlike("[a-z]"), _at(letters, i)).when(c.rlike("[A-Z]"), F.upper(_at(letters, i))).when(c.rlike(r"\p{Lu}"), F.upper(foreign)).when(c.rlike(r"\p{L}"), foreign).otherwise(c)
 
-def _shaped(x: Column, hexes: Column) -> Column:
-    """x with each digit and letter replaced by another of its class, letters of other scripts by one of theirs; hexadecimal strings stay so."""
-    digits, letters = F.translate(hexes, "abcdef", "012345"), F.translate(hexes, "0123456789abcdef", "ghijklmnopqrstuv")
-    own = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.when(F.substring(x, i, F.lit(1)).rlike("[0-9]"), _at(digits, i)).when(F.substring(x, i, F.lit(1)).rlike("[a-z]"), _at(letters, i)).when(F.substring(x, i, F.lit(1)).rlike("[A-Z]"), F.upper(_at(letters, i))).when(F.substring(x, i, F.lit(1)).rlike(r"\p{L}"), _foreign(F.substring(x, i, F.lit(1)), _at(hexes, i))).otherwise(F.substring(x, i, F.lit(1))))
     hexa = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: _at(hexes, i))
-    return F.array_join(F.when(x.rlike("^(?=[0-9]*[a-f])[0-9a-f]{12,}$"), hexa).otherwise(own), "")
+    return F.array_join(F.when(x.rlike("^(?=[0-9]*[a-f])[0-9a-f]{12,}$"), hexa).otherwise(F.transform(F.sequence(F.lit(1), F.length(x)), other)), "")
 
 
 def _luhn(x: Column) -> Column:
@@ -151,23 +149,44 @@ def _mod97(x: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: value(F.substring(x, i, F.lit(1)))), F.lit(0), lambda a, v: (a * F.when(v < 10, 10).otherwise(100) + v) % 97)
 
 
-def _pick(words: list[str], hexes: Column, at: int) -> Column:
-    return F.get(_lits(words), F.conv(F.substring(hexes, at, 6), 16, 10).cast("long").cast("int") % len(words))
+def _number(hexes: Column, at: Column) -> Column:
+    return F.conv(F.substring(hexes, at, F.lit(6)), 16, 10).cast("long").cast("int")
+
+
+def _listed(script: str, sex: str) -> list[str]:
+    """Names to draw from first: surnames (sex s), or given ones; of no known gender all of the script."""
+    if sex == "s":
+        return SURNAMES.get(script, [])
+    return GIVEN.get((script, sex)) or [n for x in "mf" for n in GIVEN.get((script, x), [])]
 
 
 def drawn(rows: DataFrame, key: str) -> DataFrame:
     """rows (kind, canon, attempt) with the surrogate of each part at that attempt, in canonical form."""
-    return rows.withColumn("_hex", _stream(key, F.regexp_replace("kind", ":.*", ""), F.col("canon"), F.col("attempt").cast("string"))).withColumn("surrogate", _drawn(F.col("kind"), F.col("canon"), F.col("attempt"), F.col("_hex"))).drop("_hex")
+    letters = F.array(*(F.lit("".join(x[0] for x in syllables.split())) for _, syllables, _ in SCRIPTS.values()))
+    told = rows.withColumn("_hex", _stream(key, F.regexp_replace("kind", ":.*", ""), F.col("canon"), F.col("attempt").cast("string"))).withColumn("_script", _script(F.col("canon")))
+    told = told.withColumn("_own", F.get(letters, F.col("_script"))).withColumn("_numbers", F.transform(F.sequence(F.lit(0), F.lit(MOST - 1)), lambda i: _number(F.col("_hex"), 7 + 6 * i) % 16))
+    return told.withColumn("surrogate", _drawn(F.col("kind"), F.col("canon"), F.col("attempt"), F.col("_hex"), F.col("_own"))).drop("_hex", "_script", "_own", "_numbers")
+
+
+def _name(kind: Column, attempt: Column, hexes: Column) -> Column:
+    """A listed name of the script and gender in the first attempts, then one made of syllables."""
+    place = F.col("_script") * 4 + F.when(kind == "given:m", 0).when(kind == "given:f", 1).when(kind == "given:n", 2).otherwise(3)
+    known = F.get(F.array(*(_lits(_listed(s, sex)) if _listed(s, sex) else F.array().cast("array<string>") for s in SCRIPTS for sex in "mfns")), place)
+    ending = F.get(_lits([e for _, _, endings in SCRIPTS.values() for e in [*endings.split(), ""]]), place)
+    many = F.get(F.array(*(F.lit((2 if s in COMPACT else 3) + (sex == "s")) for s in SCRIPTS for sex in "mfns")), place) + F.greatest(attempt - 2, F.lit(0))
+    syllables = F.get(F.array(*(_lits(syllables.split()) for _, syllables, _ in SCRIPTS.values())), F.col("_script"))
+    made = F.concat(F.array_join(F.transform(F.slice("_numbers", F.lit(1), F.least(many, F.lit(MOST))), lambda n: F.get(syllables, n)), ""), ending)
+    return F.when((attempt < 2) & (F.size(known) > 0), F.lower(F.get(known, _number(hexes, F.lit(1)) % F.size(known)))).otherwise(made)
 
 
-def _drawn(kind: Column, canon: Column, attempt: Column, hexes: Column) -> Column:
+def _drawn(kind: Column, canon: Column, attempt: Column, hexes: Column, letters: Column) -> Column:
     digits = F.translate(hexes, "abcdef", "012345")
     dot = F.length(canon) - F.length(F.substring_index(canon, ".", -1))
     # whatever many parts draw from too small a space gets longer with the attempts
     more = lambda n: F.translate(F.substring(hexes, F.lit(100), F.least(n, F.lit(16))), "0123456789abcdef", "ghijklmnopqrstuv")
-    secret = F.when(~canon.rlike(r"[\p{L}0-9]"), more(attempt + 6)).otherwise(F.concat(_shaped(canon, hexes), F.when(attempt >= 4, more(attempt - 3)).otherwise("")))
+    secret = F.when(~canon.rlike(r"[\p{L}0-9]"), more(attempt + 6)).otherwise(F.concat(_shaped(canon, hexes, letters), F.when(attempt >= 4, more(attempt - 3)).otherwise("")))
     more = F.when(attempt >= 4, more(attempt - 3)).otherwise("")
-    email = F.concat(_shaped(F.substring(canon, F.lit(1), dot - 1), hexes), more, F.substring(canon, dot, F.length(canon)))
+    email = F.concat(_shaped(F.substring(canon, F.lit(1), dot - 1), hexes, letters), more, F.substring(canon, dot, F.length(canon)))
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("int") % 254 + 1).cast("string"))
     # addresses of an inner network stay so as long as there are any left: a larger one, then any
     inner = F.regexp_extract(canon, r"^(?:10\.|192\.168\.)", 0)
@@ -181,24 +200,13 @@ def _drawn(kind: Column, canon: Column, attempt: Column, hexes: Column) -> Colum
     body = F.substring(number, F.lit(1), many - 1)
     # a valid number stays valid, an invalid one invalid
     card = F.when(_luhn(canon) % 10 == 0, F.concat(body, check)).otherwise(F.concat(body, ((check.cast("int") + 1) % 10).cast("string")))
-    country, own = F.substring(canon, 1, 2), _shaped(F.substring(canon, F.lit(5), many), hexes)
+    country, own = F.substring(canon, 1, 2), _shaped(F.substring(canon, F.lit(5), many), hexes, letters)
     proof = 98 - _mod97(F.concat(own, country, F.lit("00")))
     valid = _mod97(F.concat(F.substring(canon, F.lit(5), many), F.substring(canon, 1, 4))) == 1
     iban = F.concat(country, F.lpad(F.when(valid, proof).otherwise(proof % 97 + 2).cast("string"), 2, "0"), own)
-    api = F.concat(F.regexp_extract(canon, "^(?:A[KS]IA|gh[pousr]_|sk-)", 0), _shaped(F.regexp_replace(canon, "^(?:A[KS]IA|gh[pousr]_|sk-)", ""), hexes))
-    names = F.lit(None).cast("string")
-    for script, (_, syllables, endings) in SCRIPTS.items():
-        syllables = F.array(*(_pick(syllables.split(), hexes, 7 + 6 * i) for i in range(MOST)))
-        some = lambda n: F.array_join(F.slice(syllables, F.lit(1), F.least(n + F.greatest(attempt - 2, F.lit(0)), F.lit(MOST))), "")  # noqa: E731, B023
-        listed = lambda words, made: F.when(attempt < 2, F.lower(_pick(words, hexes, 1))).otherwise(made) if words else made
-        short = 2 if script in ("kana", "hiragana", "hangul", "han") else 3
-        own = listed(SURNAMES.get(script), some(short + 1))
-        for g, ending in zip("mfn", endings.split()):
-            known = GIVEN.get((script, g)) or [n for x in "mf" for n in GIVEN.get((script, x), [])]
-            own = F.when(kind == f"given:{g}", listed(known, F.concat(some(short), F.lit(ending)))).otherwise(own)
-        names = F.when(_script(canon) == script, own).otherwise(names)
+    api = F.concat(F.regexp_extract(canon, "^(?:A[KS]IA|gh[pousr]_|sk-)", 0), _shaped(F.regexp_replace(canon, "^(?:A[KS]IA|gh[pousr]_|sk-)", ""), hexes, letters))
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "card", card).when(kind == "iban", iban).when(kind == "key", api).when(kind == "secret", secret)
-    return out.otherwise(names)
+    return out.otherwise(_name(kind, attempt, hexes))
 
 
 def rendered(raw: Column, kind: Column, surrogate: Column) -> Column:
