@@ -151,7 +151,7 @@ def test_entry_points():
 
 def corrected_by_hand(token):
     clean = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c)).lower()
-    confused = {bad: good for good, several in vocabulary.CONFUSIONS.items() for bad in several.split()}
+    confused = dict(map(str.split, vocabulary.CONFUSIONS))
     one = [w for w in vocabulary.WORDS if len(w) == len(clean) and sum(a != b for a, b in zip(w, clean)) == 1]
     short = {}
     for w in vocabulary.WORDS:
