@@ -169,6 +169,8 @@ def index(df: DataFrame, size: int = vectors.BLOCK, width: int = WIDTH, beam: in
 
 
 def search(graphs: DataFrame, k: int = 20, every: int = 20, beam: int = BEAM) -> DataFrame:
+    """The k nearest that walks of width ``beam`` find in each shard of index(), merged: rows, ties and nulls as in nearest()."""
+
     def find(r: dict, q: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         block = Block.of(r)
         x, levels = lifted(block.x), unflat(r, len(block.row))

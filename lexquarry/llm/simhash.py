@@ -98,6 +98,8 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     cells = fps.select("fp", counts_of(F.col("fp")).alias("v"))
     home = cells.select("fp", F.explode(F.array(*(F.struct(F.lit(h).alias("half"), _half(F.col("v"), h).alias("cell")) for h in (0, 1)))).alias("at")).select("fp", "at.*")
     up = home.select("fp", "half", "cell", F.explode(F.expr("concat(array(0L), transform(filter(sequence(0, 15), i -> (shiftrightunsigned(cell, 2 * i) & 3) < 2), i -> shiftleft(1L, 2 * i)))")).alias("step")).select(F.col("fp").alias("x"), F.col("half").alias("h"), (F.col("cell") + F.col("step")).alias("c"), "step")
+    # a planner that takes an exploded table for as small as its source would broadcast it
+    up = up.hint("merge")
     full = home.groupBy("half", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > dense).select(F.col("half").alias("fh"), F.col("cell").alias("fc"), F.ceil(F.col("n") / MET).cast("int").alias("parts"))
     at_full = (F.col("h") == F.col("fh")) & (F.col("c") == F.col("fc"))
     sparse = home.join(full, (F.col("half") == F.col("fh")) & (F.col("cell") == F.col("fc")), "left_anti")
