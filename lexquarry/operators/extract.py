@@ -105,12 +105,12 @@ def extract_values(pages: DataFrame, fields: list[str], client: ModelClient) ->
     return told.select("doc_id", F.when(F.col("error").isNotNull(), absent).otherwise(js.entries(F.col("raw"))).alias("values"), F.lit(client.name).alias("model_used"), F.col("pages_used").alias("pages_consulted"), "error")
 
 
-def ask(pages: DataFrame, postings: DataFrame, questions: DataFrame, client: ModelClient) -> DataFrame:
+def ask(pages: DataFrame, postings: DataFrame, questions: DataFrame, client: ModelClient, vocabulary: DataFrame | None = None) -> DataFrame:
     """Answers to each question (query_id, query) from each document that has evidence; one without any is told so once.
 
-    Only questions with evidence reach the model.
+    Only questions with evidence reach the model. vocabulary is as in search().
     """
-    hits = search.search(pages, postings, questions)
+    hits = search.search(pages, postings, questions, vocabulary=vocabulary)
     seen = context.evidence(hits).join(questions, "query_id")
     told = generated(seen.withColumn("prompt", F.format_string(ASK_PROMPT, F.col("query"), F.col("evidence"))), client)
     doc = pages.schema["doc_id"].dataType

@@ -66,6 +66,10 @@ def _index(spark: SparkSession, sf_dir: str) -> store.Stored:
     return store.opened(_table(spark, sf_dir, "documents"), "documents", lambda: index.postings(source.words(_recognised(spark, sf_dir))))
 
 
+def _turn_index(spark: SparkSession, sf_dir: str) -> store.Stored:
+    return store.opened(_table(spark, sf_dir, "conversations"), "turns", lambda: index.postings(source.words(_turns(spark, sf_dir))))
+
+
 def _values(spark: SparkSession, values: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
 
@@ -368,7 +372,8 @@ def search_fuzzy(spark, d):
 def search_batch(spark, d):
     """The first words of every benchmark item as a phrase query, all stages."""
     items = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 2), " ").alias("query"))
-    return search.summary(items, search.search(_turns(spark, d), index.postings(source.words(_turns(spark, d))), items)).drop("tokens")
+    own = _turn_index(spark, d)
+    return search.summary(items, search.search(_turns(spark, d), own.postings, items, vocabulary=own.vocabulary)).drop("tokens")
 
 
 @query(rf"SELECT query_id, array_to_string(CASE WHEN len(t) > 1 AND NOT list_contains(t, raw) THEN list_concat([raw], u) ELSE u END, '|') AS terms FROM (SELECT query_id, raw, t, list_filter(t, lambda x, i: list_position(t, x) = i) AS u FROM (SELECT query_id, {STRIP.format('query')} AS raw, list_filter(regexp_split_to_array({STRIP.format('query')}, '[\s,\-_:\.;/]+'), lambda x: length(x) >= 2) AS t FROM (VALUES (1, 'uno dos uno'), (2, 'solo'), (3, ' a b '), (4, 'NIT 900.123')) AS q(query_id, query)))")
@@ -426,7 +431,8 @@ def extract_values(spark, d):
 def ask_questions(spark, d):
     pages = _turns(spark, d)
     asked = _values(spark, "(1, 'password mail'), (2, 'zzzzqqq'), (3, ' ')", "query_id, query")
-    return extract.ask(pages, index.postings(source.words(pages)), asked, extract.EchoModel())
+    own = _turn_index(spark, d)
+    return extract.ask(pages, own.postings, asked, extract.EchoModel(), own.vocabulary)
 
 
 # ---------------------------------------------------------------- vocabulary
@@ -595,9 +601,9 @@ def ocr_routing(spark, d):
     return ocr.routed(pages)
 
 
-@query(rf"WITH w AS (SELECT item_id, list_slice(regexp_split_to_array(text, '\s+'), 1, 12) AS l FROM benchmark) SELECT item_id, array_to_string(list_filter(l, lambda x: length(x) >= 3 AND regexp_matches(x, '[\p{{L}}\p{{N}}]') AND NOT contains('the and of ring', lower(x))), ' ') AS header FROM w")
+@query(rf"WITH w AS (SELECT item_id, regexp_split_to_array(text, '\s+') AS l FROM benchmark) SELECT item_id, array_to_string(list_filter(l, lambda x: length(x) >= 3 AND regexp_matches(x, '[\p{{L}}\p{{N}}]') AND NOT contains('the and of ring', lower(x))), ' ') AS header FROM w")
 def header_filter(spark, d):
-    words = F.slice(F.split("text", r"\s+"), 1, 12)
+    words = F.split("text", r"\s+")
     return _table(spark, d, "benchmark").select("item_id", F.array_join(ocr.header_words(words, F.lit("the and of ring")), " ").alias("header"))
 
 
