@@ -61,6 +61,7 @@ WIDEST = 4096  # characters within which a license told of again is the same one
 #: Characters of the longest wording of a scale: longer blocks are looked at in windows around each candidate word.
 SCALES = (100, 250, 500, 1800)
 WHOLE = SCALES[-1]  # of texts that span paragraphs: windows of the whole text
+FAMILIES = {"BSD": ("BSD-2-Clause", "BSD-3-Clause")}  # wordings that several licenses share, and these
 LONG = 40  # words from which on a wording has room for few words more
 SHORT = 3 * SCALES[0]
 
@@ -173,7 +174,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id and the licenses found in every text, by place; an empty array where there are none.
 
     Null and empty texts hold none. A license that several blocks at one place tell of (a line and its
-    paragraph) is given once, by its best agreement; of equal ones the first. Long texts are read whole, in windows around each
+    paragraph) is given once, by its best agreement; of equal ones the first. A family isn't given beside one of its licenses. Long texts are read whole, in windows around each
     word of licensing. Rows that repeat each give a row; other columns are left out, whatever their names. An empty
     table gives no rows. Texts without a word of licensing aren't sent to Python.
     """
@@ -198,6 +199,8 @@ def scan(docs: DataFrame) -> DataFrame:
                             told.append(row)
                         elif agree > max(t["agreement"] for t in same):
                             told = [t for t in told if t not in same] + [row]
+                near = lambda t, names: any(o["license"] in names and abs(o["at"] - t["at"]) <= WIDEST for o in told)  # noqa: E731, B023
+                told = [t for t in told if not near(t, FAMILIES.get(t["license"], ()))]
                 out.append(sorted(told, key=lambda t: (t["at"], t["license"])))
             kind = pa.list_(pa.struct([("at", pa.int64()), ("license", pa.string()), ("reduction", pa.float64()), ("agreement", pa.float64()), ("differences", pa.string())]))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(out, kind)], names=["doc_id", "licenses"])

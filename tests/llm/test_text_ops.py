@@ -527,7 +527,7 @@ def test_packing_against_the_library(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), JSON, P.PATTERN).collect() == []
 
 
-@pytest.mark.parametrize("most", [1024, 400, 30])
+@pytest.mark.parametrize("most", [1024, 30])
 def test_packing_needs_no_more_sequences_than_best_fit_decreasing(spark, most):
     r = random.Random(most)
     lengths = [r.choice([1, most // 3, most // 2, r.randint(1, most)]) for _ in range(700)]
