@@ -52,7 +52,7 @@ def keys(word: str) -> tuple[str, ...]:
     base = normal(word)
     if len(base) < config.LEAST_TERM:
         return ()
-    if base.isalnum() and not RUNS.search(base):
+    if base.isalpha() or base.isalnum() and not RUNS.search(base):
         return (base,)
     clean, out = EDGES.sub("", base), [base]
     if clean != base and len(clean) >= config.LEAST_TERM:
@@ -134,10 +134,19 @@ class Asked:
                     self.wanted[t].append((q, at, raw))
         self.by_term = dict(self.by_term)
         self.phrases = [(q, raw, tokens, terms) for q, raw, tokens, terms in self.queries if len(terms) > 1]
-        self.sizes = sorted({len(t) for t in self.by_term if len(t) >= config.LEAST_TERM})
+        self.by_size: dict[int, set[str]] = defaultdict(set)
+        for t in self.by_term:
+            if len(t) >= config.LEAST_TERM:
+                self.by_size[len(t)].add(t)
+        self.sizes = sorted(self.by_size)
+        # all keys but numbers stand in the word as it is, so a word without any term has no match; with many terms the search for one costs more than it saves
+        few = 0 < len(self.by_term) <= 32 and not any(t.isnumeric() for t in self.by_term)
+        self.some = re.compile("|".join(map(re.escape, self.by_term))) if few else None
         self.near_kept: dict[str, list[tuple[str, float]]] = {}
 
     def matches(self, word: str) -> tuple:
+        if self.some is not None and self.some.search(normal(word)) is None:
+            return ()
         best: dict[int, tuple] = {}
 
         def put(term: str, stage: int, key: str, nth: int) -> None:
@@ -146,7 +155,7 @@ class Asked:
                     best[q] = (stage, at, key, nth)
 
         for nth, key in enumerate(keys(word)):
-            bare = EDGES.sub("", key)
+            bare = key if key.isalnum() else EDGES.sub("", key)
             if key in self.by_term:
                 put(key, 0, key, nth)
             for n in self.sizes:
@@ -155,8 +164,8 @@ class Asked:
                 if bare[:n] in self.by_term:
                     put(bare[:n], 1, key, nth)
                 if n >= config.LEAST_SUBSTRING:
-                    for i in range(1, len(bare) - n + 1):
-                        if (t := bare[i : i + n]) in self.by_term and not bare.startswith(t):
+                    for t in self.by_size[n].intersection([bare[i : i + n] for i in range(1, len(bare) - n + 1)]):
+                        if not bare.startswith(t):
                             put(t, 2, key, nth)
         return tuple((q, *m) for q, m in best.items())
 
@@ -225,31 +234,33 @@ class Asked:
         for h in self.similar(texts, told) if self.fuzzy else ():
             fuzzy[h[5].page].append(h)
         positions = Counter()
-        for page, own in groupby(texts, lambda t: t.page):
-            one: dict[tuple, tuple] = {}
-
-            def put(q, x, nr, order, searched, kind, place, one=one, page=page):
-                matched, snippet = place
-                x0 = None if nr is None else float(x.starts[nr])
-                x1 = None if nr is None else x0 + len(x.words[nr])
-                y = (None, None) if nr is None else (float(page), float(page + 1))
-                same = (q, x.src, matched, x0, snippet[: config.SNIPPET_KEY])
-                first = (order[0], order[1], order[2], x.image_id or "", order[3])
-                if same not in one or first < one[same][0]:
-                    one[same] = (first, q, x, searched, kind, snippet, matched, x0, y[0], x1, y[1])
-
+        for page, group in groupby(texts, lambda t: t.page):
+            own, rows = list(group), []  # rows: query, what decides between alike hits, rank, text, number of its word, what it says
             for x in own:
-                for nr, ms in enumerate(map(told.__getitem__, x.words)):
+                for nr, ms in [(nr, ms) for nr, ms in enumerate(map(told.__getitem__, x.words)) if ms]:
+                    w = x.words[nr]
+                    place = x.found(w)
                     for q, stage, at, key, nth in ms:
-                        put(q, x, nr, (stage, at, key, nr * 64 + nth), x.words[nr], KINDS[stage], x.found(x.words[nr]))
+                        rows.append((q, stage, x.src, (stage, at, key, x.image_id or "", nr * 64 + nth), x, nr, w, KINDS[stage], place))
                 for q, raw, tokens, terms in self.phrases:
                     if all(t in x.normal for t in terms):
-                        put(q, x, None, (4, 0, "", 0), raw, "frase", x.found(tokens[0]))
-            for q, at, key, raw, ratio, x, nr, nth in fuzzy.pop(page, ()):
-                put(q, x, nr, (3, at, key, nr * 64 + nth), raw, f"difuso ({int(ratio * 100 + 1e-9)}%)", x.found(x.words[nr]))
-            for first, q, x, searched, kind, snippet, matched, *box in sorted(one.values(), key=lambda h: (h[1], config.STAGES.get(h[4], 4), h[2].src, *h[0])):
+                        rows.append((q, config.STAGES["frase"], x.src, (4, 0, "", x.image_id or "", 0), x, None, raw, "frase", x.found(tokens[0])))
+            for q, at, key, raw, ratio, x, nr, nth in fuzzy.get(page, ()):
+                rows.append((q, config.STAGES["difuso"], x.src, (3, at, key, x.image_id or "", nr * 64 + nth), x, nr, raw, f"difuso ({int(ratio * 100 + 1e-9)}%)", x.found(x.words[nr])))
+            if page in fuzzy or len({x.src for x in own}) < len(own):  # else no two have a place in common
+                one: dict[tuple, tuple] = {}
+                for r in sorted(rows, key=lambda r: r[3]):
+                    one.setdefault((r[0], r[2], r[8][0], None if r[5] is None else r[4].starts[r[5]], r[8][1][: config.SNIPPET_KEY]), r)
+                rows = list(one.values())
+            rows.sort(key=lambda r: r[:4])
+            y0, y1 = float(page), float(page + 1)
+            for q, _, src, order, x, nr, searched, kind, (matched, snippet) in rows:
                 positions[q] += 1
-                yield q, page, x.src, x.label, searched, kind, snippet, matched, x.image_id, *box, positions[q]
+                if nr is None:
+                    yield q, page, src, x.label, searched, kind, snippet, matched, x.image_id, None, None, None, None, positions[q]
+                else:
+                    x0 = x.starts[nr]
+                    yield q, page, src, x.label, searched, kind, snippet, matched, x.image_id, float(x0), y0, float(x0 + len(x.words[nr])), y1, positions[q]
 
     def count(self, texts: list[Text], told: Matches, total: Counter, pages: Counter) -> None:
         """Adds the hits of a document, and the pages they are on, to total and pages. The same as counting hits()."""

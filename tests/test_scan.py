@@ -36,12 +36,14 @@ def test_scan_is_search(spark, fuzzy, monkeypatch):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     summary = sorted(search.summary(asked, want).collect())
     assert sorted(search.summed(asked, scan.counts(rows, asked, fuzzy)).collect()) == summary
+    few = asked.filter("query_id <= 6")
+    assert sorted(map(str, scan.search(rows, few, fuzzy).drop("position").collect())) == sorted(map(str, want.filter("query_id <= 6").drop("position").collect()))
     monkeypatch.setattr(config, "LIMITS", config.Limits(broadcast_queries=4))
     monkeypatch.setattr(scan, "WORDS_KEPT", 5)
     assert sorted(search.summed(asked, scan.counts(rows, asked, fuzzy)).collect()) == summary
 
 
-@pytest.mark.parametrize("name", ["search_batch"])
+@pytest.mark.parametrize("name", ["search_batch", "search_ranked"])
 def test_batches_asked_once_build_no_index(spark, name, monkeypatch):
     monkeypatch.setattr(catalogue.store, "opened", lambda *a: pytest.fail("an index of the whole corpus"))
     assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
