@@ -360,3 +360,32 @@ def counts(pages: DataFrame, queries: DataFrame, with_fuzzy: bool = True) -> Dat
         part = texts.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out.groupBy("query_id").agg(F.sum("total_matches").alias("total_matches"), F.sum("matched_pages").alias("matched_pages"))
+
+
+def exported(pages: DataFrame) -> DataFrame:
+    """doc_id, term, n, first_page: how many postings the index has of each term of a document, and on which page the first is."""
+    texts = _dealt(pages)
+    schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), T.StructField("term", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("first_page", T.IntegerType())])
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, held = to_arrow_schema(schema), ([], [], [], [])
+        for doc_id, own in _documents(batches):
+            n: dict[str, int] = {}
+            first: dict[str, int] = {}  # of the same terms in the same order, as pages are
+            for x in own:
+                for w, many in Counter(x.words).items():
+                    for k in keys(w):
+                        if k in n:
+                            n[k] += many
+                        else:
+                            n[k], first[k] = many, x.page
+            for to, values in zip(held, ([doc_id] * len(n), n, n.values(), first.values())):
+                to.extend(values)
+            if len(held[0]) >= 4 * ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, arrow)], schema=arrow)
+                held = ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, arrow)], schema=arrow)
+
+    return texts.mapInArrow(run, schema)

@@ -43,7 +43,14 @@ def test_scan_is_search(spark, fuzzy, monkeypatch):
     assert sorted(search.summed(asked, scan.counts(rows, asked, fuzzy)).collect()) == summary
 
 
-@pytest.mark.parametrize("name", ["search_batch", "search_ranked", "search_summary"])
+def test_export_is_that_of_the_index(spark):
+    rows = pages(spark)
+    want = index.exported(index.postings(source.words(rows))).select("doc_id", "term", F.size("places").alias("n"), F.element_at("places", 1)["page"].alias("first_page"))
+    got = scan.exported(rows)
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("name", ["search_batch", "search_ranked", "search_summary", "postings_export"])
 def test_batches_asked_once_build_no_index(spark, name, monkeypatch):
     monkeypatch.setattr(catalogue.store, "opened", lambda *a: pytest.fail("an index of the whole corpus"))
     assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
