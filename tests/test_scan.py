@@ -50,7 +50,7 @@ def test_export_is_that_of_the_index(spark):
     assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
 
 
-@pytest.mark.parametrize("name", ["search_batch", "search_ranked", "search_summary", "postings_export"])
+@pytest.mark.parametrize("name", ["search_batch", "search_ranked", "search_summary", "postings_export", "highlight_rects"])
 def test_batches_asked_once_build_no_index(spark, name, monkeypatch):
     monkeypatch.setattr(catalogue.store, "opened", lambda *a: pytest.fail("an index of the whole corpus"))
     assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
