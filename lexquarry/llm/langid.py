@@ -2,7 +2,8 @@
 
 Two gated recurrent layers run over a text's bytes, one in each direction; a linear layer labels every
 position with a probability for each language, and the document's probabilities are the mean
-over its positions. The network is trained in numpy by backpropagation through time.
+over its positions. The network is trained in numpy by backpropagation through time, on all words of all texts
+to learn from: each distinct word once a pass, with its number as weight, by tasks whose networks are averaged.
 
 Texts are run in spans of ``SPAN`` positions, all spans of a batch at once. Each direction begins ``CONTEXT``
 bytes before a span, wherever the text has them: by then the state has forgotten where it began (a test holds
@@ -12,26 +13,28 @@ the labels against runs over whole texts). Every position of the whole text is l
 from __future__ import annotations
 
 import zlib
+from collections import Counter, defaultdict
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexquarry.llm.common import bounded
+from lexquarry.llm.common import bounded, dropped, saved
+from lexquarry.llm.simhash import words_of
 
-HIDDEN, SPAN, CONTEXT = 10, 256, 24
-SAMPLE, STEPS, BATCH, RATE = 400, 300, 256, 0.02
+HIDDEN, SPAN, CONTEXT = 10, 256, 48
+STEPS, BATCH, LENGTH, RATE = 300, 256, 48, 0.02
+SHARD, ROUNDS, FEW = 4_000_000, 8, 2000  # bytes of distinct words learned from in one task; averagings; words of a language that every task has
+KEPT, ROWS = 300_000, 20_000  # distinct words held while a task counts; told at once
 UNKNOWN = "und"
 VECTOR = 256  # no byte: before the beginning and after the end, where the state is zero
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 @dataclass
 class Network:
     """w: for each direction the table of inputs (257, 3h), recurrent weights (h, 3h); out: (2h, k), (k,)."""
@@ -52,99 +55,133 @@ class Network:
         return [*self.inputs, *self.recurrent, self.out, self.bias]
 
     def run(self, x: np.ndarray, way: int, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States (time, batch, h) of one direction over bytes x (time, batch); kept: what the gradient needs."""
-        table, u = self.inputs[way], self.recurrent[way]
-        h = u.shape[0]
-        s, kept = np.zeros((x.shape[1], h), "float32"), []
-        states = np.empty((*x.shape, h), "float32")
-        gates, rest = u[:, : 2 * h], u[:, 2 * h :]
+        """States (time, h, batch) of one direction over bytes x (time, batch); kept: what the gradient needs, in the order of the run."""
+        table, u = np.ascontiguousarray(self.inputs[way].T), self.recurrent[way]
+        h, many, kind = u.shape[0], x.shape[1], table.dtype
+        gates, rest = np.ascontiguousarray(u[:, : 2 * h].T), np.ascontiguousarray(u[:, 2 * h :].T)
+        s, kept, states = np.zeros((h, many), kind), [], np.empty((len(x), h, many), kind)
+        e, zr, n, rs = (np.empty((k * h, many), kind) for k in (3, 2, 1, 1))
         none = x == VECTOR
         some = none.any(1)
         for t in range(len(x)) if way == 0 else range(len(x) - 1, -1, -1):
-            e = table[x[t]]
-            zr = e[:, : 2 * h] + s @ gates
+            np.take(table, x[t], axis=1, out=e, mode="clip")
+            np.matmul(gates, s, out=zr)
+            zr += e[: 2 * h]
             np.negative(zr, out=zr)
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(e[:, 2 * h :] + (r * s) @ rest)
+            z, r = zr[:h], zr[h:]
+            np.matmul(rest, np.multiply(r, s, out=rs), out=n)
+            n += e[2 * h :]
+            np.tanh(n, out=n)
             if keep:
-                kept.append((t, s, z.copy(), r.copy(), n))
-            s = n + z * (s - n)
+                kept.append((t, s, z.copy(), r.copy(), n.copy()))
+            s = np.subtract(s, n, out=states[t])
+            s *= z
+            s += n
             if some[t]:
-                s[none[t]] = 0
-            states[t] = s
+                s[:, none[t]] = 0
         return states, kept
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """(time, batch, k): of every position."""
-        h = self.recurrent[0].shape[0]
-        y = self.run(x, 0)[0] @ self.out[:h]
-        y += self.run(x, 1)[0] @ self.out[h:]
-        y += self.bias
-        y -= y.max(2, keepdims=True)
+    def _softmax(self, forth: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """(time, k, batch) from the states of both directions."""
+        h = forth.shape[1]
+        y = np.matmul(self.out[:h].T, forth)
+        y += np.matmul(self.out[h:].T, back)
+        y += self.bias[:, None]
+        y -= y.max(1, keepdims=True)
         np.exp(y, out=y)
-        y /= y.sum(2, keepdims=True)
+        y /= y.sum(1, keepdims=True)
         return y
 
-    def gradients(self, x: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        """Of the mean cross entropy over all positions that have a byte."""
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """(time, batch, k): of every position."""
+        return self._softmax(self.run(x, 0)[0], self.run(x, 1)[0]).transpose(0, 2, 1)
+
+    def between(self, x: np.ndarray, context: int) -> np.ndarray:
+        """(time, k, batch): of every position but ``context`` at either end, where a direction begins."""
+        end = len(x) - context
+        return self._softmax(self.run(x[:end], 0)[0][context:], self.run(x[context:], 1)[0][: end - context])
+
+    def gradients(self, x: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, list[np.ndarray]]:
+        """Of the mean cross entropy over all positions that have a byte, by weight (time, batch) where there is one."""
         h = self.recurrent[0].shape[0]
         both = [self.run(x, way, keep=True) for way in (0, 1)]
-        states = np.concatenate([both[0][0], both[1][0]], 2)
-        y = states @ self.out + self.bias
-        y -= y.max(2, keepdims=True)
-        p = np.exp(y)
-        p /= p.sum(2, keepdims=True)
+        p = self._softmax(both[0][0], both[1][0])
         rows = np.arange(len(label))
         none = x == VECTOR
-        many = max(1, x.size - int(none.sum()))
-        loss = -np.log(p[:, rows, label] + 1e-9)[~none].sum() / many
-        p[:, rows, label] -= 1
-        p[none] = 0
-        p /= many
+        w = np.where(none, 0, 1 if weight is None else weight).astype(p.dtype)
+        w /= max(w.sum(), 1e-9)
+        loss = -(np.log(p[:, label, rows] + 1e-9) * w).sum()
+        p[:, label, rows] -= 1
+        p *= w[:, None]
         grads_in, grads_u = [], []
-        back = p @ self.out.T
+        back, flat = np.matmul(self.out, p), x.ravel()
         for way in (0, 1):
             u = self.recurrent[way]
-            gi, gu, ds = np.zeros_like(self.inputs[way]), np.zeros_like(u), np.zeros((x.shape[1], h), "float32")
+            gates, rest = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
+            gu, ds, d = np.zeros_like(u), np.zeros((h, x.shape[1]), p.dtype), np.empty((3 * h, *x.shape), p.dtype)
             for t, s, z, r, n in reversed(both[way][1]):
-                ds = ds + back[t, :, way * h : way * h + h]
-                ds[none[t]] = 0
+                ds = ds + back[t, way * h : way * h + h]
+                ds[:, none[t]] = 0
                 dn = ds * (1 - z) * (1 - n * n)
-                drs = dn @ u[:, 2 * h :].T
-                dzr = np.concatenate([ds * (s - n) * z * (1 - z), drs * s * r * (1 - r)], 1)
-                gu[:, : 2 * h] += s.T @ dzr
-                gu[:, 2 * h :] += (r * s).T @ dn
-                np.add.at(gi, x[t], np.concatenate([dzr, dn], 1))
-                ds = ds * z + drs * r + dzr @ u[:, : 2 * h].T
-            grads_in.append(gi)
+                drs = rest @ dn
+                dzr = np.concatenate([ds * (s - n) * z * (1 - z), drs * s * r * (1 - r)])
+                gu[:, : 2 * h] += s @ dzr.T
+                gu[:, 2 * h :] += (r * s) @ dn.T
+                d[: 2 * h, t], d[2 * h :, t] = dzr, dn
+                ds = ds * z + drs * r + gates @ dzr
+            grads_in.append(np.stack([np.bincount(flat, one.ravel(), len(self.inputs[way])) for one in d], 1).astype(u.dtype))
             grads_u.append(gu)
-        flat = states.reshape(-1, 2 * h)
-        return float(loss), [*grads_in, *grads_u, flat.T @ p.reshape(-1, p.shape[2]), p.sum((0, 1))]
+        to_out = np.concatenate([np.matmul(states, p.transpose(0, 2, 1)).sum(0) for states, _ in both])
+        return float(loss), [*grads_in, *grads_u, to_out, p.sum((0, 2))]
 
 
-def train(texts: list[str], langs: list[str], hidden: int = HIDDEN, steps: int = STEPS, batch: int = BATCH, length: int = 48, rate: float = RATE, seed: int = 5) -> Network:
-    """Learns from random spans of the texts, languages in equal parts, by Adam."""
-    labels = sorted(set(langs))
-    net, r = Network.fresh(labels, hidden, seed), np.random.default_rng(seed)
-    by = [[np.frombuffer(t.encode(), "u1") for t, x in zip(texts, langs) if x == k] for k in labels]
+def learned(net: Network, words: list[bytes], label: np.ndarray, n: np.ndarray, steps: int = STEPS, batch: int = BATCH, length: int = LENGTH, rate: float = RATE, seed: int = 5, progress: tuple[float, float] = (0, 1)) -> Network:
+    """net after passes over all words (with their label and number), by Adam: ``steps`` steps, or as many as one pass takes.
+
+    Words of a label stand in a row in random order, as in a text, and are cut into spans of ``length``. A
+    word weighs 1 + log2 of its number, and labels weigh the same; those of few words are passed several times, so that a batch is filled.
+    """
+    r, sizes, weight = np.random.default_rng(seed), np.array([len(w) + 1 for w in words], "int64"), 1 + np.log2(n)
+    spans, weights, labels = [], [], []
+    for k in np.unique(label):
+        own = np.flatnonzero(label == k)
+        again = max(1, round(max(sizes.sum() / 2, batch * length) / (len(net.labels) * sizes[own].sum())))
+        order = np.concatenate([r.permutation(own) for _ in range(again)])
+        many = sizes[order].sum()
+        rows = -(-many // length)
+        x, w = np.full(rows * length, VECTOR, "int16"), np.zeros(rows * length, "float32")
+        x[:many] = np.frombuffer(b" ".join([words[i] for i in order]) + b" ", "u1")
+        w[:many] = np.repeat(weight[order], sizes[order])
+        spans.append(x.reshape(-1, length))
+        weights.append(w.reshape(-1, length) / w.mean(dtype="float64") / rows)
+        labels.append(np.full(rows, k))
+    x, w, label = np.concatenate(spans), np.concatenate(weights), np.concatenate(labels)
+    w *= len(x)
+    once = -(-len(x) // batch)
+    passes, step = max(1, -(-steps // once)), 0
     mean, square = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()]
-    for step in range(1, steps + 1 if len(labels) > 1 else 1):
-        label = (np.arange(batch) + step * batch) % len(labels)
-        x = np.full((length, batch), VECTOR, "int64")
-        for i, k in enumerate(label):
-            t = by[k][r.integers(len(by[k]))]
-            at = int(r.integers(max(1, len(t) - length + 1)))
-            part = t[at : at + length]
-            x[: len(part), i] = part
-        _, grads = net.gradients(x, label)
-        lr = rate * min(1, 2 * (1 - (step - 1) / steps))
-        for p, g, m, v in zip(net.parameters(), grads, mean, square):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= (lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype("float32")
+    for _ in range(passes):
+        for rows in np.array_split(r.permutation(len(x)), once):
+            _, grads = net.gradients(np.ascontiguousarray(x[rows].T).astype("intp"), label[rows], w[rows].T)
+            done = progress[0] + (progress[1] - progress[0]) * step / (passes * once)
+            step += 1
+            for p, g, m, v in zip(net.parameters(), grads, mean, square):
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                p -= (rate * min(1, 2 * (1 - done)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype("float32")
+    return net
+
+
+def train(texts: list[str], langs: list[str], hidden: int = HIDDEN, seed: int = 5, **how) -> Network:
+    """Learns from all words of the texts."""
+    labels = sorted(set(langs))
+    net, counts = Network.fresh(labels, hidden, seed), Counter((k, w) for t, k in zip(texts, langs) for w in t.encode().split())
+    every = sorted(counts)
+    if len(labels) > 1:
+        learned(net, [w for _, w in every], np.array([labels.index(k) for k, _ in every]), np.array([counts[x] for x in every]), seed=seed, **how)
     return net
 
 
@@ -158,7 +195,7 @@ def _spans(text: np.ndarray, begin: int, end: int, span: int, context: int) -> n
     return np.lib.stride_tricks.sliding_window_view(padded, span + 2 * context)[::span]
 
 
-def pooled(net: Network, texts: list[bytes], span: int = SPAN, context: int = CONTEXT, rows: int = 2048) -> np.ndarray:
+def pooled(net: Network, texts: list[bytes], span: int = SPAN, context: int = CONTEXT, rows: int = 1024) -> np.ndarray:
     """(texts, k): the mean of the probabilities of all positions of each text."""
     sums, sizes = np.zeros((len(texts), len(net.labels))), np.array([len(t) for t in texts])
 
@@ -168,9 +205,9 @@ def pooled(net: Network, texts: list[bytes], span: int = SPAN, context: int = CO
         own = np.concatenate([np.minimum(span, n - span * np.arange(len(s))) for _, n, s in held])  # positions of the row
         for a in range(0, len(x), rows):
             part = np.ascontiguousarray(x[a : a + rows].T)
-            p = net.probabilities(part.astype("intp"))[context : context + span]
-            p[np.arange(span)[:, None] >= own[a : a + rows]] = 0
-            np.add.at(sums, owner[a : a + rows], p.sum(0, dtype="float64"))
+            p = net.between(part.astype("intp"), context)
+            p *= (np.arange(span)[:, None] < own[a : a + rows])[:, None]
+            np.add.at(sums, owner[a : a + rows], p.sum(0, dtype="float64").T)
 
     held, many = [], 0
     for i, t in enumerate(texts):
@@ -195,25 +232,67 @@ def learnable(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("lang").isNotNull() & (F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1)) % 5 != 0))
 
 
-def sample(docs: DataFrame, counts: dict[str, int], most: int = SAMPLE, chars: int = 2000) -> DataFrame:
-    """For training: at most ``most`` learnable documents of each language of counts, those with the smallest hashes.
+def counted(docs: DataFrame) -> DataFrame:
+    """lang, word, n: how often each word occurs in the learnable texts of each language; all words of all of them, whole."""
+    rows = bounded(learnable(docs).filter(F.col("text").rlike(r"\p{L}"))).select("lang", "text")
+
+    def run(batches):
+        held: dict[str, Counter] = defaultdict(Counter)
+
+        def told():
+            for lang, own in held.items():
+                for at in range(0, len(own), ROWS):
+                    some = list(islice(own.items(), at, at + ROWS)) if len(own) > ROWS else list(own.items())
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([w for w, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], names=["lang", "word", "n"])
+
+        for b in batches:
+            for lang, text in zip(b["lang"].to_pylist(), b["text"].cast(pa.binary()).to_pylist()):
+                for words in words_of(text):
+                    held[lang].update(words)
+                    if sum(map(len, held.values())) >= KEPT:
+                        yield from told()
+                        held.clear()
+        yield from told()
+
+    return rows.mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, hidden: int = HIDDEN, steps: int = STEPS, seed: int = 5, shard: int = SHARD, **how) -> Network:
+    """A network learned from all words of all learnable texts, each with its number in each language.
 
-    Learning reads ``chars`` characters of each, at a place that its hash decides: both bounds are what the model is
-    fitted on, no bound on what it labels. A language of many documents is thinned out by the hash first, to about
-    eight times what is taken, so that its rows don't meet in one task.
+    The words of all languages are dealt into shards of about ``shard`` bytes. In each of ROUNDS rounds every
+    shard goes on from the same network over its part of that round, and the networks are averaged. One shard
+    takes one round, of ``steps`` steps at least. A language of fewer words than FEW is in every shard.
     """
-    rows = learnable(docs).filter(F.col("text").rlike(r"\p{L}") & F.col("lang").isin(list(counts))).withColumn("h", F.xxhash64("doc_id", "text"))
-    bound = {k: min(2**63 - 1, 8 * most * 2**64 // n - 2**63) for k, n in counts.items()}
-    high = F.create_map(*(F.lit(x) for pair in bound.items() for x in pair))
-    rows = rows.filter(F.col("h") <= high[F.col("lang")]).select("lang", F.substring("text", 1 + F.pmod("h", F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int"), F.lit(chars)).alias("text"), "h")
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= most)
-
-
-def fit(docs: DataFrame, most: int = SAMPLE, **how) -> Network:
-    """A network learned from a bounded sample: at most ``most`` documents of each language that there is."""
-    counts = {r["lang"]: r["n"] for r in learnable(docs).groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    rows = sorted((r["lang"], r["h"], r["text"]) for r in sample(docs, counts, most).collect()) if counts else []
-    return train([r[2] for r in rows], [r[0] for r in rows], **how)
+    words = saved(counted(docs), "words")
+    told = words.groupBy("lang").agg(F.count("*").alias("many"), F.sum(F.length("word") + 1).alias("size")).collect()
+    net = Network.fresh(sorted(r.lang for r in told), hidden, seed)
+    if len(told) < 2:
+        return net
+    shards = -(-sum(r.size for r in told) // shard)
+    rounds = ROUNDS if shards > 1 else 1
+    h = F.xxhash64("lang", "word")
+    few = F.col("lang").isin([r.lang for r in told if r.many < FEW])
+    at = F.when(few, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(F.pmod(F.floor(h / rounds), F.lit(shards)).cast("int")))
+    dealt = words.withColumn("round", F.pmod(h, F.lit(rounds))).withColumn("shard", F.explode(at))
+    for nr in range(rounds):
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["lang", "word"])
+            label = np.searchsorted(net.labels, rows["lang"].to_numpy(dtype=str))
+            own = Network(net.labels, [p.copy() for p in net.inputs], [p.copy() for p in net.recurrent], net.out.copy(), net.bias.copy())
+            own = learned(own, rows["word"].tolist(), label, rows["n"].to_numpy(), steps if rounds == 1 else 1, seed=seed + nr + rounds * int(rows["shard"].iloc[0]), progress=(nr / rounds, (nr + 1) / rounds), **how)
+            return pd.DataFrame({"shard": rows["shard"].iloc[:1], "parameters": [np.concatenate([p.ravel() for p in own.parameters()]).astype("float32").tobytes()]})
+
+        parts = dealt.filter(F.col("round") == nr).groupBy("shard").applyInPandas(run, "shard int, parameters binary").collect()
+        parts = [np.frombuffer(r.parameters, "float32") for r in sorted(parts)]
+        if parts:
+            flat, at = np.mean(parts, 0, dtype="float64").astype("float32"), 0
+            for p in net.parameters():
+                p[...] = flat[at : at + p.size].reshape(p.shape)
+                at += p.size
+    dropped(docs.sparkSession, words)
+    return net
 
 
 def _told(docs: DataFrame, net: Network) -> DataFrame:

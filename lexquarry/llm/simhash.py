@@ -156,7 +156,7 @@ def groups(docs: DataFrame, width: int = 3, dense: int = DENSE) -> DataFrame:
 
 SMALL, BLOCK, HELD = 32, 512, 1 << 25  # nodes of a key that are paired up; nodes and bytes of shingles of a sub-block
 MIDDLE = 1000  # nodes of a key up to which what one shingle left is paired up as well
-THIN, LOOKED, FREQUENT = 2, 1 << 22, 200_000  # one text of THIN; shingles a task holds; shingles told
+LOOKED, FREQUENT = 1 << 22, 200_000  # shingles a task holds; shingles told
 
 
 def text_key(text: Column) -> Column:
@@ -165,7 +165,7 @@ def text_key(text: Column) -> Column:
 
 
 def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur in many texts, and about in how many: those seen several times among some texts of a task.
+    """Shingles that occur in many texts, and in how many: all texts are read, what is seen once among LOOKED shingles of a task isn't told.
 
     They only come last in the order in which shingles are looked at; no result depends on them.
     """
@@ -187,7 +187,7 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
                         held, many = [], 0
         yield from several(held)
 
-    texts = bounded(docs).select(F.coalesce("text", F.lit("")).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(THIN)) == 0)
+    texts = bounded(docs).select(F.coalesce("text", F.lit("")).alias("text"))
     counted = saved(texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent", few="coalesce")
     # as many as FREQUENT of the commonest, by steps of their numbers: no task sorts them all
     step = F.floor(8 * F.log2("n")).cast("int")

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -570,3 +571,23 @@ def test_ids_off_the_fast_way():
     assert ids.core is not None
     for text in ("a<|endoftext|>b", "漢字 test", "plain it's", "ÀÉ ÿɏ"):
         assert ids.encode(text) == ids.whole(text)
+
+
+def test_all_words_of_all_texts_are_learned_from(spark, monkeypatch):
+    """Their numbers by language, from long texts too and however they are dealt; several shards learn what one does."""
+    monkeypatch.setattr(langid, "KEPT", 50)
+    rows = [(d, t * (50 if d % 7 == 0 else 1), g) for d, t, g in lang_rows(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = Counter((g, w) for d, t, g in rows if zlib.crc32(str(d).encode()) % 5 for w in t.split())
+    assert {(r.lang, r.word.decode()): r.n for r in langid.counted(docs).collect()} == want
+    monkeypatch.setattr(langid, "FEW", 10)
+    net = langid.fit(docs, shard=2500)
+    told = {r.doc_id: r.lang_pred for r in langid.predict(docs, net).collect() if r.held_out}
+    assert sum(told[d] == g for d, _, g in rows if d in told) / len(told) > 0.95
+
+
+def test_frequent_shingles_are_counted_in_all_texts(spark):
+    rows = [(i, f"one two three four five own{i} more{i}") for i in range(60)]
+    told = dict(zip(*map(np.ndarray.tolist, simhash.frequent(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 5))))
+    [[shared]] = [x.tolist() for x in simhash.shingles_of("one two three four five", 5)]
+    assert told == {shared: 60}
