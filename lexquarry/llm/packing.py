@@ -13,6 +13,8 @@ of one length together; gaps are updated, and the next band follows.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -28,6 +30,20 @@ NARROW, WIDE = 1.25, 1.5  # the lengths of a band: of those over an eighth of a
 CELL, SALTS = 50_000, 1000  # rows of a size that are ranked in one task; parts of a size at most
 
 
+def within(pattern: str, high: int) -> str | None:
+    """The pattern with \\p{L} and \\p{N} as classes of characters up to ``high``, for re, which is faster than regex; None if it has other such parts."""
+    import regex
+
+    ranges = {}
+    for kind in "LN":
+        own = [c for c in range(high + 1) if regex.match(rf"\p{{{kind}}}", chr(c))]
+        ends = [c for c in own if c + 1 not in own]
+        ranges[kind] = "".join(rf"\u{a:04x}-\u{b:04x}" for a, b in zip([c for c in own if c - 1 not in own], ends))
+    bare = lambda p: re.sub(r"\\p\{([LN])\}", lambda m: ranges[m[1]], p)
+    out = re.sub(r"\[[^]]*\]|\\p\{[LN]\}", lambda m: bare(m[0]) if m[0][0] == "[" else f"[{bare(m[0])}]", pattern)
+    return None if re.search(r"\\[^sSu]", out) else out
+
+
 class Ids(dict):
     """Pre-token -> ids as uint32 bytes, as the tokenizers library gives them; other added tokens are kept apart.
 
@@ -45,7 +61,8 @@ class Ids(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.split = regex.compile(pattern).findall
+        own = within(pattern, self.LATIN)
+        self.split = re.compile(own).findall if own else regex.compile(pattern).findall
         self.added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.exotic = regex.compile(rf"[^\x20-\x7e\n\r\t\xa1-\u{self.LATIN:04x}]").search
 
@@ -70,7 +87,11 @@ class Ids(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.core.encode_single_piece(piece.encode()), "<u4").tobytes() if self.core else self.whole(piece)
+        if self.core:
+            own = self.core.encode_single_piece(piece.encode())
+            ids = struct.pack(f"<{len(own)}I", *own)
+        else:
+            ids = self.whole(piece)
         if len(self) >= self.limit:
             self.clear()
         if len(piece) <= 64:

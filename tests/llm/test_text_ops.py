@@ -591,3 +591,16 @@ def test_frequent_shingles_are_counted_in_all_texts(spark):
     told = dict(zip(*map(np.ndarray.tolist, simhash.frequent(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 5))))
     [[shared]] = [x.tolist() for x in simhash.shingles_of("one two three four five", 5)]
     assert told == {shared: 60}
+
+
+def test_texts_are_split_as_by_the_pattern():
+    import regex
+
+    ids, want, r = packing.Ids(JSON, P.PATTERN), regex.compile(P.PATTERN).findall, random.Random(3)
+    assert ids.split.__self__.pattern != P.PATTERN  # by re, on classes of characters
+    every = [chr(c) for c in range(packing.Ids.LATIN + 1) if not ids.exotic(chr(c))]
+    for _ in range(2000):
+        text = "".join(r.choice([" ", "\n", "'s", "'", "a", "7", *r.sample(every, 8)]) for _ in range(r.randint(0, 30)))
+        assert ids.split(text) == want(text) and ids.encode(text) == ids.whole(text)
+    assert all(ids.split(f"a{c} {c}{c}1{c}") == want(f"a{c} {c}{c}1{c}") for c in every)
+    assert packing.within(r"\p{Lu}+|\w", 99) is None
