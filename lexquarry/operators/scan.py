@@ -362,6 +362,39 @@ def counts(pages: DataFrame, queries: DataFrame, with_fuzzy: bool = True) -> Dat
     return out.groupBy("query_id").agg(F.sum("total_matches").alias("total_matches"), F.sum("matched_pages").alias("matched_pages"))
 
 
+def places(pages: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, page, x0, x1: where on a page search() without its fuzzy stage finds words; repeats of a place may be told.
+
+    That depends on each text alone, so texts are read where they lie and none is shuffled or sorted.
+    """
+    texts, out = sources(pages).select("doc_id", "page", "text"), None
+    schema = T.StructType([queries.schema["query_id"], texts.schema["doc_id"], T.StructField("page", T.IntegerType()), T.StructField("x0", T.DoubleType()), T.StructField("x1", T.DoubleType())])
+    for ids, asked in _batches(queries, False):
+
+        def run(batches, ids=ids, asked=asked):
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            told, rows, arrow = Matches(asked), [], to_arrow_schema(schema)
+            as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    for doc_id, page, text in zip(*(c.to_pylist() for c in b.slice(at, 256).columns)):
+                        x0 = 0
+                        for w in SPACE.split(text):
+                            x1 = x0 + len(w)
+                            rows += [(ids[m[0]], doc_id, page, float(x0), float(x1)) for m in told[w]]
+                            x0 = x1 + 1
+                    if len(rows) >= ROWS:
+                        yield as_batch(rows)
+                        rows = []
+            if rows:
+                yield as_batch(rows)
+
+        part = texts.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def exported(pages: DataFrame) -> DataFrame:
     """doc_id, term, n, first_page: how many postings the index has of each term of a document, and on which page the first is."""
     texts = _dealt(pages)

@@ -54,3 +54,18 @@ def test_export_is_that_of_the_index(spark):
 def test_batches_asked_once_build_no_index(spark, name, monkeypatch):
     monkeypatch.setattr(catalogue.store, "opened", lambda *a: pytest.fail("an index of the whole corpus"))
     assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_places_are_those_of_hits(spark):
+    rows = pages(spark)
+    rows, asked = rows.unionByName(rows.filter("doc_id < 3")), spark.createDataFrame(list(enumerate(QUERIES, 1)), "query_id int, query string")
+    want = search.highlight_rects(scan.search(rows, asked, False)).drop("y0", "y1")
+    got = scan.places(rows, asked).distinct().select(want.columns[:3] + ["x0", "x1"])
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 100
+    assert got.dtypes == want.dtypes
+
+
+def test_rects_shuffle_no_text(spark):
+    plan = catalogue.queries()["highlight_rects"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "RepartitionByExpression" not in below and "Sort" not in below
