@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import dropped, saved
+from lexquarry.llm.common import dropped, released, saved
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         after_edges = saved(small, "edges", 2 * before[0])
         after = state(after_edges)
         dropped(spark, edges)
+        released(spark)
         edges = after_edges
         if after == before:
             break

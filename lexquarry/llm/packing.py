@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexquarry.llm.common import bounded, saved
+from lexquarry.llm.common import bounded, released, saved
 
 SIZE = 1024
 NARROW, WIDE = 1.25, 1.5  # the lengths of a band: of those over an eighth of a sequence, of others
@@ -196,6 +196,8 @@ def arranged(cut: DataFrame, size: int = SIZE) -> DataFrame:
             used = gaps.select("seq", (size - F.col("gap")).cast("long").alias("used")).unionByName(done[-1].select(F.col("sequence_id").alias("seq"), F.col("length").alias("used")))
             gaps = used.groupBy("seq").agg((size - F.sum("used")).cast("int").alias("gap")).filter(F.col("gap") >= min(left))
             gaps = saved(gaps, "gaps", few="coalesce")
+            if nr % 3 == 2:
+                released(cut.sparkSession)
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)

@@ -198,11 +198,11 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         if many > FREQUENT:
             break
         least = s
-    told = np.array([(r.h, r.n) for r in counted.filter(step >= least).collect()], "int64").reshape(-1, 2)
+    told = counted.filter(step >= least).select("h", "n").toArrow()  # as columns: the driver makes no object for each
     dropped(docs.sparkSession, counted)
-    known = told[:, 0].astype("uint64")
+    known = told["h"].to_numpy().view("uint64")
     order = np.argsort(known)
-    return known[order], told[order, 1]
+    return known[order], told["n"].to_numpy()[order]
 
 
 def prefix(own: np.ndarray, least: float, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

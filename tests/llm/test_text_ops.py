@@ -604,3 +604,14 @@ def test_texts_are_split_as_by_the_pattern():
         assert ids.split(text) == want(text) and ids.encode(text) == ids.whole(text)
     assert all(ids.split(f"a{c} {c}{c}1{c}") == want(f"a{c} {c}{c}1{c}") for c in every)
     assert packing.within(r"\p{Lu}+|\w", 99) is None
+
+
+def test_the_driver_lets_go_of_steps_that_are_done(spark, monkeypatch):
+    from lexquarry.llm import components as linked
+
+    called = []
+    for module in (packing, linked):
+        monkeypatch.setattr(module, "released", lambda s, m=module: called.append(m))
+    packing.arranged(spark.createDataFrame([(n, n) for n in range(1, 400, 9)], "id long, length long")).count()
+    assert components(spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")).filter("root <> 0").count() == 0
+    assert called.count(packing) >= 3 and called.count(linked) >= 2
